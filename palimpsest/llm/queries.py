@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import tokens
+from palimpsest.llm import packing, similar_vectors, tokens
 from palimpsest.llm.near_duplicates import NearDuplicates
 from palimpsest.operators.versioned import current
+from palimpsest.session import stored
 from palimpsest.tables import KEYS, load
 
 
@@ -20,10 +21,65 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDuplicates(_texts(spark, sf_dir), 0.7).id_pairs()
 
 
+#: Fields of the vector search, in the order of their numbers.
+VECTOR_FIELDS = ["observation.embedding", "entity.embedding", "entity.name_embedding"]
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current usable vectors of all fields, 16 bits a component before anything is shuffled."""
+    parts = []
+    for number, name in enumerate(VECTOR_FIELDS):
+        table, column = name.split(".")
+        rows = load(spark, sf_dir, table).select("id", "valid_from", "asserted", F.col(column).alias("vector"))
+        small = similar_vectors.quantised(rows, VECTOR_SIZE, ["id", "valid_from", "asserted"])
+        parts.append(current(small, KEYS[table]).filter("vec IS NOT NULL").select(F.lit(number).alias("field"), "id", "vec"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+#: Numbers of a usable vector.
+VECTOR_SIZE = 96
+
+
+def _field_name():
+    return F.element_at(F.array(*map(F.lit, VECTOR_FIELDS)), F.col("field") + 1).alias("vec_field")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of which one is among the ten most similar of the other, similarity 0.8 or more."""
+    return similar_vectors.similar_pairs(_vectors(spark, sf_dir), VECTOR_SIZE).select(_field_name(), "id_a", "id_b")
+
+
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar vectors of every vector with their similarity, whatever it is."""
+    found, names = similar_vectors.neighbours(_vectors(spark, sf_dir), VECTOR_SIZE)
+    one = found.select("field", "uid", F.posexplode(F.arrays_zip("near", "sim")).alias("rank", "hit"))
+    one = one.select("field", "uid", (F.col("rank") + 1).alias("rank"), F.col("hit.near").alias("other"), F.round(F.col("hit.sim").cast("double"), 4).alias("similarity"))
+    one = one.join(names.select("uid", "id"), "uid").join(names.select(F.col("uid").alias("other"), F.col("id").alias("neighbour_id")), "other")
+    return one.select(_field_name(), "id", "rank", "neighbour_id", "similarity")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each document by byte_bpe_50k, without special tokens."""
     return tokens.encode(load(spark, sf_dir, "documents"), ["doc_id"])
 
 
-QUERIES = {"p1_found": p1_found, "p6_ids": p6_ids}
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container and position of every document, or piece of a long one, for each row of context_window."""
+    sizes = stored(tokens.count(load(spark, sf_dir, "documents"), ["doc_id"]), "sizes")
+    out = None
+    for window in load(spark, sf_dir, "context_window").dropna().distinct().orderBy("window_name").collect():
+        packed = packing.pack(sizes, window["capacity"]).withColumn("window_name", F.lit(window["window_name"]))
+        out = packed if out is None else out.unionByName(packed)
+    return out.select("window_name", "container", "position", "doc_id", "piece_no", "start", "length")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    room = load(spark, sf_dir, "context_window").dropna().distinct()
+    used = p7_packed(spark, sf_dir).groupBy("window_name").agg(F.sum("length").alias("n_tokens"), F.countDistinct("container").alias("n_containers"))
+    fill = F.col("n_tokens") / (F.col("n_containers") * F.col("capacity"))
+    return used.join(F.broadcast(room), "window_name").select("window_name", "n_tokens", "n_containers", F.round(fill, 4).alias("fill"))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill}
 SQL: dict[str, str] = {}
