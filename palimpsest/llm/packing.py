@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 CLASSES = 48
 #: Pieces in a shard, about; a shard is packed by one task. More shards, not larger ones, hold more items.
 SHARD = 20_000
+#: A pattern is given up in a shard once the room that its container would waste exceeds this share.
+SLACK = 0.002
 
 
 def class_ends(capacity: int, lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -93,27 +95,40 @@ def pack_shard(length: np.ndarray, ends: np.ndarray, plans: np.ndarray, share: n
     """Container number and position of each piece of one shard, given each plan's use per item."""
     n = len(length)
     container, position = np.full(n, -1), np.zeros(n, np.int64)
-    kind = np.searchsorted(ends, length)
-    stock = [list(np.flatnonzero(kind == c)[np.argsort(length[kind == c], kind="stable")]) for c in range(len(ends))]  # longest at the end
+    stock: dict[int, list[int]] = {}
+    for i in np.argsort(length, kind="stable")[::-1]:
+        stock.setdefault(int(length[i]), []).append(i)
+    left = np.zeros(capacity + 1, np.int64)  # items left of each length
+    for size, items in stock.items():
+        left[size] = len(items)
+    below = np.concatenate([[-1], ends[:-1]])
     fill: list[int] = []
     count: list[int] = []
     uses = np.floor(share * n).astype(int)
-    for plan in np.argsort(-uses):
-        need = [(c, int(plans[plan, c])) for c in np.flatnonzero(plans[plan])]
+    for plan in np.argsort(-uses, kind="stable"):
+        # longest first; the last item is the longest that fits the room there really is
+        need = [c for c in np.flatnonzero(plans[plan])[::-1] for _ in range(int(plans[plan, c]))]
         for _ in range(uses[plan]):
-            if any(len(stock[c]) < m for c, m in need):
+            room, taken = capacity, []
+            for no, c in enumerate(need):
+                top = room if no == len(need) - 1 else min(room, int(ends[c]))
+                low = 0 if no == len(need) - 1 else int(below[c]) + 1
+                there = np.flatnonzero(left[low : top + 1])
+                if not len(there):
+                    break
+                size = low + int(there[-1])
+                left[size] -= 1
+                taken.append(stock[size].pop())
+                room -= size
+            if len(taken) < len(need) or room > capacity * SLACK:
+                for i in taken:  # the stock no longer has this pattern
+                    left[length[i]] += 1
+                    stock[int(length[i])].append(i)
                 break
-            at = 0
-            for c, m in need:
-                for _ in range(m):
-                    i = stock[c].pop()
-                    container[i], position[i] = len(fill), at
-                    at += 1
-            fill.append(0)
-            count.append(at)
+            container[taken], position[taken] = len(fill), np.arange(len(taken))
+            fill.append(capacity - room)
+            count.append(len(taken))
     placed = container >= 0
-    if fill:
-        fill = np.bincount(container[placed], weights=length[placed], minlength=len(fill)).astype(int).tolist()
     # the rest, longest first, each into the fullest container that has room: lists of containers by room
     rest = np.flatnonzero(~placed)
     rest = rest[np.argsort(-length[rest], kind="stable")]

@@ -29,6 +29,8 @@ BLOCK, REACH = 2048, 3
 #: Dimensions of the projection and bits of each on the curve.
 DIMS, BITS = 10, 4
 PASSES = 3
+#: Rows of a range of the curve, which one task handles block by block; rows of the sample that cuts the ranges.
+PART, SAMPLE = 40_000, 20_000
 
 
 def hilbert(grid: np.ndarray, bits: int) -> np.ndarray:
@@ -76,20 +78,23 @@ class Block:
     def __init__(self, batch: pa.RecordBatch, size: int, k: int):
         self.field = batch.column("field").to_numpy()
         self.uid = batch.column("uid").to_numpy()
-        self.raw = batch.column("vec")
-        x = np.frombuffer(b"".join(self.raw.to_pylist()), np.int16).reshape(-1, size).astype(np.float32)
-        self.x = x / np.linalg.norm(x, axis=1, keepdims=True)
         self.k = k
-        n = len(self.uid)
-        # known neighbours: (row, similarity, uid) in rows of k, filled from the lists of earlier passes
+        n, wide = len(self.uid), 2 * size
+        state = batch.column("state")
+        ends = np.frombuffer(state.buffers()[1], np.int32)[state.offset : state.offset + n + 1].astype(np.int64)
+        data = np.frombuffer(state.buffers()[2], np.uint8)
+        self.raw = data[ends[:-1, None] + np.arange(wide)]
+        x = self.raw.view(np.int16).astype(np.float32)
+        self.x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        # neighbours known from earlier passes stand behind the vector: their uids, then their similarities
         self.sim = np.full((n, k), -2, np.float32)
         self.near = np.zeros((n, k), np.int64)
-        lists, sims = batch.column("near"), batch.column("sim")
-        have = np.diff(lists.offsets.to_numpy())
+        have = (np.diff(ends) - wide) // 12
         row = np.repeat(np.arange(n), have)
         col = np.arange(len(row)) - np.repeat(np.cumsum(have) - have, have)
-        self.near[row, col] = lists.flatten().to_numpy()
-        self.sim[row, col] = sims.flatten().to_numpy()
+        at = ends[row] + wide
+        self.near[row, col] = data[(at + 8 * col)[:, None] + np.arange(8)].view(np.int64).ravel()
+        self.sim[row, col] = data[(at + 8 * have[row] + 4 * col)[:, None] + np.arange(4)].view(np.float32).ravel()
         self.mean = self.x.copy()
 
     def meet(self, other: Block, least: float) -> None:
@@ -130,17 +135,36 @@ class Block:
         self.sim[row_all[keep], at[keep]] = sim[keep]
         self.near[row_all[keep], at[keep]] = near[keep]
 
-    def rows(self, turn: int) -> pa.RecordBatch:
+    def rows(self, turn: int, slots: Slots) -> pa.RecordBatch:
         """The block with its neighbours, placed for pass ``turn``."""
+        have = (self.sim > -2).sum(1)
+        state = [
+            self.raw[i].tobytes() + self.near[i, :h].tobytes() + self.sim[i, :h].tobytes() for i, h in enumerate(have)
+        ]
+        return slots.placed(self.field, self.uid, self.mean / np.linalg.norm(self.mean, axis=1, keepdims=True), state, turn)
+
+    def found(self) -> pa.RecordBatch:
+        """The neighbours of each row."""
         have = self.sim > -2
         offsets = pa.array(np.concatenate([[0], np.cumsum(have.sum(1))]).astype(np.int32))
-        near = pa.ListArray.from_arrays(offsets, pa.array(self.near[have]))
-        sim = pa.ListArray.from_arrays(offsets, pa.array(self.sim[have]))
-        key = place(self.mean / np.linalg.norm(self.mean, axis=1, keepdims=True), turn)
-        return pa.RecordBatch.from_arrays([pa.array(self.field), pa.array(self.uid), pa.array(key), self.raw, near, sim], ["field", "uid", "key", "vec", "near", "sim"])
+        near, sim = (pa.ListArray.from_arrays(offsets, pa.array(x[have])) for x in (self.near, self.sim))
+        return pa.RecordBatch.from_arrays([pa.array(self.field), pa.array(self.uid), near, sim], ["field", "uid", "near", "sim"])
+
+
+class Slots:
+    """Ranges of the curve of each pass, cut at places of a sample, and the slot number that leads each to a partition of its own."""
 
+    def __init__(self, cuts: list[np.ndarray], numbers: np.ndarray):
+        self.cuts, self.numbers = cuts, numbers
 
-SCHEMA = "field int, uid bigint, key bigint, vec binary, near array<bigint>, sim array<float>"
+    def placed(self, field: np.ndarray, uid: np.ndarray, x: np.ndarray, state: list[bytes], turn: int) -> pa.RecordBatch:
+        key = place(x, turn) + (field.astype(np.int64) << (DIMS * BITS))
+        slot = self.numbers[np.searchsorted(self.cuts[turn], key, side="right")]
+        return pa.RecordBatch.from_arrays([pa.array(field), pa.array(uid), pa.array(key), pa.array(slot), pa.array(state, pa.binary())], ["field", "uid", "key", "slot", "state"])
+
+
+SCHEMA = "field int, uid bigint, key bigint, slot bigint, state binary"
+FOUND = "field int, uid bigint, near array<bigint>, sim array<float>"
 
 
 def quantised(rows: DataFrame, size: int, keep: list[str]) -> DataFrame:
@@ -187,18 +211,21 @@ def neighbours(vectors: DataFrame, size: int, k: int = 10, least: float = -1.0,
     spare = narrow.join(many.select(*same), same, "left_semi").join(first.select("uid"), "uid", "left_anti")
     work = rows.join(spare.select("uid"), "uid", "left_anti")
 
+    def unit(column: pa.Array) -> np.ndarray:
+        x = np.frombuffer(b"".join(column.to_pylist()), np.int16).reshape(-1, size).astype(np.float32)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    slots = cut(work.select("field", "vec"), unit, passes)
+
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.frombuffer(b"".join(batch.column("vec").to_pylist()), np.int16).reshape(-1, size).astype(np.float32)
-            key = place(x / np.linalg.norm(x, axis=1, keepdims=True), 0)
-            none = pa.array([0] * (batch.num_rows + 1), pa.int32())
-            empty = [pa.ListArray.from_arrays(none, pa.array([], t)) for t in (pa.int64(), pa.float32())]
-            yield pa.RecordBatch.from_arrays([batch.column("field"), batch.column("uid"), pa.array(key), batch.column("vec"), *empty], ["field", "uid", "key", "vec", "near", "sim"])
+            if batch.num_rows:
+                vec = batch.column("vec")
+                yield slots.placed(batch.column("field").to_numpy(), batch.column("uid").to_numpy(), unit(vec), vec.to_pylist(), 0)
 
     def compare(turn: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            done = (lambda block: block.found()) if turn == passes else (lambda block: block.rows(turn, slots))
             held: list[Block] = []
             for block in blocks(batches, size, k):
                 for before in held:
@@ -206,16 +233,17 @@ def neighbours(vectors: DataFrame, size: int, k: int = 10, least: float = -1.0,
                 block.meet(block, least)
                 held.append(block)
                 if len(held) > REACH:
-                    yield held.pop(0).rows(turn)
+                    yield done(held.pop(0))
             for block in held:
-                yield block.rows(turn)
+                yield done(block)
 
         return run
 
     at = work.select("field", "uid", "vec").mapInArrow(begin, SCHEMA)
     for turn in range(1, passes + 1):
-        at = at.repartitionByRange("field", "key", "uid").sortWithinPartitions("field", "key", "uid").mapInArrow(compare(turn), SCHEMA)
-    nearest = at.select("field", "uid", "near", "sim")
+        at = at.repartition(len(slots.numbers), "slot").sortWithinPartitions("key", "uid")
+        at = at.mapInArrow(compare(turn), FOUND if turn == passes else SCHEMA)
+    nearest = at
     heads = first.filter(F.col("no") <= k).groupBy(*same).agg(F.sort_array(F.collect_list(F.struct("no", "uid"))).alias("heads"))
     copies = spare.join(heads, same).select(
         "field", "uid", F.transform("heads", lambda h: h["uid"]).alias("near"), F.transform("heads", lambda _: F.lit(1.0).cast("float")).alias("sim")
@@ -223,6 +251,36 @@ def neighbours(vectors: DataFrame, size: int, k: int = 10, least: float = -1.0,
     return nearest.unionByName(copies), names
 
 
+def cut(rows: DataFrame, unit, passes: int) -> Slots:
+    """Cut the curve of every pass into ranges of about PART rows, at quantiles of a sample of SAMPLE rows.
+
+    The sample only says where tasks begin; every row is placed. Range number i
+    gets a slot number whose hash is i, so that ``repartition`` by slot gives
+    each range its own task (``repartitionByRange`` would run each pass twice,
+    once for its own sample).
+    """
+    spark = rows.sparkSession
+    total = rows.count()
+    parts = max(1, round(total / PART))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, field = unit(batch.column("vec")), batch.column("field").to_numpy().astype(np.int64) << (DIMS * BITS)
+                yield pa.RecordBatch.from_arrays([pa.array(place(x, t) + field) for t in range(passes)], [f"k{t}" for t in range(passes)])
+
+    cuts = [np.zeros(0, np.int64)] * passes
+    if parts > 1:
+        some = rows.sample(min(1.0, SAMPLE / total), seed=5).mapInArrow(keys, ", ".join(f"k{t} bigint" for t in range(passes))).toPandas()
+        cuts = [np.quantile(some[f"k{t}"], np.arange(1, parts) / parts, method="nearest").astype(np.int64) for t in range(passes)]
+    numbers = np.full(parts, -1, np.int64)
+    tried = spark.range(40 * parts + 100).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()
+    for row in tried:
+        numbers[row["p"]] = row["id"]
+    numbers[numbers < 0] = 0
+    return Slots(cuts, numbers)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator[Block]:
     """Cut a stream of batches into blocks of BLOCK rows."""
     waiting: list[pa.RecordBatch] = []
