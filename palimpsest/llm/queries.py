@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import packing, similar_vectors, tokens
+from palimpsest.llm import languages, packing, similar_vectors, tokens
 from palimpsest.llm.near_duplicates import NearDuplicates
 from palimpsest.operators.versioned import current
 from palimpsest.session import stored
@@ -81,5 +81,32 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.join(F.broadcast(room), "window_name").select("window_name", "n_tokens", "n_containers", F.round(fill, 4).alias("fill"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill}
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    codes = {x.lower(): r["code"] for r in load(spark, sf_dir, "lang_code").dropna().collect() for x in (r["code"], r["english_name"])}
+    found = languages.detect(docs, ["doc_id", "lang"], languages.trained(docs, codes))
+    return found.withColumn("label", languages.label_code(F.col("lang"), codes))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a missing or wrong label (seg_no 0), and every line of those that mix languages."""
+    found = _languages(spark, sf_dir).filter("language IS NOT NULL")
+    wrong = F.when(F.col("label").isNull() | (F.col("label") != F.col("language")), F.array(F.struct(F.lit(0).cast("long").alias("seg_no"), F.col("language").alias("lang"))))
+    each = F.transform("lines", lambda x, i: F.struct((i + 1).cast("long").alias("seg_no"), x["lang"].alias("lang")))
+    mixed = F.when(F.size(F.array_distinct(F.transform("lines", lambda x: x["lang"]))) > 1, each)
+    none = F.array().cast("array<struct<seg_no:bigint,lang:string>>")
+    rows = F.explode(F.concat(F.coalesce(wrong, none), F.coalesce(mixed, none)))
+    return found.select("doc_id", rows.alias("row")).select("doc_id", "row.seg_no", "row.lang")
+
+
+def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every document, and of each line where languages are mixed (seg_no from 1)."""
+    found = _languages(spark, sf_dir)
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("seg_no"), F.col("language").alias("lang"), F.round("confidence", 4).alias("confidence")))
+    each = F.transform("lines", lambda x, i: F.struct((i + 1).cast("long").alias("seg_no"), x["lang"].alias("lang"), F.round(x["confidence"], 4).alias("confidence")))
+    mixed = F.size(F.array_distinct(F.transform("lines", lambda x: x["lang"]))) > 1
+    return found.select("doc_id", F.explode(F.when(mixed, F.concat(whole, each)).otherwise(whole)).alias("row")).select("doc_id", "row.*")
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_languages": p8_languages}
 SQL: dict[str, str] = {}
