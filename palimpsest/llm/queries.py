@@ -25,15 +25,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 VECTOR_FIELDS = ["observation.embedding", "entity.embedding", "entity.name_embedding"]
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Current usable vectors of all fields, 16 bits a component before anything is shuffled."""
-    parts = []
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Current usable vectors of all fields, 16 bits a component before anything is shuffled; and those of all versions."""
+    parts, every = [], []
     for number, name in enumerate(VECTOR_FIELDS):
         table, column = name.split(".")
         rows = load(spark, sf_dir, table).select("id", "valid_from", "asserted", F.col(column).alias("vector"))
         small = similar_vectors.quantised(rows, VECTOR_SIZE, ["id", "valid_from", "asserted"])
-        parts.append(current(small, KEYS[table]).filter("vec IS NOT NULL").select(F.lit(number).alias("field"), "id", "vec"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+        field = F.lit(number).alias("field")
+        parts.append(current(small, KEYS[table]).filter("vec IS NOT NULL").select(field, "id", "vec"))
+        every.append(small.select(field, "vec"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]), every[0].unionByName(every[1]).unionByName(every[2])
 
 
 #: Numbers of a usable vector.
@@ -46,12 +48,14 @@ def _field_name():
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of which one is among the ten most similar of the other, similarity 0.8 or more."""
-    return similar_vectors.similar_pairs(_vectors(spark, sf_dir), VECTOR_SIZE).select(_field_name(), "id_a", "id_b")
+    vectors, like = _vectors(spark, sf_dir)
+    return similar_vectors.similar_pairs(vectors, VECTOR_SIZE, like=like).select(_field_name(), "id_a", "id_b")
 
 
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar vectors of every vector with their similarity, whatever it is."""
-    found, names = similar_vectors.neighbours(_vectors(spark, sf_dir), VECTOR_SIZE)
+    vectors, like = _vectors(spark, sf_dir)
+    found, names = similar_vectors.neighbours(vectors, VECTOR_SIZE, like=like)
     one = found.select("field", "uid", F.posexplode(F.arrays_zip("near", "sim")).alias("rank", "hit"))
     one = one.select("field", "uid", (F.col("rank") + 1).alias("rank"), F.col("hit.near").alias("other"), F.round(F.col("hit.sim").cast("double"), 4).alias("similarity"))
     one = one.join(names.select("uid", "id"), "uid").join(names.select(F.col("uid").alias("other"), F.col("id").alias("neighbour_id")), "other")
