@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import languages, names, packing, similar_vectors, tokens
+from palimpsest.llm import languages, names, packing, pii, similar_vectors, tokens
 from palimpsest.llm.near_duplicates import NearDuplicates
 from palimpsest.operators.versioned import current
 from palimpsest.session import stored
@@ -90,6 +90,29 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.link(e.select("id", "name"), load(spark, sf_dir, "name_alias"), words)
 
 
+def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current observations and entities, each distinct text tagged once: (src_table, src_id, person, clean, found)."""
+    o = _texts(spark, sf_dir).select(F.lit("observation").alias("src_table"), F.col("id").alias("src_id"), F.lit(False).alias("person"), "text")
+    e = current(load(spark, sf_dir, "entity").select("id", "valid_from", "asserted", "name", "type"), KEYS["entity"])
+    person = F.coalesce(F.lower(F.trim("type")).isin(PEOPLE), F.lit(True))  # of unknown type: if it is a firm, its name is none of a person
+    e = e.select(F.lit("entity").alias("src_table"), F.col("id").alias("src_id"), person.alias("person"), F.col("name").alias("text"))
+    rows = o.unionByName(e)
+    return pii.tag(rows, ["src_table", "src_id", "person"])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item of personal data in a current observation or entity name."""
+    hit = F.explode("found").alias("hit")
+    value = F.regexp_replace(F.lower("hit.passage"), r"[^\p{L}\p{N}]", "").alias("pii_value")
+    found = _personal(spark, sf_dir).select("src_table", "src_id", "person", hit).filter("NOT (person AND hit.pii_type = 'name')")
+    return found.select("src_table", "src_id", "hit.pii_type", value).distinct()
+
+
+def p5_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with placeholders in the place of personal data, for records that hold any."""
+    return _personal(spark, sf_dir).filter(F.size("found") > 0).select("src_table", "src_id", "clean")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each document by byte_bpe_50k, without special tokens."""
     return tokens.encode(load(spark, sf_dir, "documents"), ["doc_id"])
@@ -140,5 +163,5 @@ def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode(F.when(mixed, F.concat(whole, each)).otherwise(whole)).alias("row")).select("doc_id", "row.*")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_languages": p8_languages}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p5_found": p5_found, "p5_replaced": p5_replaced, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_languages": p8_languages}
 SQL: dict[str, str] = {}

@@ -10,9 +10,9 @@ members of a cluster then lie far closer together than they do themselves, and
 few passes suffice.
 
 Vectors travel as 16-bit components of the normalised vector: similarities are
-exact to about 1e-5. Copies beyond the first k + 1 of a vector (in id order)
-can be no one's neighbours; they take no part in the passes and get the first k
-copies as theirs, so a vector that is there a million times is no hot spot.
+exact to about 1e-5. Equal vectors are told apart by a hash of the id in the
+order, so a vector that is there a million times fills many ranges; if more
+than k others equal a vector, k of those in its neighbourhood are its nearest.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 BLOCK, REACH = 2048, 3
 #: Dimensions of the projection and bits of each on the curve.
 DIMS, BITS = 10, 4
+#: Bits of the uid below the place.
+TIE = 20
 PASSES = 3
 #: Rows of a range of the curve, which one task handles block by block; rows of the sample that cuts the ranges.
 PART, SAMPLE = 40_000, 20_000
@@ -151,6 +153,11 @@ class Block:
         return pa.RecordBatch.from_arrays([pa.array(self.field), pa.array(self.uid), near, sim], ["field", "uid", "near", "sim"])
 
 
+def sort_key(at: np.ndarray, field: np.ndarray, uid: np.ndarray) -> np.ndarray:
+    """Field, place on the curve, and TIE bits of the uid, so that even equal vectors spread over ranges."""
+    return (((field.astype(np.int64) << (DIMS * BITS)) + at) << TIE) + (uid & ((1 << TIE) - 1))
+
+
 class Slots:
     """Ranges of the curve of each pass, cut at places of a sample, and the slot number that leads each to a partition of its own."""
 
@@ -158,7 +165,7 @@ class Slots:
         self.cuts, self.numbers = cuts, numbers
 
     def placed(self, field: np.ndarray, uid: np.ndarray, x: np.ndarray, state: list[bytes], turn: int) -> pa.RecordBatch:
-        key = place(x, turn) + (field.astype(np.int64) << (DIMS * BITS))
+        key = sort_key(place(x, turn), field, uid)
         slot = self.numbers[np.searchsorted(self.cuts[turn], key, side="right")]
         return pa.RecordBatch.from_arrays([pa.array(field), pa.array(uid), pa.array(key), pa.array(slot), pa.array(state, pa.binary())], ["field", "uid", "key", "slot", "state"])
 
@@ -203,15 +210,7 @@ def neighbours(vectors: DataFrame, size: int, k: int = 10, least: float = -1.0,
     """
     rows = vectors.withColumn("uid", F.xxhash64("field", "id"))
     names = rows.select("field", "uid", "id")
-    from pyspark.sql import Window
-
-    same = ["field", "mark"]
-    narrow = rows.select("field", F.xxhash64("vec").alias("mark"), "uid", "id")
-    many = narrow.groupBy(*same).count().filter(F.col("count") > k + 1)
-    ranked = narrow.join(many.select(*same), same, "left_semi").withColumn("no", F.row_number().over(Window.partitionBy(*same).orderBy("id")))
-    first = ranked.filter(F.col("no") <= k + 1)
-    spare = narrow.join(many.select(*same), same, "left_semi").join(first.select("uid"), "uid", "left_anti")
-    work = rows.join(spare.select("uid"), "uid", "left_anti")
+    work = rows
 
     def unit(column: pa.Array) -> np.ndarray:
         x = np.frombuffer(b"".join(column.to_pylist()), np.int16).reshape(-1, size).astype(np.float32)
@@ -245,12 +244,7 @@ def neighbours(vectors: DataFrame, size: int, k: int = 10, least: float = -1.0,
     for turn in range(1, passes + 1):
         at = at.repartition(len(slots.numbers), "slot").sortWithinPartitions("key", "uid")
         at = at.mapInArrow(compare(turn), FOUND if turn == passes else SCHEMA)
-    nearest = at
-    heads = first.filter(F.col("no") <= k).groupBy(*same).agg(F.sort_array(F.collect_list(F.struct("no", "uid"))).alias("heads"))
-    copies = spare.join(heads, same).select(
-        "field", "uid", F.transform("heads", lambda h: h["uid"]).alias("near"), F.transform("heads", lambda _: F.lit(1.0).cast("float")).alias("sim")
-    )
-    return nearest.unionByName(copies), names
+    return at, names
 
 
 def cut(rows: DataFrame, unit, passes: int) -> Slots:
@@ -268,8 +262,9 @@ def cut(rows: DataFrame, unit, passes: int) -> Slots:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, field = unit(batch.column("vec")), batch.column("field").to_numpy().astype(np.int64) << (DIMS * BITS)
-                yield pa.RecordBatch.from_arrays([pa.array(place(x, t) + field) for t in range(passes)], [f"k{t}" for t in range(passes)])
+                x, field = unit(batch.column("vec")), batch.column("field").to_numpy()
+                tie = np.random.default_rng(len(x)).integers(0, 1 << TIE, len(x))
+                yield pa.RecordBatch.from_arrays([pa.array(sort_key(place(x, t), field, tie)) for t in range(passes)], [f"k{t}" for t in range(passes)])
 
     cuts = [np.zeros(0, np.int64)] * passes
     if parts > 1:
