@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from palimpsest.llm.pii_tagger import LABELS, TYPES, Tagger, numbers
 
 #: Characters of a window, and how many two windows share.
-WINDOW, OVERLAP = 256, 64
+WINDOW, OVERLAP = 640, 96
 #: Windows that are read at once.
-AT_ONCE = 512
+AT_ONCE = 256
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 #: Titles that belong to no name.
 TITLE = re.compile(r"^(?:(?:mr|mrs|ms|dr|prof|herr|frau|mme|sr|sra)\b\.?\s+)+", re.I)

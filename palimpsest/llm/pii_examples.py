@@ -145,6 +145,9 @@ class Maker:
             f"{self.thing()} Street is the name of dataset {d(3)}.", f"Drive {d(1)} of {self.thing()} failed, lane {d(3)} is fine.", f"Path /srv/{w}/{self.thing()}/{d(5)}.json is missing.", f"Ticket {self.thing()}-{d(6)} is closed.",
             f"See commit {d(10)} for details.", f"IDs {d(8)} to {d(8)} are reserved.", f"Order {d(2)}-{d(3)}-{d(6)} arrived.", f"Version {d(1)}.{d(2)}.{d(3)} of {self.thing()} is out.", f"{self.thing()} approved the change.", f"Ask {self.thing()} whether this still holds.",
             f"{self.thing()} moved to {self.thing()}.", f"({w} {self.thing()} {d(4)}, {self.thing()} {d(5)}, {self.thing()}).", f"Prefers {w} over heap in {self.thing()}, see {self.thing()} {d(5)}.", f"Works on {self.thing()} and {self.thing()} since mirror {d(5)}.",
+            f"Invoice no. {self.pick(f'{d(3)}-{d(3)}-{d(3)}', f'{d(2)}-{d(3)}-{d(3)}', f'{d(3)}-{d(2)}-{d(3)}')} covers {self.thing()} storage.", f"Rechnung Nr. {d(3)}-{d(3)}-{d(3)} liegt bei.", f"Build {d(5)}.{d(1)}.{d(3)} passed on port 80{d(1)}.",
+            f"The probe at {self.pick('192.0.2', '198.51.100', '203.0.113')}.{d(1)} answered in {d(3)} ms.", f"Measured {d(4)}.555 and {d(4)}.0{d(2)} on {self.thing()}.", f"Window 2024-0{self.r.randint(1, 9)}-1{d(1)} 0{d(1)}:{d(2)} to 0{d(1)}:{d(2)}.",
+            f"Version 00.{d(3)}.{d(3)}.{d(3)} replaced {d(1)}.{d(1)}.{d(1)}.",
             f"Meeting about {self.thing()} / {self.thing()}", f"Invoice {d(4)}-{d(4)} over {d(4)} EUR at 10:{d(2)} on 2024-0{self.r.randint(1, 9)}-1{d(1)}.",
         )
 
@@ -155,7 +158,7 @@ class Maker:
         """Parts of one example, about ``most`` characters."""
         parts: list[tuple[str, str]] = []
         gap = self.pick(" ", " ", " ", "\n- ", "  ", " ... ")
-        for what in self.r.choices("cdn", weights=(5, 3, 4), k=self.r.randint(1, 4)):
+        for what in self.r.choices("cdn", weights=(5, 4, 4), k=self.r.randint(1, 4)):
             parts += self.carrier() if what == "c" else [(self.decoy() if what == "d" else self.note(), "")]
             parts.append((gap, ""))
         if self.r.random() < 0.2:

@@ -57,13 +57,16 @@ def numbers(text: str) -> np.ndarray:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    with np.errstate(over="ignore"):
+        x = np.exp(-x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Tagger:
     """Weights: input table per direction (already projected), recurrent matrices, output and transitions."""
 
-    def __init__(self, hidden: int = 24, seed: int = 1):
+    def __init__(self, hidden: int = 20, seed: int = 1):
         r = np.random.default_rng(seed)
         h, k = hidden, len(LABELS)
         self.w = {f"{n}{d}": v for d in "fb" for n, v in (("x", r.normal(0, 0.25, (VOCAB, 4 * h))), ("u", r.normal(0, 1 / np.sqrt(h), (h, 4 * h))))}
