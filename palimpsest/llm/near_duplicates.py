@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators.components import connected_components
 from palimpsest.session import stored
 
 #: A word in more than this share of the texts is joined in n-grams only. At most (mean words of a text) / share words are that frequent.
@@ -218,6 +219,24 @@ class NearDuplicates:
         out = self.sets.select("cid", "id").join(moved, "cid", "left")
         return out.select(F.coalesce("rep", "cid").alias("cid"), "id")
 
+    def groups(self) -> DataFrame:
+        """(id, class_id, group_id, n_copies, n_links): one row per text that has words.
+
+        ``class_id`` and ``group_id`` are the smallest ids of the class of equal
+        word sets and of the connected group of similar classes; ``n_copies``
+        counts the other texts of the class, ``n_links`` the other classes that
+        are similar to it. Copies are not expanded into pairs.
+        """
+        pairs = self.pairs()
+        links = pairs.select(F.explode(F.array("cid_a", "cid_b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
+        of = connected_components(pairs.select(F.col("cid_a").alias("src"), F.col("cid_b").alias("dst"))).withColumnRenamed("node", "cid")
+        m = self.members()
+        classes = m.groupBy("cid").agg(F.min("id").alias("class_id"), (F.count("*") - 1).alias("n_copies")).join(links, "cid", "left").join(of, "cid", "left")
+        classes = stored(classes.withColumn("component", F.coalesce("component", "cid")).withColumn("n_links", F.coalesce("n_links", F.lit(0))), "classes")
+        first = classes.groupBy("component").agg(F.min("class_id").alias("group_id"))
+        named = classes.join(first, "component").select("cid", "class_id", "group_id", "n_copies", "n_links")
+        return m.join(named, "cid").select("id", "class_id", "group_id", "n_copies", "n_links")
+
     def id_pairs(self) -> DataFrame:
         """All pairs of ids (id_a < id_b), also those within classes of equal word sets.
 

@@ -21,6 +21,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDuplicates(_texts(spark, sf_dir), 0.7).id_pairs()
 
 
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and group of every current observation that has words, with the entity it hangs on."""
+    o = current(load(spark, sf_dir, "observation").select("id", "valid_from", "asserted", "text", "entity_id"), KEYS["observation"])
+    return NearDuplicates(o.select("id", "text"), 0.7).groups().join(o.select("id", "entity_id"), "id")
+
+
 #: Fields of the vector search, in the order of their numbers.
 VECTOR_FIELDS = ["observation.embedding", "entity.embedding", "entity.name_embedding"]
 
@@ -94,7 +100,8 @@ def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current observations and entities, each distinct text tagged once: (src_table, src_id, person, clean, found)."""
     o = _texts(spark, sf_dir).select(F.lit("observation").alias("src_table"), F.col("id").alias("src_id"), F.lit(False).alias("person"), "text")
     e = current(load(spark, sf_dir, "entity").select("id", "valid_from", "asserted", "name", "type"), KEYS["entity"])
-    person = F.coalesce(F.lower(F.trim("type")).isin(PEOPLE), F.lit(True))  # of unknown type: if it is a firm, its name is none of a person
+    # people have no case of their own name; firms' names are none of a person; of unknown type are only people and firms
+    person = F.coalesce(F.lower(F.trim("type")).isin(PEOPLE + FIRMS), F.lit(True))
     e = e.select(F.lit("entity").alias("src_table"), F.col("id").alias("src_id"), person.alias("person"), F.col("name").alias("text"))
     rows = o.unionByName(e)
     return pii.tag(rows, ["src_table", "src_id", "person"])
@@ -163,5 +170,5 @@ def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode(F.when(mixed, F.concat(whole, each)).otherwise(whole)).alias("row")).select("doc_id", "row.*")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p5_found": p5_found, "p5_replaced": p5_replaced, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_languages": p8_languages}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p5_found": p5_found, "p5_replaced": p5_replaced, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_languages": p8_languages}
 SQL: dict[str, str] = {}

@@ -36,6 +36,8 @@ def test_near_duplicates_equal_brute_force(spark, seed, vocabulary, share):
     found = NearDuplicates(df, 0.7, frequent_share=share)
     got = {(x.id_a, x.id_b) for x in found.id_pairs().collect()}
     assert got == brute(rows, 0.7)
+    linked = {r.id: r.group_id for r in found.groups().collect()}
+    assert all(linked[a] == linked[b] for a, b in got)
     assert found.members().count() == sum(1 for _, x in rows if x and regex.search(r"[\p{L}\p{N}]", x))
 
 
@@ -46,6 +48,8 @@ def test_near_duplicates_of_nothing_and_of_copies(spark):
     found = NearDuplicates(spark.createDataFrame(rows, "id string, text string"), 0.8)
     assert found.pairs().count() == 0
     assert found.members().groupBy("cid").count().filter("count = 41").count() == 1
+    groups = {r.id: r for r in found.groups().collect()}
+    assert (groups["c5"].class_id, groups["c5"].group_id, groups["c5"].n_copies, groups["c5"].n_links) == ("c0", "c0", 40, 0)
     assert found.id_pairs().count() == 41 * 40 // 2
 
 
