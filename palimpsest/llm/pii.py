@@ -31,6 +31,8 @@ WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 #: Titles that belong to no name.
 TITLE = re.compile(r"^(?:(?:mr|mrs|ms|dr|prof|herr|frau|mme|sr|sra)\b\.?\s+)+", re.I)
 EXTENSION = re.compile(r"[\s,;]*(?:\bext|\bextension|\bx|\bpost|\bpostes?|\bDurchwahl)\.?\s*\d*$", re.I)
+#: What may follow the part of an address that was found: more labels of its host, with dots or the word dot.
+HOST_END = re.compile(r"(?:[.．][a-z0-9][a-z0-9-]*[a-z0-9]|(?:\s*[(\[]dot[)\]]\s*|\s+dot\s+)(?:example|invalid|test|com|org|net)\b)+", re.I)
 PLACEHOLDER = {t: f"[{t.upper()}]" for t in TYPES}
 Span = tuple[int, int, str]
 
@@ -89,7 +91,7 @@ def label(texts: list[str], model: Tagger) -> list[np.ndarray]:
     return out
 
 
-def spans(text: str, labels: np.ndarray) -> list[Span]:
+def spans(text: str, labels: np.ndarray, lexicon: set[str] | frozenset[str] = frozenset()) -> list[Span]:
     """Passages (first, after last, type) of one text: labelled runs, made whole words and checked."""
     kind = (labels + 1) // 2  # 0: none, else the type's number
     begin = labels % 2 == 1
@@ -97,13 +99,13 @@ def spans(text: str, labels: np.ndarray) -> list[Span]:
     edges = np.flatnonzero(np.diff(np.concatenate([[0], kind, [0]])) | np.concatenate([begin, [False]]))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         if kind[a]:
-            span = checked(text, int(a), int(b), TYPES[kind[a] - 1])
+            span = checked(text, int(a), int(b), TYPES[kind[a] - 1], lexicon)
             if span and (not found or span[0] >= found[-1][1]):
                 found.append(span)
     return found
 
 
-def checked(text: str, a: int, b: int, kind: str) -> Span | None:
+def checked(text: str, a: int, b: int, kind: str, lexicon: set[str] | frozenset[str] = frozenset()) -> Span | None:
     """A passage trimmed and extended to whole words, or None if it can't be of its type."""
     inside = str.isalnum
     while a > 0 and inside(text[a - 1]) and inside(text[a]):
@@ -130,8 +132,15 @@ def checked(text: str, a: int, b: int, kind: str) -> Span | None:
         if m:
             a += m.end()
             body = text[a:b]
-        good = digits == 0 and letters >= 5 and len(re.findall(r"[^\W\d_]+", body)) >= 2 and "\n" not in body
+        parts = re.findall(r"[^\W\d_]+", body)
+        ordinary = any(len(w) > 1 and w.lower() in lexicon for w in parts)
+        good = digits == 0 and letters >= 5 and len(parts) >= 2 and "\n" not in body and not ordinary
     elif kind == "email":
+        rest = HOST_END.match(text[b:])
+        if rest:
+            b += rest.end()
+        b -= len(text[a:b]) - len(re.sub(r"(?i)(?:[\s(\[]+dot[)\]]?)+$", "", text[a:b]))
+        body = text[a:b]
         m = re.match(r"(?i)mailto:", body)
         if m:
             a += m.end()
@@ -171,7 +180,7 @@ def tag(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 texts = [t or "" for t in batch.column(len(keys)).to_pylist()]
-                hits = [spans(t, x) if t else [] for t, x in zip(texts, label(texts, model), strict=True)]
+                hits = [spans(t, x, model.lexicon) if t else [] for t, x in zip(texts, label(texts, model), strict=True)]
                 clean = [replace(t, h) if h else t for t, h in zip(texts, hits, strict=True)]
                 mask = batch.column(len(keys)).is_null().to_numpy(zero_copy_only=False)
                 found = [[{"pii_type": k, "passage": t[a:b]} for a, b, k in h] for t, h in zip(texts, hits, strict=True)]

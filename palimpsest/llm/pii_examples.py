@@ -88,7 +88,7 @@ class Maker:
             f"+49 30 23125 {self.digits(3)}", f"00{self.digits(2)} {self.digits(3)} {self.digits(3)} {self.digits(3)}",
         )
         if self.r.random() < 0.1:
-            p = p.replace("-", self.pick("‑", "–")).replace(" ", " ")
+            p = p.replace("-", self.pick("\u2011", "\u2013")).replace(" ", "\u00a0")
         x = self.r.random()
         return [(p, "phone")] + ([(self.pick(" ext. ", " x", " ext ", ", ext. ") + self.digits(self.r.randint(2, 4)), "")] if x < 0.12 else [])
 
@@ -131,7 +131,7 @@ class Maker:
             ["login was ", e, "."], ["cc ", e, "; bcc ", e, "."], ["Send the minutes to ", e, " please."], ["User said: my ", i, ", my mail is ", e, "."], ["New phone ", p, ", old one ", p, " is dead."], ["The form shows ", i, " next to ", p, "."],
             ["The badge request lists ", i, "."], ["Hinterlegt ist ", i, "."], ["Le dossier indique ", i, "."], ["El expediente indica ", i, "."], ["Il modulo riporta ", i, "."], ["Deliver the laptop to ", a, " next week."], ["Ship to: ", a, "."], ["Lieferung an ", a, ", Tel. ", p, "."],
             ["Entrega en ", a, "."], ["Livraison : ", a, "."], ["Visitors should come to ", a, " and ring ", p, "."], ["Reached ", p, ", nobody answered."], ["Rückfragen an ", e, "."], ["Escribir a ", e, " antes del lunes."], ["Écrire à ", e, " avant lundi."],
-            ["Call ", p], ["Ask ", n, " (", p, ")"], ["Meeting ", n, " / ", n], ["Site visit ", a], ["Check ", i], ["Form ", i, " for ", n], [self.thing(), " contact ", e], [n, " <", e, ">"], ["Delivery to ", a], ["Note from ", n, ": call ", p], ["Позвонить ", n, " по номеру ", p, "."],
+            ["Call ", p], ["Call ", p], ["Call back ", p, " (", lambda: [(self.thing(), "")], ")"], ["Mail to ", e], ["Delivery ", a], ["Ask ", n, " (", p, ")"], ["Meeting ", n, " / ", n], ["Site visit ", a], ["Check ", i], ["Form ", i, " for ", n], [self.thing(), " contact ", e], [self.thing(), " contact ", e], [n, " <", e, ">"], ["Delivery to ", a], ["Note from ", n, ": call ", p], ["Позвонить ", n, " по номеру ", p, "."],
         )
         out: list[tuple[str, str]] = []
         for part in made:
@@ -148,11 +148,12 @@ class Maker:
             f"Invoice no. {self.pick(f'{d(3)}-{d(3)}-{d(3)}', f'{d(2)}-{d(3)}-{d(3)}', f'{d(3)}-{d(2)}-{d(3)}')} covers {self.thing()} storage.", f"Rechnung Nr. {d(3)}-{d(3)}-{d(3)} liegt bei.", f"Build {d(5)}.{d(1)}.{d(3)} passed on port 80{d(1)}.",
             f"The probe at {self.pick('192.0.2', '198.51.100', '203.0.113')}.{d(1)} answered in {d(3)} ms.", f"Measured {d(4)}.555 and {d(4)}.0{d(2)} on {self.thing()}.", f"Window 2024-0{self.r.randint(1, 9)}-1{d(1)} 0{d(1)}:{d(2)} to 0{d(1)}:{d(2)}.",
             f"Version 00.{d(3)}.{d(3)}.{d(3)} replaced {d(1)}.{d(1)}.{d(1)}.",
-            f"Meeting about {self.thing()} / {self.thing()}", f"Invoice {d(4)}-{d(4)} over {d(4)} EUR at 10:{d(2)} on 2024-0{self.r.randint(1, 9)}-1{d(1)}.",
+            f"Meeting about {self.thing()} / {self.thing()}", f"Project {self.thing()}", f"Review the second milestone for {self.thing()}", f"{self.stem()}{self.r.choice(FIRMS)} {self.pick('Research', 'Foundation', 'Publishing', 'International', 'Systems')} {self.pick('AG', 'Ltd', 'LLC', 'BV')}", f"Invoice {d(4)}-{d(4)} over {d(4)} EUR at 10:{d(2)} on 2024-0{self.r.randint(1, 9)}-1{d(1)}.",
         )
 
     def note(self) -> str:
-        return self.r.choice(self.notes)
+        note = self.r.choice(self.notes)
+        return note.upper() if self.r.random() < 0.08 else note
 
     def example(self, most: int = 200) -> list[tuple[str, str]]:
         """Parts of one example, about ``most`` characters."""
@@ -161,6 +162,8 @@ class Maker:
         for what in self.r.choices("cdn", weights=(5, 4, 4), k=self.r.randint(1, 4)):
             parts += self.carrier() if what == "c" else [(self.decoy() if what == "d" else self.note(), "")]
             parts.append((gap, ""))
+        if self.r.random() < 0.5:
+            parts.pop()
         if self.r.random() < 0.2:
             parts.insert(0, (self.pick("> ", "- ", "**Note** "), ""))
         out, size = [], 0

@@ -66,7 +66,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 class Tagger:
     """Weights: input table per direction (already projected), recurrent matrices, output and transitions."""
 
-    def __init__(self, hidden: int = 20, seed: int = 1):
+    def __init__(self, hidden: int = 16, seed: int = 1):
         r = np.random.default_rng(seed)
         h, k = hidden, len(LABELS)
         self.w = {f"{n}{d}": v for d in "fb" for n, v in (("x", r.normal(0, 0.25, (VOCAB, 4 * h))), ("u", r.normal(0, 1 / np.sqrt(h), (h, 4 * h))))}
@@ -74,6 +74,7 @@ class Tagger:
         for d in "fb":
             self.w["x" + d][:, h : 2 * h] += 1  # remember at first
         self.w = {n: v.astype(np.float32) for n, v in self.w.items()}
+        self.lexicon: set[str] = set()  # ordinary words, which are no part of a name
 
     @property
     def hidden(self) -> int:
@@ -106,25 +107,62 @@ class Tagger:
         return (out, kept) if keep else out
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
-        """Scores (T, B, K) of (T, B) inputs."""
+        """Scores (T, B, K) of (T, B) inputs; both directions step together."""
+        steps, count = ids.shape
         h = self.hidden
+        u = np.stack([self.w["uf"], self.w["ub"]])
+        # the same numbers, arranged so that one exponential serves all gates: tanh(x) = 2 sigmoid(2 x) - 1
+        twice = np.ones(4 * h, np.float32)
+        twice[3 * h :] = 2
+        u, xf, xb = u * twice, self.w["xf"] * twice, self.w["xb"] * twice
+        state, cell = np.zeros((2, count, h), np.float32), np.zeros((2, count, h), np.float32)
+        out = np.empty((2, steps, count, h), np.float32)
+        z = np.empty((2, count, 4 * h), np.float32)
+        some = (ids == 0).any(1)
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                back = steps - 1 - t
+                np.matmul(state, u, out=z)
+                z[0] += xf[ids[t]]
+                z[1] += xb[ids[back]]
+                np.negative(z, out=z)
+                np.exp(z, out=z)
+                z += 1
+                np.reciprocal(z, out=z)
+                new = z[..., 3 * h :] * 2
+                new -= 1
+                new *= z[..., :h]
+                cell *= z[..., h : 2 * h]
+                cell += new
+                np.tanh(cell, out=state)
+                state *= z[..., 2 * h : 3 * h]
+                for d, at in ((0, t), (1, back)):
+                    if some[at]:  # padding leaves the state at rest
+                        rest = ids[at] == 0
+                        state[d, rest], cell[d, rest] = 0, 0
+                out[0, t], out[1, back] = state[0], state[1]
         o = self.w["o"]
-        return self.run(ids, "f") @ o[:h] + self.run(ids, "b") @ o[h:] + self.w["c"]
+        score = out[0] @ o[:h]
+        score += out[1] @ o[h:]
+        score += self.w["c"]
+        return score
 
     def decode(self, score: np.ndarray) -> np.ndarray:
         """Best labels (T, B) of scores (T, B, K)."""
         move = self.w["t"]
         steps, count, k = score.shape
-        best, back = score[0], np.empty((steps, count, k), np.int8)
+        by_label = np.ascontiguousarray(score.transpose(0, 2, 1))  # (T, K, B): the batch lies along memory
+        best = np.empty_like(by_label)
+        best[0] = by_label[0]
+        wide = np.empty((k, k, count), np.float32)
         for t in range(1, steps):
-            s = best[:, :, None] + move
-            back[t] = s.argmax(1)
-            best = s.max(1) + score[t]
+            np.add(best[t - 1][:, None, :], move[:, :, None], out=wide)
+            np.max(wide, axis=0, out=best[t])
+            best[t] += by_label[t]
         out = np.empty((steps, count), np.int64)
-        out[-1] = best.argmax(1)
-        rows = np.arange(count)
+        out[-1] = best[-1].argmax(0)
         for t in range(steps - 1, 0, -1):
-            out[t - 1] = back[t, rows, out[t]]
+            out[t - 1] = (best[t - 1] + move[:, out[t]]).argmax(0)
         return out
 
     def gradient(self, ids: np.ndarray, gold: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -173,13 +211,14 @@ class Tagger:
         return loss / (steps * count), {n: g / count for n, g in grad.items()}
 
     def save(self, path: str) -> None:
-        np.savez_compressed(path, **{n: v.astype(np.float16) for n, v in self.w.items()})
+        np.savez_compressed(path, lexicon=np.array(sorted(self.lexicon)), **{n: v.astype(np.float16) for n, v in self.w.items()})
 
     @staticmethod
     def load(path: str) -> Tagger:
         tagger = Tagger.__new__(Tagger)
         with np.load(path) as data:
-            tagger.w = {n: data[n].astype(np.float32) for n in data.files}
+            tagger.w = {n: data[n].astype(np.float32) for n in data.files if n != "lexicon"}
+            tagger.lexicon = set(data["lexicon"].tolist()) if "lexicon" in data.files else set()
         return tagger
 
 

@@ -6,11 +6,11 @@ import sys
 import time
 from pathlib import Path
 
-from palimpsest.llm.pii_examples import MAYBE, Maker
+from palimpsest.llm.pii_examples import GIVEN, MAYBE, Maker
 from palimpsest.llm.pii_tagger import LABELS, Tagger, batch_of, train
 
 
-def notes(path: str, most: int = 4000) -> list[str]:
+def notes(path: str, most: int = 12000) -> list[str]:
     """Sentences of real notes that hold nothing like personal data."""
     import re
 
@@ -26,10 +26,20 @@ def notes(path: str, most: int = 4000) -> list[str]:
     return sorted(found)[:: max(1, len(found) // most)]
 
 
+def lexicon(sentences: list[str], least: int = 3) -> set[str]:
+    """Words of ordinary text, in lower case: in several of the sentences, and no given names."""
+    import re
+    from collections import Counter
+
+    count = Counter(w for s in sentences for w in set(re.findall(r"[^\W\d_]+", s.lower())))
+    return {w for w, n in count.items() if n >= least} - {g.lower() for g in GIVEN}
+
+
 def main(source: str, out: str, steps: int) -> None:
     maker = Maker(11, notes(source))
     began = time.time()
     tagger = Tagger()
+    tagger.lexicon = lexicon(maker.notes)
 
     def report(step: int, loss: float) -> None:
         print(step, round(loss, 4), round(time.time() - began), flush=True)
