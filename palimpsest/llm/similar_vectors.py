@@ -102,22 +102,31 @@ class Block:
     def meet(self, other: Block, least: float) -> None:
         """Compare all rows of two blocks; both keep their best."""
         s = self.x @ other.x.T
-        s[self.field[:, None] != other.field[None, :]] = -2
+        mine, theirs = self.field, other.field
+        if mine[0] != mine[-1] or theirs[0] != theirs[-1] or mine[0] != theirs[0]:  # rows are in the order of fields
+            s[mine[:, None] != theirs[None, :]] = -2
         if self is other:
             np.fill_diagonal(s, -2)
-        self.take(s, other, least)
+        self.take(s, *self.good(s, least, 0), other)
         if self is not other:
-            other.take(s.T, self, least)
+            other.take(s.T, *other.good(s, least, 1), self)
 
-    def take(self, s: np.ndarray, other: Block, least: float) -> None:
-        k = self.k
+    def good(self, s: np.ndarray, least: float, axis: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of this block and of the other that may be among the best; this block's rows lie along ``axis`` of s."""
+        worst = np.maximum(self.sim[:, -1], np.float32(least))
         if least > 0.3:
-            row, col = np.nonzero(s >= np.maximum(self.sim[:, -1], np.float32(least))[:, None])
-        else:
-            best = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, :k]
-            row, col = np.repeat(np.arange(len(s)), best.shape[1]), best.ravel()
-            keep = (s[row, col] >= max(least, -1)) & (s[row, col] >= self.sim[row, -1])
-            row, col = row[keep], col[keep]
+            at = np.flatnonzero(s >= (worst[None, :] if axis else worst[:, None]))
+            pair = np.divmod(at, s.shape[1])
+            return (pair[1], pair[0]) if axis else pair
+        s = s.T if axis else s
+        best = np.argpartition(-s, min(self.k, s.shape[1] - 1), axis=1)[:, : self.k]
+        row, col = np.repeat(np.arange(len(s)), best.shape[1]), best.ravel()
+        keep = (s[row, col] >= worst[row]) & (s[row, col] > -2)
+        return row[keep], col[keep]
+
+    def take(self, s: np.ndarray, row: np.ndarray, col: np.ndarray, other: Block) -> None:
+        """Keep the best of what is known and of the candidates (row, col) with their similarities in s."""
+        k = self.k
         if not len(row):
             return
         np.add.at(self.mean, row, other.x[col])
