@@ -146,6 +146,9 @@ class Model:
         sizes = np.array([len(x) for x in words.lists])
         flat = np.fromiter((f for x in words.lists for f in x), np.int64, sizes.sum())
         head, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+        by_feature = np.argsort(flat, kind="stable")
+        used, first = np.unique(flat[by_feature], return_index=True)
+        by_feature = owner[by_feature]
         square_w, square_m, square_s = np.full_like(self.weight, 1e-3), np.full_like(self.move, 1e-3), np.full_like(self.start, 1e-3)
         for _ in range(steps):
             chains = []
@@ -167,13 +170,17 @@ class Model:
             grad = -p.astype(np.float32)
             np.put_along_axis(grad, gold[..., None], np.take_along_axis(grad, gold[..., None], 2) + 1, 2)
             of_word = np.zeros_like(emission)
-            np.add.at(of_word, index[mask], grad[mask])
-            of_weight = np.zeros_like(self.weight)
-            np.add.at(of_weight, flat, of_word[owner])
+            word, slope = index[mask], grad[mask]
+            order = np.argsort(word, kind="stable")
+            there_words, at = np.unique(word[order], return_index=True)
+            of_word[there_words] = np.add.reduceat(slope[order], at)
+            of_weight = np.add.reduceat(of_word[by_feature], first)
             real = np.zeros_like(self.move)
             np.add.at(real, (gold[:, :-1][mask[:, 1:]], gold[:, 1:][mask[:, 1:]]), 1)
+            step = of_weight / batch - 1e-5 * self.weight[used]
+            square_w[used] += step * step
+            self.weight[used] += 0.3 * step / np.sqrt(square_w[used])
             for value, square, step in (
-                (self.weight, square_w, of_weight / batch - 1e-5 * self.weight),
                 (self.move, square_m, ((real - moves) / batch).astype(np.float32)),
                 (self.start, square_s, grad[:, 0].mean(0)),
             ):
