@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a block, and how many blocks before and after its own a row is compared with.
-BLOCK, REACH = 2048, 5
+BLOCK, REACH = 2048, 8
 #: Dimensions of the projection and bits of each on the curve.
 DIMS, BITS = 10, 4
 #: Bits of the uid below the place.
