@@ -128,10 +128,10 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Container and position of every document, or piece of a long one, for each row of context_window."""
     sizes = stored(tokens.count(load(spark, sf_dir, "documents"), ["doc_id"]), "sizes")
-    out = None
+    out = packing.pack(sizes.limit(0), 1).withColumn("window_name", F.lit(""))  # what is left where no window is given
     for window in load(spark, sf_dir, "context_window").dropna().distinct().orderBy("window_name").collect():
         packed = packing.pack(sizes, window["capacity"]).withColumn("window_name", F.lit(window["window_name"]))
-        out = packed if out is None else out.unionByName(packed)
+        out = out.unionByName(packed)
     return out.select("window_name", "container", "position", "doc_id", "piece_no", "start", "length")
 
 
