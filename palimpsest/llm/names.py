@@ -1,8 +1,11 @@
 """Variant spellings of the names of people and organisations.
 
 Names are cut into tokens (folded accents, no titles, pronouns or addresses).
-A symmetric-delete index finds tokens a small edit apart: a token and all forms
-with one letter less are keys, names that share a key are candidates. Each
+A symmetric-delete index finds tokens a small edit apart: a token, its long
+forms and all of these with one letter less (two, from nine letters on) are
+keys, names that share a key are candidates. Where very many names share a key
+they are candidates only if a second pair of their tokens may match as well,
+which every match of such names needs. Each
 candidate pair is verified by the cheapest assignment of its tokens, which may
 pair equal tokens, typing errors, nicknames, initials and abbreviations. Pairs
 whose tokens all match for certain join into groups; names with only an initial
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from palimpsest.operators.components import connected_components
 from palimpsest.session import stored
 
-#: A token of more than this many names and this share of all names is common: it finds candidates only together with the name's other tokens.
+#: A key of more than this many names and this share of all names is common: it finds candidates only together with a second key.
 COMMON_NAMES, COMMON_SHARE = 60, 0.0005
 #: Titles and what else is no part of a name.
 TITLES = {"mr", "mrs", "ms", "dr", "prof", "phd", "sir", "herr", "frau", "mme", "sra", "sr", "jr"}
@@ -164,6 +167,8 @@ class Matcher:
             if (hard_a and hard_b) or (lone_a and lone_b):
                 continue
             pairs = [(a[i], b[j], costs[i][j]) for i, j in enumerate(choice) if j is not None]
+            if hard_b and any(len(x) > 1 and len(y) == 1 for x, y, _ in pairs):  # the initial of a middle name, beside another family name
+                continue
             core = any(c < 0.3 and min(len(x), len(y)) >= 5 for x, y, c in pairs)
             if not core:
                 continue
@@ -185,6 +190,90 @@ def deletes(token: str) -> list[str]:
     return [token, *{token[:i] + token[i + 1 :] for i in range(len(token))}]
 
 
+def token_keys(token: str, alias: dict[str, set[str]]) -> set[str]:
+    """Keys of a token: two tokens that ``Matcher.cost`` takes as equal, nicknames or typing errors share one."""
+    out: set[str] = set()
+    for t in {token} | alias.get(token, set()):
+        some = {t} if len(t) < 4 else set(deletes(t))
+        out |= some if len(t) < 9 else {x for d in some for x in deletes(d)}
+    return out
+
+
+def second_keys(token: str, firm: bool) -> list[tuple[str, int]]:
+    """Keys by which a token meets those it is short for, or that are short for it, with a side: 1 meets 2."""
+    if len(token) == 1:  # an initial meets what begins with it, another initial too
+        return [(f"i{token}", 1), (f"i{token}", 2)]
+    out = [(f"i{token[0]}", 2)]
+    if len(token) >= 3:  # a beginning
+        out += [(f"p{token}", 1), *((f"p{token[:n]}", 2) for n in range(3, len(token)))]
+    # an abbreviation, where one of the two names is a firm's
+    if len(token) <= 5:
+        out.append((f"{'a' if firm else 'f'}{token[0]}", 1))
+    if len(token) >= 5:
+        out += [(f"a{token[0]}", 2), *([(f"f{token[0]}", 2)] if firm else [])]
+    return out
+
+
+def candidates(forms: DataFrame, matcher: Matcher) -> DataFrame:
+    """(a, b) with a < b: the ``fid`` of all pairs of names that ``Matcher.compare`` may accept, and others.
+
+    ``forms``: (fid, parts), stored. ``compare`` matches every token of the
+    shorter name, one pair of them for certain, so the two names share a key of
+    that pair. If the key is common, then a name of one word (legal forms and
+    small words aside) meets all that have it; two longer names meet where
+    another pair of their tokens shares a common key too, or may be a beginning,
+    an initial or an abbreviation. A rare key of that pair finds them anyway.
+    """
+    total = forms.count()
+
+    def keyed(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            found = [
+                (f, i, k, sum(t not in SMALL and t not in LEGAL for t in parts) < 2)
+                for f, parts in zip(pdf["fid"], pdf["parts"], strict=True)
+                for i, t in enumerate(parts)
+                if len(t) > 1 and (t not in LEGAL or len(parts) == 1)
+                for k in token_keys(t, matcher.alias)
+            ]
+            yield pd.DataFrame(found, columns=["fid", "i", "key", "lone"])
+
+    def seconds(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            found = [
+                (f, j, k, side)
+                for f, parts in zip(pdf["fid"], map(list, pdf["parts"]), strict=True)
+                for firm in [matcher.firm(parts) or any(t in LEGAL for t in parts)]
+                for j, t in enumerate(parts)
+                if t not in LEGAL
+                for k, side in second_keys(t, firm)
+            ]
+            yield pd.DataFrame(found, columns=["fid", "j", "second", "side"])
+
+    keys = forms.select("fid", "parts").mapInPandas(keyed, "fid long, i int, key string, lone boolean")
+    keys = stored(keys.select("fid", "i", F.xxhash64("key").alias("key"), "lone"), "keys")
+    common = keys.groupBy("key").agg(F.countDistinct("fid").alias("n")).filter(F.col("n") > max(COMMON_NAMES, total * COMMON_SHARE)).select("key")
+
+    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+        """Pairs of names on equal keys; hot keys are split by the adaptive join."""
+        both = x.select("key", F.col("fid").alias("fx")).distinct().join(y.select("key", F.col("fid").alias("fy")).distinct(), "key").filter("fx <> fy")
+        return both.select(F.least("fx", "fy").alias("a"), F.greatest("fx", "fy").alias("b"))
+
+    rare = keys.join(common, "key", "left_anti").select("key", "fid").distinct()
+    found = rare.withColumnRenamed("fid", "a").join(rare.withColumnRenamed("fid", "b"), "key").filter("a < b").select("a", "b")
+    often = stored(keys.join(common, "key", "left_semi"), "often")
+    if not often.isEmpty():
+        some = forms.join(often.select("fid").distinct(), "fid", "left_semi").select("fid", "parts")
+        second = some.mapInPandas(seconds, "fid long, j int, second string, side int").select("fid", "j", F.xxhash64("second").alias("second"), "side")
+        second = second.unionByName(often.select("fid", F.col("i").alias("j"), F.col("key").alias("second"), F.lit(0).alias("side")))
+        double = often.filter("NOT lone").join(second, "fid").filter("i <> j").select("fid", "side", F.xxhash64("key", "second").alias("key"))
+        double = stored(double.distinct(), "double")
+        both = double.filter("side = 0").select("key", "fid")
+        found = found.unionByName(meet(often.filter("lone"), often))
+        found = found.unionByName(both.withColumnRenamed("fid", "a").join(both.withColumnRenamed("fid", "b"), "key").filter("a < b").select("a", "b"))
+        found = found.unionByName(meet(double.filter("side = 1"), double.filter("side = 2")))
+    return found.distinct()
+
+
 def link(entities: DataFrame, alias: DataFrame, firm_words: set[str]) -> DataFrame:
     """(id_a, id_b): entities whose names mean the same person or organisation, all pairs of a group.
 
@@ -211,22 +300,9 @@ def link(entities: DataFrame, alias: DataFrame, firm_words: set[str]) -> DataFra
 
     named = stored(entities.filter("trim(name) <> ''").select("id", cut("name").alias("parts")).withColumn("form", F.concat_ws(" ", "parts")), "names")
     forms = named.groupBy("form").agg(F.first("parts").alias("parts")).filter(F.exists("parts", lambda t: F.length(t) >= 5))
-    forms = stored(forms, "forms")
-    total = forms.count()
-    single = forms.select("form", "parts", F.explode("parts").alias("t")).filter(F.length("t") >= 5)
-    common = single.groupBy("t").count().filter(F.col("count") > max(COMMON_NAMES, total * COMMON_SHARE)).select("t")  # at most mean tokens / COMMON_SHARE
-
-    def keyed(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            found = [(f, d) for f, t in zip(pdf["form"], pdf["t"], strict=True) for d in deletes(t)]
-            yield pd.DataFrame(found, columns=["form", "key"])
-
-    rare = single.join(F.broadcast(common), "t", "left_anti").select("form", "t")
-    # names of common tokens only: their whole spelling is the token
-    whole = forms.join(rare.select("form"), "form", "left_anti").select("form", F.col("form").alias("t"))
-    keys = rare.unionByName(whole).mapInPandas(keyed, "form string, key string").select("form", F.xxhash64("key").alias("key")).distinct()
-    a, b = keys.withColumnRenamed("form", "fa"), keys.withColumnRenamed("form", "fb")
-    pairs = a.join(b, "key").filter("fa < fb").select("fa", "fb").distinct()
+    forms = stored(forms.withColumn("fid", F.monotonically_increasing_id()), "forms")
+    pairs = candidates(forms, matcher).join(forms.select(F.col("fid").alias("a"), F.col("form").alias("x")), "a").join(forms.select(F.col("fid").alias("b"), F.col("form").alias("y")), "b")
+    pairs = pairs.select(F.least("x", "y").alias("fa"), F.greatest("x", "y").alias("fb"))
 
     @F.pandas_udf("int")
     def grade(fa: pd.Series, fb: pd.Series) -> pd.Series:

@@ -70,3 +70,26 @@ def test_edit_distance(a, b, want):
 def test_deletes_meet_at_one_edit():
     for a, b in (("torvan", "torvn"), ("torvan", "tovran"), ("torvan", "torxan")):
         assert set(names.deletes(a)) & set(names.deletes(b))
+
+
+def test_common_tokens_still_find_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(names, "COMMON_NAMES", 2)
+    monkeypatch.setattr(names, "COMMON_SHARE", 0.0)
+    given = ["william", "bill", "willaim", "w", "christopher", "chirstohper", "kit", "susan"]
+    family = ["torvanquist", "torvnaquits", "allen", "alan", "al", "t", "de kim", ""]
+    firms = ["belarmesh foundation llc", "belarmesh fdn", "belarmesh foods", "blarmesh foods ltd", "belarmesh"]
+    parts = [sorted(names.tokens(f"{g} {f}")) for g in given for f in family] + [sorted(names.tokens(f)) for f in firms]
+    matcher = names.Matcher({"bill": {"william"}, "kit": {"christopher"}})
+    matcher.words = {"foundation", "foods"}
+    forms = spark.createDataFrame(list(enumerate(parts)), "fid long, parts array<string>")
+    got = {(p.a, p.b) for p in names.candidates(forms, matcher).collect()}
+    want = {(i, j) for j in range(len(parts)) for i in range(j) if parts[i] != parts[j] and matcher.compare(parts[i], parts[j])}
+    assert len(want) > 100
+    assert not want - got
+    assert len(got) < len(parts) * (len(parts) - 1) / 2
+
+
+def test_initial_beside_another_family_name_is_no_match():
+    matcher = names.Matcher({})
+    assert matcher.compare(["david", "torekvanberg"], ["david", "t", "wilulsodottir"]) == 0
+    assert matcher.compare(["david", "torekvanberg"], ["d", "torekvanberg"]) == 1
