@@ -8,6 +8,8 @@ instead of direct, to the fixpoint.
 
 from __future__ import annotations
 
+import functools
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -95,7 +97,7 @@ class ForeignKey:
     parent: str
 
 
-def orphan_cascade(tables: dict[str, DataFrame], keys: list[ForeignKey], max_rounds: int = 50) -> DataFrame:
+def orphan_cascade(tables: dict[str, DataFrame], keys: list[ForeignKey], max_rounds: int | None = None, direct: DataFrame | None = None) -> DataFrame:
     """Orphans by table and key: (src_table, src_key, depth, how), ``how`` direct or inherited.
 
     ``tables`` maps a name to a frame with a column ``key`` (unique, normalised)
@@ -125,11 +127,12 @@ def orphan_cascade(tables: dict[str, DataFrame], keys: list[ForeignKey], max_rou
         there = one if there is None else there.unionByName(one)
     # distinct references first: a hot parent costs one row per task, not one per child
     gone = refs.select("parent", "ref").distinct().join(there.distinct(), ["parent", "ref"], "left_anti")
-    found = stored(
-        refs.join(gone, ["parent", "ref"], "left_semi").select("src_table", "src_key").distinct().withColumn("depth", F.lit(0)), "orphans"
-    )
-    frontier, rounds = found, [found]
-    for depth in range(1, max_rounds + 1):
+    first = refs.join(gone, ["parent", "ref"], "left_semi").select("src_table", "src_key")
+    if direct is not None:
+        first = first.unionByName(direct.select("src_table", "src_key"))
+    frontier = stored(first.distinct().withColumn("depth", F.lit(0)), "orphans")
+    rounds = [frontier]
+    for depth in itertools.count(1):
         up = frontier.select(F.col("src_table").alias("parent"), norm_id("src_key").alias("ref"))
         new = refs.join(up, ["parent", "ref"], "left_semi").select("src_table", "src_key").distinct()
         for seen in rounds:
@@ -137,7 +140,11 @@ def orphan_cascade(tables: dict[str, DataFrame], keys: list[ForeignKey], max_rou
         frontier = stored(new.withColumn("depth", F.lit(depth)), "orphans")
         if frontier.isEmpty():
             break
+        if max_rounds is not None and depth >= max_rounds:
+            raise RuntimeError(f"the cascade has not ended after {max_rounds} rounds")
         rounds.append(frontier)
+        if len(rounds) == 10:  # keeps the plan of long chains small
+            rounds = [stored(functools.reduce(DataFrame.unionByName, rounds), "orphans")]
     out = rounds[0]
     for more in rounds[1:]:
         out = out.unionByName(more)

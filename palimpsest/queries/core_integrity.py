@@ -11,7 +11,7 @@ from palimpsest.tables import KEYS, load
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every orphan reference of a current record to an entity, direct ones."""
+    """Every orphan reference of a current record to an entity: the direct round of p2_orphans, with its kinds."""
     return integrity.entity_references(*(load(spark, sf_dir, t) for t in ("entity", "observation", "relationship")))
 
 
@@ -39,6 +39,22 @@ def p2_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.orphan_cascade(tables, keys).groupBy("src_table", "how", "depth").agg(F.count("*").alias("n_records"))
 
 
+def p2_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every direct and inherited orphan: the records of p2_found, those without their session or task, and what depends on them."""
+    o = current(load(spark, sf_dir, "observation").select("id", "valid_from", "asserted", "session_id", "task_id"), KEYS["observation"])
+    tables = {
+        "observation": o.select(F.col("id").alias("key"), "session_id", "task_id"),
+        "session": load(spark, sf_dir, "session_state").select(integrity.norm_id("session_id").alias("key")),
+        "task": load(spark, sf_dir, "task_state").select(integrity.norm_id("task_id").alias("key"), "session_id"),
+    }
+    keys = [
+        integrity.ForeignKey("observation", "session_id", "session"),
+        integrity.ForeignKey("observation", "task_id", "task"),
+        integrity.ForeignKey("task", "session_id", "session"),
+    ]
+    return integrity.orphan_cascade(tables, keys, direct=p2_found(spark, sf_dir))
+
+
 _FOUND = """
 WITH e AS (SELECT lower(trim(id)) AS ref_id, valid_from, asserted FROM entity),
 latest AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY valid_from DESC, asserted) = 1),
@@ -55,7 +71,7 @@ found AS (
   FROM refs LEFT JOIN latest USING (ref_id) LEFT JOIN firsts USING (ref_id) WHERE refs.ref_id <> '')
 """
 
-QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p2_cascade": p2_cascade}
+QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p2_cascade": p2_cascade, "p2_orphans": p2_orphans}
 SQL = {
     "p2_found": _FOUND + "SELECT * FROM found WHERE kind IS NOT NULL",
     "p2_counts": _FOUND + "SELECT src_table, ref_field, kind, ref_month, count(*) AS n_refs FROM found WHERE kind IS NOT NULL GROUP BY ALL",
