@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.names import NICKNAMES
 from palimpsest.llm.pii_tagger import LABELS, TYPES, Tagger, numbers
 
 #: Characters of a window, and how many two windows share.
@@ -30,6 +31,10 @@ AT_ONCE = 256
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 #: Titles that belong to no name.
 TITLE = re.compile(r"^(?:(?:mr|mrs|ms|dr|prof|herr|frau|mme|sr|sra)\b\.?\s+)+", re.I)
+#: Given names that may be ordinary words as well.
+GIVEN = {*NICKNAMES, *" ".join(NICKNAMES.values()).split()}
+#: Words between two names.
+AND = re.compile(r"\s(?:and|und|et|och)\s", re.I)
 EXTENSION = re.compile(r"[\s,;]*(?:\bext|\bextension|\bx|\bpost|\bpostes?|\bDurchwahl)\.?\s*\d*$", re.I)
 #: What may follow the part of an address that was found: more labels of its host, with dots or the word dot.
 HOST_END = re.compile(r"(?:[.．][a-z0-9][a-z0-9-]*[a-z0-9]|(?:\s*[(\[]dot[)\]]\s*|\s+dot\s+)(?:example|invalid|test|com|org|net)\b)+", re.I)
@@ -98,8 +103,11 @@ def spans(text: str, labels: np.ndarray, lexicon: set[str] | frozenset[str] = fr
     found: list[Span] = []
     edges = np.flatnonzero(np.diff(np.concatenate([[0], kind, [0]])) | np.concatenate([begin, [False]]))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        if kind[a]:
-            span = checked(text, int(a), int(b), TYPES[kind[a] - 1], lexicon)
+        what = TYPES[kind[a] - 1] if kind[a] else ""
+        cuts = [x for m in AND.finditer(text, a, b) for x in m.span()] if what == "name" else []
+        ends = [int(a), *cuts, int(b)]
+        for first, last in zip(ends[::2], ends[1::2], strict=True) if what else ():
+            span = checked(text, first, last, what, lexicon)
             if span and (not found or span[0] >= found[-1][1]):
                 found.append(span)
     return found
@@ -132,9 +140,18 @@ def checked(text: str, a: int, b: int, kind: str, lexicon: set[str] | frozenset[
         if m:
             a += m.end()
             body = text[a:b]
-        parts = re.findall(r"[^\W\d_]+", body)
-        ordinary = any(len(w) > 1 and w.lower() in lexicon for w in parts)
-        good = digits == 0 and letters >= 5 and len(parts) >= 2 and "\n" not in body and not ordinary
+        words = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[^\W\d_]+", body)]
+        odd = [len(w) > 1 and w.lower() in lexicon for *_, w in words]
+        # ordinary words at the ends are neighbours that the span took in, but of two words a capitalised one may be the name's (May, Long)
+        first, last = 0, len(words)
+        stray = [o and w.lower() not in GIVEN for (*_, w), o in zip(words, odd, strict=True)]
+        while last > first and stray[first] and (last - first > 2 or words[first][2].islower()):
+            first += 1
+        while last > first and stray[last - 1] and (last - first > 2 or words[last - 1][2].islower()):
+            last -= 1
+        if last > first:
+            a, b = a + words[first][0], a + words[last - 1][1]
+        good = digits == 0 and last - first >= 2 and any(len(w) > 1 and not o for (*_, w), o in zip(words[first:last], odd[first:last], strict=True))
     elif kind == "email":
         rest = HOST_END.match(text[b:])
         if rest:

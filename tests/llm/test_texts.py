@@ -135,3 +135,17 @@ def test_personal_data_across_windows(spark):
     text = filler + "Send the minutes to kofi.belarnson@post.tarlux.example please. " + filler
     found = pii.tag(spark.createDataFrame([(1, text)], "id int, text string"), ["id"]).first()
     assert [x.passage for x in found.found] == ["kofi.belarnson@post.tarlux.example"]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Will Selodtimwright", ["Will Selodtimwright"]), ("Dot Zelevabley", ["Dot Zelevabley"]), ("May Torvanquist", ["May Torvanquist"]), ("Li Wu", ["Li Wu"]),
+        ("Bitte Hesorrikdale, Benjamin", ["Hesorrikdale, Benjamin"]), ("Ingrid\nTorelvaquist", ["Ingrid\nTorelvaquist"]), ("über Korozora", []), ("may will", []),
+        ("Jo Wexidiier and S. Urbamnonford", ["Jo Wexidiier", "S. Urbamnonford"]),
+    ],
+)
+def test_ordinary_words_do_not_drop_names(text, want):
+    labels = np.full(len(text), 2 * pii.TYPES.index("name") + 2)
+    lexicon = {"will", "may", "dot", "bitte", "über", "and"}
+    assert [text[a:b] for a, b, _ in pii.spans(text, labels, lexicon)] == want
