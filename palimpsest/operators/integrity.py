@@ -1,9 +1,10 @@
 """References to records that do not exist, and what depends on them.
 
-``entity_references`` classifies each reference of the current observations
-and relationships to an entity. ``orphan_cascade`` follows foreign keys from
-table to table: a record whose parent is an orphan is an orphan too, inherited
-instead of direct, to the fixpoint.
+``orphan_cascade`` finds direct orphans - references whose parent is missing,
+deleted or begins only after the referring record - by semi-joins that compare
+the period of the parent with the time of the record, and then follows the
+foreign keys by further semi-joins: a record whose parent record is an orphan
+is an orphan too, inherited instead of direct, to the fixpoint.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators import skew, versioned
-from palimpsest.session import stored
+from palimpsest.session import dropped, stored
 from palimpsest.tables import KEYS
 
 
@@ -27,13 +28,16 @@ def norm_id(c: Column | str) -> Column:
     return F.when(trimmed != "", trimmed)
 
 
+def micros(c: str) -> Column:
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
 def entity_state(entity: DataFrame) -> DataFrame:
-    """Per normalised id: is its latest version asserted, and when was it first asserted.
+    """Per normalised id (ref_id, alive, first_at): is its latest version asserted, and when was it first asserted.
 
     Aggregated before the shuffle, so many versions of one id cost nothing.
     """
-    at = F.unix_micros(F.col("valid_from").cast("timestamp"))
-    rows = entity.select(norm_id("id").alias("ref_id"), at.alias("at"), "asserted").filter("ref_id IS NOT NULL AND at IS NOT NULL")
+    rows = entity.select(norm_id("id").alias("ref_id"), micros("valid_from").alias("at"), "asserted").filter("ref_id IS NOT NULL AND at IS NOT NULL")
     # one number orders the versions: later wins, at equal times the retraction
     return rows.groupBy("ref_id").agg(
         (F.max(F.col("at") * 2 + F.when(F.col("asserted"), 0).otherwise(1)) % 2 == 0).alias("alive"),
@@ -41,111 +45,130 @@ def entity_state(entity: DataFrame) -> DataFrame:
     )
 
 
-def references(observation: DataFrame, relationship: DataFrame) -> DataFrame:
-    """One row per reference of a current record to an entity; null and empty ones are left out."""
-    o = versioned.current(observation.select("id", "valid_from", "asserted", "entity_id"), KEYS["observation"])
-    o = o.select(
-        F.lit("observation").alias("src_table"),
-        F.col("id").alias("src_key"),
-        F.lit("entity_id").alias("ref_field"),
-        norm_id("entity_id").alias("ref_id"),
-        "valid_from",
-    )
-    r = versioned.current(relationship.select(*KEYS["relationship"], "valid_from", "asserted"), KEYS["relationship"])
-    ends = F.explode(F.array(*[F.struct(F.lit(c).alias("ref_field"), norm_id(c).alias("ref_id")) for c in ("from_id", "to_id")]))
-    r = r.select(
-        F.lit("relationship").alias("src_table"),
-        F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in KEYS["relationship"]]).alias("src_key"),
-        ends.alias("end"),
-        "valid_from",
-    ).select("src_table", "src_key", "end.ref_field", "end.ref_id", "valid_from")
-    return o.unionByName(r).filter("ref_id IS NOT NULL")
-
-
-def entity_references(entity: DataFrame, observation: DataFrame, relationship: DataFrame) -> DataFrame:
-    """Orphan references (src_table, src_key, ref_field, ref_id, ref_month, kind), all strings.
-
-    ``kind``: ``missing`` if no row of the entity exists, ``deleted`` if its
-    latest row is a retraction, ``late`` if it has a current record but its
-    earliest assertion is later than the referring record.
-
-    Null keys, null ``valid_from`` and empty tables give no rows; repeated rows
-    count once. The join is safe under hot ids (see ``operators.skew``).
-    """
-    raw = observation.select(norm_id("entity_id").alias("ref_id")).unionByName(
-        relationship.select(F.explode(F.array(norm_id("from_id"), norm_id("to_id"))).alias("ref_id"))
-    )
-    refs = references(observation, relationship)
-    joined = skew.left_join_hot(
-        refs, entity_state(entity), "ref_id", skew.hot_keys(raw, "ref_id"), F.concat_ws("|", "src_table", "ref_field", "src_key")
-    )
-    at = F.unix_micros(F.col("valid_from").cast("timestamp"))
-    kind = (
-        F.when(F.col("alive").isNull(), "missing").when(~F.col("alive"), "deleted").when(F.col("first_at") > at, "late")
-    )
-    return joined.select(
-        "src_table", "src_key", "ref_field", "ref_id", F.date_format("valid_from", "yyyy-MM").alias("ref_month"), kind.alias("kind")
-    ).filter("kind IS NOT NULL").distinct()
+def plain_state(table: DataFrame, column: str) -> DataFrame:
+    """(ref_id, alive, first_at) of a table without versions: its keys, alive from the beginning."""
+    ids = table.select(norm_id(column).alias("ref_id")).filter("ref_id IS NOT NULL").distinct()
+    return ids.select("ref_id", F.lit(True).alias("alive"), F.lit(None).cast("long").alias("first_at"))
 
 
 @dataclass(frozen=True)
 class ForeignKey:
-    """``child.column`` names a ``key`` of ``parent``; null and empty values are no reference."""
+    """``child.column`` names a key of ``parent``; null and empty values are no reference."""
 
     child: str
     column: str
     parent: str
 
 
-def orphan_cascade(tables: dict[str, DataFrame], keys: list[ForeignKey], max_rounds: int | None = None, direct: DataFrame | None = None) -> DataFrame:
-    """Orphans by table and key: (src_table, src_key, depth, how), ``how`` direct or inherited.
+REFERENCE = ["src_table", "src_key", "ref_field", "ref_id", "ref_month", "kind"]
+
 
-    ``tables`` maps a name to a frame with a column ``key`` (unique, normalised)
-    and one column per foreign key. Round 0 finds records with a reference to a
-    key that its parent table lacks. Each further round marks, by semi-joins
-    down the foreign keys, records that refer to an orphan of the round before
-    and are none yet; it ends when a round adds nothing, so cycles end as well.
-    A record is listed once, with the smallest depth. Each round is stored in
-    the shared folder, which cuts the lineage.
+def references(children: dict[str, DataFrame], keys: list[ForeignKey]) -> DataFrame:
+    """(src_table, src_key, ref_field, ref_id, at, ref_month, parent): one row per reference of a record; null and empty ones are left out.
+
+    ``children``: per table a frame with ``key`` (of the record, as it is
+    reported), ``valid_from`` and a column per foreign key. One pass over each table.
+    """
+    parts = []
+    for name in dict.fromkeys(fk.child for fk in keys):
+        own = [fk for fk in keys if fk.child == name]
+        each = F.explode(F.array(*[F.struct(F.lit(fk.column).alias("ref_field"), norm_id(fk.column).alias("ref_id"), F.lit(fk.parent).alias("parent")) for fk in own]))
+        rows = children[name].filter("key IS NOT NULL").select("key", "valid_from", each.alias("r"))
+        parts.append(
+            rows.select(
+                F.lit(name).alias("src_table"), F.col("key").alias("src_key"), "r.ref_field", "r.ref_id",
+                micros("valid_from").alias("at"), F.date_format("valid_from", "yyyy-MM").alias("ref_month"), "r.parent",
+            ).filter("ref_id IS NOT NULL")
+        )
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def orphan_cascade(children: dict[str, DataFrame], parents: dict[str, DataFrame], keys: list[ForeignKey], max_rounds: int | None = None) -> DataFrame:
+    """Orphans (src_table, src_key, ref_field, ref_id, ref_month, kind, depth, how), one row per record, field and referred id.
+
+    ``children``: per table a frame with ``key``, ``valid_from`` and a column
+    per foreign key, one row per current record. ``parents``: per table the
+    state of its keys (ref_id, alive, first_at), as from ``entity_state`` or
+    ``plain_state``; a null ``first_at`` begins before everything.
+
+    Round 0, ``how`` direct: an anti-join with the parents that are alive and
+    begin no later than the referring record leaves the orphan references; three
+    disjoint semi- and anti-joins with the states tell their ``kind``:
+    ``missing`` if no row of the parent exists, ``deleted`` if its latest row is
+    a retraction, ``late`` if it is alive but begins after the referring record
+    (a record without a time is never late). Round n, ``how`` inherited and
+    ``kind`` inherited: a semi-join of the references with the orphans of the
+    round before, on the foreign key; records that are orphans already are left
+    out. It ends when a round adds no record, so cycles end as well, or raises
+    after ``max_rounds``, if given; it never stops short in silence.
+
+    Keys that hold more than a two-hundredth of the references are joined apart
+    (``skew.semi_join_hot``), so one id may hold any share of the rows. Each
+    round is stored in the shared folder, which cuts the lineage. Null keys,
+    repeated rows and empty tables give no rows of their own.
     """
-    spark = next(iter(tables.values())).sparkSession
-    refs = None
-    for fk in keys:
-        one = tables[fk.child].select(
-            F.lit(fk.child).alias("src_table"),
-            F.col("key").alias("src_key"),
-            F.lit(fk.parent).alias("parent"),
-            norm_id(fk.column).alias("ref"),
-        ).filter("ref IS NOT NULL AND src_key IS NOT NULL")
-        refs = one if refs is None else refs.unionByName(one)
-    if refs is None:
-        return spark.createDataFrame([], "src_table string, src_key string, depth int, how string")
-    refs = stored(refs, "refs")
-    there = None
-    for name in sorted({fk.parent for fk in keys}):
-        one = tables[name].select(F.lit(name).alias("parent"), norm_id("key").alias("ref"))
-        there = one if there is None else there.unionByName(one)
-    # distinct references first: a hot parent costs one row per task, not one per child
-    gone = refs.select("parent", "ref").distinct().join(there.distinct(), ["parent", "ref"], "left_anti")
-    first = refs.join(gone, ["parent", "ref"], "left_semi").select("src_table", "src_key")
-    if direct is not None:
-        first = first.unionByName(direct.select("src_table", "src_key"))
-    frontier = stored(first.distinct().withColumn("depth", F.lit(0)), "orphans")
+    refs = stored(references(children, keys), "refs")
+    states = functools.reduce(DataFrame.unionByName, [s.select(F.lit(t).alias("parent"), "ref_id", "alive", "first_at") for t, s in parents.items()])
+    states = stored(states, "states")
+    hot = skew.hot_keys(refs.select(F.struct("parent", "ref_id").alias("k")), "k").select("k.parent", "k.ref_id")
+    hot = stored(hot, "hot")
+    on = ["parent", "ref_id"]
+
+    def semi(left: DataFrame, right: DataFrame, how: str, later: Column | None = None) -> DataFrame:
+        return skew.semi_join_hot(left, right, on, how, hot, later)
+
+    begun = F.col("r.first_at").isNull() | F.col("l.at").isNull() | (F.col("r.first_at") <= F.col("l.at"))
+    lost = stored(semi(refs, states.filter("alive"), "left_anti", begun), "lost")
+    dead, alive = states.filter("NOT alive"), states.filter("alive")
+    kinds = [
+        semi(lost, states, "left_anti").withColumn("kind", F.lit("missing")),
+        semi(lost, dead, "left_semi").withColumn("kind", F.lit("deleted")),
+        semi(lost, alive, "left_semi").withColumn("kind", F.lit("late")),
+    ]
+    names = [*REFERENCE, "depth"]
+    frontier = functools.reduce(DataFrame.unionByName, kinds).withColumn("depth", F.lit(0)).select(names).distinct()
+    frontier = stored(frontier, "orphans")
+    dropped(lost)
     rounds = [frontier]
+    inner = {fk.parent for fk in keys}  # only orphans of these can have children
     for depth in itertools.count(1):
-        up = frontier.select(F.col("src_table").alias("parent"), norm_id("src_key").alias("ref"))
-        new = refs.join(up, ["parent", "ref"], "left_semi").select("src_table", "src_key").distinct()
+        up = frontier.filter(F.col("src_table").isin(*inner)).select(F.col("src_table").alias("parent"), norm_id("src_key").alias("ref_id")).distinct()
+        new = semi(refs, up, "left_semi")
         for seen in rounds:
-            new = new.join(seen.select("src_table", "src_key"), ["src_table", "src_key"], "left_anti")
-        frontier = stored(new.withColumn("depth", F.lit(depth)), "orphans")
+            new = new.join(seen.select("src_table", "src_key").distinct(), ["src_table", "src_key"], "left_anti")
+        new = new.withColumn("kind", F.lit("inherited")).withColumn("depth", F.lit(depth)).select(names).distinct()
+        frontier = stored(new, "orphans")
         if frontier.isEmpty():
             break
         if max_rounds is not None and depth >= max_rounds:
             raise RuntimeError(f"the cascade has not ended after {max_rounds} rounds")
         rounds.append(frontier)
         if len(rounds) == 10:  # keeps the plan of long chains small
-            rounds = [stored(functools.reduce(DataFrame.unionByName, rounds), "orphans")]
-    out = rounds[0]
-    for more in rounds[1:]:
-        out = out.unionByName(more)
+            whole = stored(functools.reduce(DataFrame.unionByName, rounds), "orphans")
+            dropped(*rounds[:-1])
+            rounds = [whole]
+    out = functools.reduce(DataFrame.unionByName, rounds)
     return out.withColumn("how", F.when(F.col("depth") == 0, "direct").otherwise("inherited"))
+
+
+def memory_orphans(
+    entity: DataFrame, observation: DataFrame, relationship: DataFrame, session: DataFrame | None = None, task: DataFrame | None = None
+) -> DataFrame:
+    """``orphan_cascade`` over the tables of a memory.
+
+    Observations refer to entities, and relationships at both ends; with
+    ``session`` and ``task`` observations refer to these as well, and tasks to
+    sessions. Keys of relationships are ``from_id|to_id|relation_type`` as stored.
+    """
+    extra = ["session_id", "task_id"] if session is not None and task is not None else []
+    o = versioned.current(observation.select("id", "valid_from", "asserted", "entity_id", *extra), KEYS["observation"])
+    r = versioned.current(relationship.select(*KEYS["relationship"], "valid_from", "asserted"), KEYS["relationship"])
+    r_key = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in KEYS["relationship"]])
+    children = {"observation": o.withColumnRenamed("id", "key"), "relationship": r.withColumn("key", r_key)}
+    parents = {"entity": entity_state(entity)}
+    keys = [ForeignKey("observation", "entity_id", "entity"), ForeignKey("relationship", "from_id", "entity"), ForeignKey("relationship", "to_id", "entity")]
+    if extra:
+        children["task"] = task.select(norm_id("task_id").alias("key"), F.lit(None).cast("timestamp").alias("valid_from"), "session_id")
+        parents |= {"session": plain_state(session, "session_id"), "task": plain_state(task, "task_id")}
+        keys += [ForeignKey("observation", "session_id", "session"), ForeignKey("observation", "task_id", "task"), ForeignKey("task", "session_id", "session")]
+    return orphan_cascade(children, parents, keys)

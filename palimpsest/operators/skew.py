@@ -1,4 +1,4 @@
-"""Left joins that no hot key can slow down."""
+"""Semi- and anti-joins that no hot key can slow down."""
 
 from __future__ import annotations
 
@@ -19,22 +19,21 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
     return n.join(F.broadcast(total), F.col("_n") > F.col("_least")).select(key)
 
 
-def left_join_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, unique: Column) -> DataFrame:
-    """``left`` LEFT JOIN ``right`` (one row per key) on ``key``, safe under skew.
+def semi_join_hot(left: DataFrame, right: DataFrame, on: list[str], how: str, hot: DataFrame, condition: Column | None = None) -> DataFrame:
+    """``left`` LEFT SEMI or LEFT ANTI JOIN ``right`` on the columns ``on``, safe under skew.
 
-    The rows of ``right`` for hot keys (at most 200, see ``hot_keys``) are
-    broadcast. Rows of ``left`` that found theirs there get a join key of their
-    own for the shuffled join, so they spread over all tasks instead of meeting
-    in one. Null keys match nothing and spread likewise.
+    ``condition`` may compare further columns, as ``l.x`` and ``r.y``. ``hot``
+    (the columns ``on``; at most 200 rows, see ``hot_keys``) is broadcast, and so
+    are the rows of ``right`` that have a hot key (``right`` has few rows a key);
+    rows of ``left`` with a hot key are never shuffled, the others have no hot
+    key among them. ``left`` should be stored, since it is read twice.
     """
-    columns = [c for c in right.columns if c != key]
-    few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi").select(F.col(key).alias("_hot"), F.struct(*columns).alias("_few")))
-    left = left.join(few, left[key] == few["_hot"], "left")
-    lone = F.col("_hot").isNotNull() | F.col(key).isNull()
-    left = left.withColumn("_key", F.when(lone, F.concat(F.lit("\u0000"), unique)).otherwise(F.col(key)))
-    rest = right.select(F.col(key).alias("_key"), F.struct(*columns).alias("_rest"))
-    found = F.coalesce(F.col("_few"), F.col("_rest"))
-    out = left.join(rest, "_key", "left").withColumn("_found", found)
-    for c in columns:
-        out = out.withColumn(c, F.col(f"_found.{c}"))
-    return out.drop("_key", "_hot", "_few", "_rest", "_found")
+
+    def join(a: DataFrame, b: DataFrame) -> DataFrame:
+        a, b = a.alias("l"), b.alias("r")
+        both = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on]
+        return a.join(b, [*both, condition] if condition is not None else both, how)
+
+    few = F.broadcast(hot)
+    often = join(left.join(few, on, "left_semi"), F.broadcast(right.join(few, on, "left_semi")))
+    return often.unionByName(join(left.join(few, on, "left_anti"), right.join(few, on, "left_anti")))

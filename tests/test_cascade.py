@@ -4,17 +4,21 @@ import datetime as dt
 
 import pytest
 
-from palimpsest.operators.integrity import ForeignKey, orphan_cascade
+from pyspark.sql import functions as F
+
+from palimpsest.operators.integrity import ForeignKey, orphan_cascade, plain_state
 from palimpsest.queries.core_integrity import p2_found, p2_orphans
 
 
 def test_long_chain_reaches_its_end(spark):
     chain = spark.createDataFrame([(f"n{i}", f"n{i - 1}" if i else "gone") for i in range(54)], "key string, parent string").coalesce(1)
+    states = {"node": plain_state(chain, "key")}
+    chain = chain.withColumn("valid_from", F.lit(dt.datetime(2024, 1, 1)))
     keys = [ForeignKey("node", "parent", "node")]
-    got = {r.src_key: (r.depth, r.how) for r in orphan_cascade({"node": chain}, keys).collect()}
+    got = {r.src_key: (r.depth, r.how) for r in orphan_cascade({"node": chain}, states, keys).collect()}
     assert got == {f"n{i}": (i, "inherited" if i else "direct") for i in range(54)}
     with pytest.raises(RuntimeError):
-        orphan_cascade({"node": chain}, keys, max_rounds=3)
+        orphan_cascade({"node": chain}, states, keys, max_rounds=3)
 
 
 def test_relationships_are_in_the_cascade(spark, tmp_path):

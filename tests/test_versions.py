@@ -71,9 +71,15 @@ def test_entity_references_kinds_and_spellings(spark):
         "id string, valid_from timestamp, asserted boolean, entity_id string",
     )
     r = spark.createDataFrame([("live", "never", "knows", at(30), True)], "from_id string, to_id string, relation_type string, valid_from timestamp, asserted boolean")
-    got = {(x.src_key, x.ref_field, x.kind) for x in integrity.entity_references(e, o, r).collect()}
+    got = {(x.src_key, x.ref_field, x.kind) for x in integrity.memory_orphans(e, o, r).collect()}
     assert got == {("o2", "entity_id", "deleted"), ("o3", "entity_id", "late"), ("o4", "entity_id", "missing"), ("o7", "entity_id", "missing"), ("live|never|knows", "to_id", "missing")}
-    assert integrity.entity_references(e.limit(0), o.limit(0), r.limit(0)).count() == 0
+    assert integrity.memory_orphans(e.limit(0), o.limit(0), r.limit(0)).count() == 0
+
+
+def cascade(tables, keys, **more):
+    """``orphan_cascade`` over tables (key, columns) without versions."""
+    children = {t: df.withColumn("valid_from", F.lit(at(20))) for t, df in tables.items()}
+    return integrity.orphan_cascade(children, {t: integrity.plain_state(df, "key") for t, df in tables.items()}, keys, **more)
 
 
 def test_orphan_cascade_direct_inherited_and_cyclic(spark):
@@ -81,13 +87,22 @@ def test_orphan_cascade_direct_inherited_and_cyclic(spark):
     b = spark.createDataFrame([("b1", "c9"), ("b2", "c1")], "key string, c string")
     c = spark.createDataFrame([("c1", "c2"), ("c2", "c1")], "key string, next string")
     fk = integrity.ForeignKey
-    got = {(r.src_table, r.src_key, r.depth, r.how) for r in integrity.orphan_cascade({"a": a, "b": b, "c": c}, [fk("a", "b", "b"), fk("b", "c", "c"), fk("c", "next", "c")]).collect()}
-    assert got == {("a", "a2", 0, "direct"), ("b", "b1", 0, "direct"), ("a", "a1", 1, "inherited")}
+    got = {(r.src_table, r.src_key, r.depth, r.how, r.kind) for r in cascade({"a": a, "b": b, "c": c}, [fk("a", "b", "b"), fk("b", "c", "c"), fk("c", "next", "c")]).collect()}
+    assert got == {("a", "a2", 0, "direct", "missing"), ("b", "b1", 0, "direct", "missing"), ("a", "a1", 1, "inherited", "inherited")}
+
+
+def test_hot_parent_passes_its_orphanhood_on(spark):
+    b = spark.createDataFrame([("hot", "nowhere"), ("good", None)], "key string, up string")
+    a = spark.range(900).select(F.concat(F.lit("a"), "id").alias("key"), F.when(F.col("id") % 3 == 0, " HOT ").otherwise("good").alias("b"))
+    found = cascade({"a": a, "b": b}, [integrity.ForeignKey("a", "b", "b"), integrity.ForeignKey("b", "up", "b")])
+    got = {(r.src_table, r.how, r.ref_month): r.n for r in found.groupBy("src_table", "how", "ref_month").agg(F.count("*").alias("n")).collect()}
+    month = at(20).strftime("%Y-%m")
+    assert got == {("b", "direct", month): 1, ("a", "inherited", month): 300}
 
 
 def test_hot_reference_is_found_whole(spark):
     e = spark.createDataFrame([("hot", at(50), True)], "id string, valid_from timestamp, asserted boolean")
     o = spark.range(3000).select(F.concat(F.lit("o"), "id").alias("id"), F.lit(at(20)).alias("valid_from"), F.lit(True).alias("asserted"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("x"), "id")).alias("entity_id"))
     r = spark.createDataFrame([], "from_id string, to_id string, relation_type string, valid_from timestamp, asserted boolean")
-    got = {x.kind: x.n for x in integrity.entity_references(e, o, r).groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    got = {x.kind: x.n for x in integrity.memory_orphans(e, o, r).groupBy("kind").agg(F.count("*").alias("n")).collect()}
     assert got == {"late": 1000, "missing": 2000}
