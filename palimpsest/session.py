@@ -23,6 +23,10 @@ def build(app: str = "palimpsest", master: str | None = None, **conf: str) -> Sp
     return builder.config(map=settings | conf).getOrCreate()
 
 
+#: Setting under which a query deletes its shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
@@ -44,11 +48,16 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there.
 
     The files survive the loss of any executor and columns can be pruned when
-    they are read again.
+    they are read again. The shuffle files of the write are deleted as it ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._palimpsest_path = path
     return out
