@@ -31,17 +31,28 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 VECTOR_FIELDS = ["observation.embedding", "entity.embedding", "entity.name_embedding"]
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Current usable vectors of all fields, 16 bits a component before anything is shuffled; and those of all versions."""
-    parts, every = [], []
-    for number, name in enumerate(VECTOR_FIELDS):
-        table, column = name.split(".")
-        rows = load(spark, sf_dir, table).select("id", "valid_from", "asserted", F.col(column).alias("vector"))
+def _vectors(spark: SparkSession, sf_dir: str):
+    """Current usable vectors of all fields, 16 bits a component before anything is shuffled; and a way to the given vectors of some ids."""
+
+    def field(number: int):
+        table, column = VECTOR_FIELDS[number].split(".")
+        return table, load(spark, sf_dir, table).select("id", "valid_from", "asserted", F.col(column).alias("vector"))
+
+    parts = []
+    for number in range(len(VECTOR_FIELDS)):
+        table, rows = field(number)
         small = similar_vectors.quantised(rows, VECTOR_SIZE, ["id", "valid_from", "asserted"])
-        field = F.lit(number).alias("field")
-        parts.append(current(small, KEYS[table]).filter("vec IS NOT NULL").select(field, "id", "vec"))
-        every.append(small.select(field, "vec"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]), every[0].unionByName(every[1]).unionByName(every[2])
+        parts.append(current(small, KEYS[table]).filter("vec IS NOT NULL").select(F.lit(number).alias("field"), "id", "vec"))
+
+    def exact(ids: DataFrame) -> DataFrame:
+        out = []
+        for number in range(len(VECTOR_FIELDS)):
+            table, rows = field(number)
+            some = rows.join(ids.filter(F.col("field") == number).select("id"), "id", "left_semi")
+            out.append(current(some, KEYS[table]).select(F.lit(number).alias("field"), "id", "vector"))
+        return out[0].unionByName(out[1]).unionByName(out[2])
+
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]), exact
 
 
 #: Numbers of a usable vector.
@@ -54,18 +65,15 @@ def _field_name():
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of which one is among the ten most similar of the other, similarity 0.8 or more."""
-    vectors, like = _vectors(spark, sf_dir)
-    return similar_vectors.similar_pairs(vectors, VECTOR_SIZE, like=like).select(_field_name(), "id_a", "id_b")
+    vectors, exact = _vectors(spark, sf_dir)
+    return similar_vectors.similar_pairs(vectors, VECTOR_SIZE, exact).select(_field_name(), "id_a", "id_b")
 
 
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten most similar vectors of every vector with their similarity, whatever it is."""
-    vectors, like = _vectors(spark, sf_dir)
-    found, names = similar_vectors.neighbours(vectors, VECTOR_SIZE, like=like)
-    one = found.select("field", "uid", F.posexplode(F.arrays_zip("near", "sim")).alias("rank", "hit"))
-    one = one.select("field", "uid", (F.col("rank") + 1).alias("rank"), F.col("hit.near").alias("other"), F.round(F.col("hit.sim").cast("double"), 4).alias("similarity"))
-    one = one.join(names.select("uid", "id"), "uid").join(names.select(F.col("uid").alias("other"), F.col("id").alias("neighbour_id")), "other")
-    return one.select(_field_name(), "id", "rank", "neighbour_id", "similarity")
+    """The ten most similar vectors found for every vector with their similarity, whatever it is."""
+    vectors, exact = _vectors(spark, sf_dir)
+    found = similar_vectors.neighbours(vectors, VECTOR_SIZE, exact, rerank_all=True)
+    return found.select(_field_name(), "id", "rank", "neighbour_id", "similarity")
 
 
 #: Spellings of the types of people and of organisations.

@@ -2,37 +2,47 @@
 
 Each pass orders all vectors along a Hilbert curve through a random projection
 of its own (with a random shift), range-partitions them by the place on that
-curve and compares every vector with those in the neighbouring blocks of the
-order, as matrix products. The k best so far travel with the vector into the
-next pass, so passes merge without a join. From the second pass on, the place
-on the curve is that of the mean of a vector and the neighbours it already has:
-members of a cluster then lie far closer together than they do themselves, and
-few passes suffice.
+curve and compares every vector with its own block of the order and the blocks
+beside it, as one matrix product. Rows near the border of a range travel to the
+neighbouring range too, as guests that are compared but not kept there, so
+windows reach across borders. The best so far travel with the vector into the
+next pass, so passes merge without a join. From the second pass on, the place on
+the curve is that of the mean of a vector and the neighbours it already has:
+members of a cluster then lie far closer together than they do themselves.
 
 Vectors travel as 16-bit components of the normalised vector: similarities are
-exact to about 1e-5. Equal vectors are told apart by a hash of the id in the
-order, so a vector that is there a million times fills many ranges; if more
-than k others equal a vector, k of those in its neighbourhood are its nearest.
+exact to about 1e-5. MARGIN slots beyond the k best are kept, and wherever the
+order at the k-th place or the threshold is closer than that, the similarity is
+computed again in double precision from the given vectors. Equal vectors form
+classes first; one of each class takes part in the passes, and the result is
+expanded to all members, smallest ids first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block, and how many blocks before and after its own a row is compared with.
-BLOCK, REACH = 2048, 8
+from palimpsest.functions import vectors as vx
+from palimpsest.session import dropped, stored
+
+#: Rows of a block; a row is compared with its own block and REACH blocks before and after it.
+BLOCK, REACH = 1024, 1
 #: Dimensions of the projection and bits of each on the curve.
-DIMS, BITS = 10, 4
+DIMS, BITS = 16, 3
 #: Bits of the uid below the place.
-TIE = 20
-PASSES = 3
-#: Rows of a range of the curve, which one task handles block by block; rows of the sample that cuts the ranges.
-PART, SAMPLE = 40_000, 20_000
+TIE = 12
+PASSES = 6
+#: Rows of a range of the curve, which one task handles block by block, and how many keys of a range are sampled to cut ranges.
+PART, SAMPLED = 40_000, 200
+#: Neighbours kept beyond the k best, and the error of a similarity of 16-bit components.
+MARGIN, ERROR = 6, 2e-5
+#: Members of a class of equal vectors that one task expands.
+MEMBERS = 20_000
 
 
 def hilbert(grid: np.ndarray, bits: int) -> np.ndarray:
@@ -80,6 +90,7 @@ class Block:
     def __init__(self, batch: pa.RecordBatch, size: int, k: int):
         self.field = batch.column("field").to_numpy()
         self.uid = batch.column("uid").to_numpy()
+        self.guest = batch.column("guest").to_numpy(zero_copy_only=False)
         self.k = k
         n, wide = len(self.uid), 2 * size
         state = batch.column("state")
@@ -99,87 +110,107 @@ class Block:
         self.sim[row, col] = data[(at + 8 * have[row] + 4 * col)[:, None] + np.arange(4)].view(np.float32).ravel()
         self.mean = self.x.copy()
 
-    def meet(self, other: Block, least: float) -> None:
-        """Compare all rows of two blocks; both keep their best."""
-        s = self.x @ other.x.T
-        mine, theirs = self.field, other.field
-        if mine[0] != mine[-1] or theirs[0] != theirs[-1] or mine[0] != theirs[0]:  # rows are in the order of fields
-            s[mine[:, None] != theirs[None, :]] = -2
-        if self is other:
-            np.fill_diagonal(s, -2)
-        self.take(s, *self.good(s, least, 0), other)
-        if self is not other:
-            other.take(s.T, *other.good(s, least, 1), self)
-
-    def good(self, s: np.ndarray, least: float, axis: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of this block and of the other that may be among the best; this block's rows lie along ``axis`` of s."""
-        worst = np.maximum(self.sim[:, -1], np.float32(least))
+    def meet(self, around: list[Block], least: float) -> None:
+        """Compare the rows of this block with those of the blocks around it, itself among them, and keep the best."""
+        mine = np.flatnonzero(~self.guest)
+        if not len(mine):
+            return
+        s = self.x[mine] @ np.concatenate([b.x for b in around]).T
+        field, uid = np.concatenate([b.field for b in around]), np.concatenate([b.uid for b in around])
+        if field[0] != field[-1]:  # rows are in the order of fields
+            s[self.field[mine][:, None] != field[None, :]] = -2
+        first = sum(len(b.uid) for b in around[: around.index(self)])
+        s[np.arange(len(mine)), first + mine] = -2
+        worst = np.maximum(self.sim[mine, -1], np.float32(least))
         if least > 0.3:
-            at = np.flatnonzero(s >= (worst[None, :] if axis else worst[:, None]))
-            pair = np.divmod(at, s.shape[1])
-            return (pair[1], pair[0]) if axis else pair
-        s = s.T if axis else s
-        best = np.argpartition(-s, min(self.k, s.shape[1] - 1), axis=1)[:, : self.k]
-        row, col = np.repeat(np.arange(len(s)), best.shape[1]), best.ravel()
-        keep = (s[row, col] >= worst[row]) & (s[row, col] > -2)
-        return row[keep], col[keep]
-
-    def take(self, s: np.ndarray, row: np.ndarray, col: np.ndarray, other: Block) -> None:
-        """Keep the best of what is known and of the candidates (row, col) with their similarities in s."""
-        k = self.k
+            row, col = np.nonzero(s >= worst[:, None])
+        else:
+            k = min(self.k, s.shape[1])
+            best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            row, col = np.repeat(np.arange(len(s)), k), best.ravel()
+            keep = (s[row, col] >= worst[row]) & (s[row, col] > -2)
+            row, col = row[keep], col[keep]
+        self.take(mine[row], uid[col], s[row, col])
+
+    def take(self, row: np.ndarray, uid: np.ndarray, sim: np.ndarray) -> None:
+        """Keep the best of what is known and of the candidates; which vectors they are is told by ``uid``."""
         if not len(row):
             return
-        np.add.at(self.mean, row, other.x[col])
         old_row, old_col = np.nonzero(self.sim > -2)
         row_all = np.concatenate([old_row, row])
-        sim = np.concatenate([self.sim[old_row, old_col], s[row, col]])
-        near = np.concatenate([self.near[old_row, old_col], other.uid[col]])
-        order = np.lexsort((near, -np.round(sim, 6), row_all))
+        sim = np.concatenate([self.sim[old_row, old_col], sim])
+        near = np.concatenate([self.near[old_row, old_col], uid])
+        order = np.lexsort((near, -sim, row_all))
         row_all, sim, near = row_all[order], sim[order], near[order]
-        again = (row_all[1:] == row_all[:-1]) & (near[1:] == near[:-1])
-        if again.any():  # found in an earlier pass too
-            keep = np.concatenate([[True], ~again])
-            row_all, sim, near = row_all[keep], sim[keep], near[keep]
+        pair = np.lexsort((near, row_all))  # found in an earlier pass too: the first of each stays
+        again = np.zeros(len(pair), bool)
+        again[pair[1:]] = (row_all[pair[1:]] == row_all[pair[:-1]]) & (near[pair[1:]] == near[pair[:-1]])
+        row_all, sim, near = row_all[~again], sim[~again], near[~again]
         at = np.arange(len(row_all)) - np.searchsorted(row_all, row_all)
-        keep = at < k
+        keep = at < self.k
         self.sim[:], self.near[:] = -2, 0
         self.sim[row_all[keep], at[keep]] = sim[keep]
         self.near[row_all[keep], at[keep]] = near[keep]
 
-    def rows(self, turn: int, slots: Slots) -> pa.RecordBatch:
-        """The block with its neighbours, placed for pass ``turn``."""
+    def lean(self, around: list[Block]) -> None:
+        """Move the place of each row to the mean of itself and those of its neighbours that are around."""
+        uid = np.concatenate([b.uid for b in around])
+        order = np.argsort(uid)
+        at = np.minimum(np.searchsorted(uid[order], self.near), len(uid) - 1)
+        here = (uid[order][at] == self.near) & (self.sim > 0.3)
+        row, col = np.nonzero(here)
+        np.add.at(self.mean, row, np.concatenate([b.x for b in around])[order[at[row, col]]])
+
+    def rows(self, turn: int) -> pa.RecordBatch:
+        """The block's own rows with their neighbours, placed for pass ``turn``."""
+        mine = np.flatnonzero(~self.guest)
         have = (self.sim > -2).sum(1)
-        state = [
-            self.raw[i].tobytes() + self.near[i, :h].tobytes() + self.sim[i, :h].tobytes() for i, h in enumerate(have)
-        ]
-        return slots.placed(self.field, self.uid, self.mean / np.linalg.norm(self.mean, axis=1, keepdims=True), state, turn)
+        state = [self.raw[i].tobytes() + self.near[i, : have[i]].tobytes() + self.sim[i, : have[i]].tobytes() for i in mine]
+        mean = self.mean[mine] / np.linalg.norm(self.mean[mine], axis=1, keepdims=True)
+        return placed(self.field[mine], self.uid[mine], mean, state, turn)
 
     def found(self) -> pa.RecordBatch:
-        """The neighbours of each row."""
-        have = self.sim > -2
+        """The neighbours of each of the block's own rows."""
+        mine = np.flatnonzero(~self.guest)
+        have = self.sim[mine] > -2
         offsets = pa.array(np.concatenate([[0], np.cumsum(have.sum(1))]).astype(np.int32))
-        near, sim = (pa.ListArray.from_arrays(offsets, pa.array(x[have])) for x in (self.near, self.sim))
-        return pa.RecordBatch.from_arrays([pa.array(self.field), pa.array(self.uid), near, sim], ["field", "uid", "near", "sim"])
+        near, sim = (pa.ListArray.from_arrays(offsets, pa.array(x[mine][have])) for x in (self.near, self.sim))
+        return pa.RecordBatch.from_arrays([pa.array(self.field[mine]), pa.array(self.uid[mine]), near, sim], ["field", "uid", "near", "sim"])
+
 
+def placed(field: np.ndarray, uid: np.ndarray, x: np.ndarray, state: list[bytes], turn: int) -> pa.RecordBatch:
+    """Rows with their key on the curve of pass ``turn``: field, place, and TIE bits of the uid, so that even equal places spread over ranges."""
+    key = (((field.astype(np.int64) << (DIMS * BITS)) + place(x, turn)) << TIE) + (uid & ((1 << TIE) - 1))
+    return pa.RecordBatch.from_arrays([pa.array(field), pa.array(uid), pa.array(key), pa.array(state, pa.binary())], ["field", "uid", "key", "state"])
 
-def sort_key(at: np.ndarray, field: np.ndarray, uid: np.ndarray) -> np.ndarray:
-    """Field, place on the curve, and TIE bits of the uid, so that even equal vectors spread over ranges."""
-    return (((field.astype(np.int64) << (DIMS * BITS)) + at) << TIE) + (uid & ((1 << TIE) - 1))
 
+class Ranges:
+    """Ranges of the keys of one pass, and the borders of the rows that visit the range below or above."""
 
-class Slots:
-    """Ranges of the curve of each pass, cut at places of a sample, and the slot number that leads each to a partition of its own."""
+    def __init__(self, keys: np.ndarray, parts: int, share: float, numbers: np.ndarray):
+        at = np.arange(1, parts) / parts
 
-    def __init__(self, cuts: list[np.ndarray], numbers: np.ndarray):
-        self.cuts, self.numbers = cuts, numbers
+        def cut(where: np.ndarray) -> np.ndarray:
+            return np.quantile(keys, np.clip(where, 0, 1), method="nearest").astype(np.int64) if parts > 1 else np.zeros(0, np.int64)
 
-    def placed(self, field: np.ndarray, uid: np.ndarray, x: np.ndarray, state: list[bytes], turn: int) -> pa.RecordBatch:
-        key = sort_key(place(x, turn), field, uid)
-        slot = self.numbers[np.searchsorted(self.cuts[turn], key, side="right")]
-        return pa.RecordBatch.from_arrays([pa.array(field), pa.array(uid), pa.array(key), pa.array(slot), pa.array(state, pa.binary())], ["field", "uid", "key", "slot", "state"])
+        # numbers[i] is a slot that ``repartition`` leads to a partition of its own
+        self.cuts, self.low, self.high, self.numbers = cut(at), cut(at - share), cut(at + share), numbers
 
+    def route(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """The rows of a batch with their slot, and again as guests of the ranges whose border is near."""
+        key = batch.column("key").to_numpy()
+        part = np.searchsorted(self.cuts, key, side="right")
+        below = np.flatnonzero((part > 0) & (key < self.high[np.maximum(part - 1, 0)])) if len(self.cuts) else []
+        above = np.flatnonzero((part < len(self.cuts)) & (key >= self.low[np.minimum(part, len(self.cuts) - 1)])) if len(self.cuts) else []
+        for rows, move, guest in ((np.arange(len(key)), 0, False), (below, -1, True), (above, 1, True)):
+            if len(rows):
+                some = batch.take(pa.array(rows))
+                slot, mark = pa.array(self.numbers[part[rows] + move]), pa.array(np.full(len(rows), guest))
+                yield pa.RecordBatch.from_arrays([*some.columns, slot, mark], [*STATE, "slot", "guest"])
 
-SCHEMA = "field int, uid bigint, key bigint, slot bigint, state binary"
+
+STATE = ["field", "uid", "key", "state"]
+SCHEMA = "field int, uid bigint, key bigint, state binary"
 FOUND = "field int, uid bigint, near array<bigint>, sim array<float>"
 
 
@@ -206,87 +237,6 @@ def quantised(rows: DataFrame, size: int, keep: list[str]) -> DataFrame:
     return rows.select(*keep, sized).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", vec binary")
 
 
-def neighbours(vectors: DataFrame, size: int, k: int = 10, least: float = -1.0, passes: int = PASSES, like: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The k nearest of each vector within its field, and the names of the numbers used.
-
-    ``vectors``: (field int, id string, vec binary) as from ``quantised``, one
-    row per field and id. First result: (field, uid, near, sim), at most ``k``
-    neighbours with cosine ``least`` or more, best first. Second:
-    (field, uid, id). ``like``: a frame (field, vec) of about as many rows with
-    the same distribution, which costs less to read twice, for cutting the
-    curves; ``vectors`` itself by default. An empty table gives empty results. Equal similarities
-    rank by ``uid`` (a hash of field and id).
-    """
-    rows = vectors.withColumn("uid", F.xxhash64("field", "id"))
-    names = rows.select("field", "uid", "id")
-    work = rows
-
-    def unit(column: pa.Array) -> np.ndarray:
-        x = np.frombuffer(b"".join(column.to_pylist()), np.int16).reshape(-1, size).astype(np.float32)
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-    slots = cut((vectors if like is None else like.filter("vec IS NOT NULL")).select("field", "vec"), unit, passes)
-
-    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                vec = batch.column("vec")
-                yield slots.placed(batch.column("field").to_numpy(), batch.column("uid").to_numpy(), unit(vec), vec.to_pylist(), 0)
-
-    def compare(turn: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            done = (lambda block: block.found()) if turn == passes else (lambda block: block.rows(turn, slots))
-            held: list[Block] = []
-            for block in blocks(batches, size, k):
-                for before in held:
-                    before.meet(block, least)
-                block.meet(block, least)
-                held.append(block)
-                if len(held) > REACH:
-                    yield done(held.pop(0))
-            for block in held:
-                yield done(block)
-
-        return run
-
-    at = work.select("field", "uid", "vec").mapInArrow(begin, SCHEMA)
-    for turn in range(1, passes + 1):
-        at = at.repartition(len(slots.numbers), "slot").sortWithinPartitions("key", "uid")
-        at = at.mapInArrow(compare(turn), FOUND if turn == passes else SCHEMA)
-    return at, names
-
-
-def cut(rows: DataFrame, unit, passes: int) -> Slots:
-    """Cut the curve of every pass into ranges of about PART rows, at quantiles of a sample of SAMPLE rows.
-
-    The sample only says where tasks begin; every row is placed. Range number i
-    gets a slot number whose hash is i, so that ``repartition`` by slot gives
-    each range its own task (``repartitionByRange`` would run each pass twice,
-    once for its own sample).
-    """
-    spark = rows.sparkSession
-    total = rows.count()
-    parts = max(1, round(total / PART))
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, field = unit(batch.column("vec")), batch.column("field").to_numpy()
-                tie = np.random.default_rng(len(x)).integers(0, 1 << TIE, len(x))
-                yield pa.RecordBatch.from_arrays([pa.array(sort_key(place(x, t), field, tie)) for t in range(passes)], [f"k{t}" for t in range(passes)])
-
-    cuts = [np.zeros(0, np.int64)] * passes
-    if parts > 1:
-        some = rows.sample(min(1.0, SAMPLE / total), seed=5).mapInArrow(keys, ", ".join(f"k{t} bigint" for t in range(passes))).toPandas()
-        cuts = [np.quantile(some[f"k{t}"], np.arange(1, parts) / parts, method="nearest").astype(np.int64) for t in range(passes)]
-    numbers = np.full(parts, -1, np.int64)
-    tried = spark.range(40 * parts + 100).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()
-    for row in tried:
-        numbers[row["p"]] = row["id"]
-    numbers[numbers < 0] = 0
-    return Slots(cuts, numbers)
-
-
 def blocks(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator[Block]:
     """Cut a stream of batches into blocks of BLOCK rows."""
     waiting: list[pa.RecordBatch] = []
@@ -308,10 +258,148 @@ def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
-def similar_pairs(vectors: DataFrame, size: int, k: int = 10, least: float = 0.8, passes: int = PASSES, like: DataFrame | None = None) -> DataFrame:
+def slot_numbers(spark, parts: int) -> np.ndarray:
+    """For each i below ``parts`` a number that ``repartition(parts, slot)`` leads to partition i."""
+    numbers = np.full(parts, -1, np.int64)
+    tried = spark.range(40 * parts + 100).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()
+    for row in tried:
+        numbers[row["p"]] = row["id"]
+    numbers[numbers < 0] = 0
+    return numbers
+
+
+def search(vectors: DataFrame, size: int, k: int, least: float, passes: int = PASSES) -> DataFrame:
+    """(field, uid, near, sim): the ``k`` nearest found for each vector within its field, best first, similarity ``least`` or more.
+
+    ``vectors``: (field, uid, vec), stored, no two rows equal in vec. Every pass
+    is stored and the one before deleted.
+    """
+    spark = vectors.sparkSession
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                vec = batch.column("vec").to_pylist()
+                x = np.frombuffer(b"".join(vec), np.int16).reshape(-1, size).astype(np.float32)
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                yield placed(batch.column("field").to_numpy(), batch.column("uid").to_numpy(), x, vec, 0)
+
+    def compare(turn: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[Block] = []  # blocks of the window, in order
+            waiting = 0  # those at the end that have not been compared yet
+
+            def done(block: Block) -> pa.RecordBatch:
+                around = held[max(0, held.index(block) - REACH) : held.index(block) + REACH + 1]
+                block.meet(around, least)
+                if turn == passes:
+                    return block.found()
+                block.lean(around)
+                return block.rows(turn)
+
+            for block in blocks(batches, size, k):
+                held.append(block)
+                waiting += 1
+                if waiting > REACH:
+                    yield done(held[-waiting])
+                    waiting -= 1
+                held = held[-2 * REACH - 1 :]
+            for i in range(waiting, 0, -1):
+                yield done(held[-i])
+
+        return run
+
+    at = stored(vectors.select("field", "uid", "vec").mapInArrow(begin, SCHEMA), "curve")
+    total = at.count()
+    parts = max(1, round(total / PART))
+    numbers = slot_numbers(spark, parts)
+    for turn in range(1, passes + 1):
+        keys = np.zeros(0, np.int64)
+        if parts > 1:  # a few keys of each range; they only say where tasks begin
+            keys = at.select("key").sample(min(1.0, SAMPLED * parts / total), seed=turn).toPandas()["key"].to_numpy()
+        ranges = Ranges(keys, parts, BLOCK * REACH / max(total, 1), numbers)
+
+        def route(batches: Iterator[pa.RecordBatch], ranges: Ranges = ranges) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield from ranges.route(batch)
+
+        rows = at.mapInArrow(route, f"{SCHEMA}, slot bigint, guest boolean").repartition(parts, "slot").sortWithinPartitions("key", "uid")
+        new = stored(rows.mapInArrow(compare(turn), FOUND if turn == passes else SCHEMA), "curve")
+        dropped(at)
+        at = new
+    return at
+
+
+def neighbours(
+    vectors: DataFrame, size: int, exact: Callable[[DataFrame], DataFrame], k: int = 10, least: float = -1.0, passes: int = PASSES, rerank_all: bool = False
+) -> DataFrame:
+    """(field, id, rank, neighbour_id, similarity): the ``k`` most similar of each vector, rank from 1.
+
+    ``vectors``: (field int, id string, vec binary) as from ``quantised``, one
+    row per field and id. ``exact``: given a frame (field, id), the given
+    vectors (field, id, vector) of these. Similarities are rounded to 6 digits,
+    equal ones rank by smaller id; those below ``least`` are left out.
+    ``similarity`` itself is exact to 2e-5, or to all digits with
+    ``rerank_all``; ranks at the k-th place and the threshold are exact in
+    either case. Vectors that are equal but for their length count as equal.
+    An empty table gives an empty result.
+    """
+    base = vectors.select("field", F.xxhash64("field", "id").alias("uid"), "id", "vec", F.xxhash64("vec").alias("h1"), F.xxhash64("vec", F.lit(1)).alias("h2"))
+    base = stored(base, "vectors")
+    names = base.select("uid", "id")
+    # classes of equal vectors: (rep, uid, id, n); the member that stands for the class has the smallest id
+    light = base.select("field", "h1", "h2", "uid", "id")
+    many = light.groupBy("field", "h1", "h2").agg(F.min_by("uid", "id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
+    copies = stored(light.join(many, ["field", "h1", "h2"]).select("rep", "uid", "id", "n", "field"), "copies")
+    # the few rows to leave out are joined by broadcast or shuffle, as Spark decides by their size
+    once = base.join(copies.filter("uid <> rep").select("uid"), "uid", "left_anti")
+    found = search(once, size, k + MARGIN, least - ERROR, passes)
+
+    order = Window.partitionBy("rep").orderBy("id")
+    first = copies.select("rep", "uid", "id").withColumn("i", F.row_number().over(order)).filter(F.col("i") <= k + 1)
+    links = found.select("field", F.col("uid").alias("a"), F.explode(F.arrays_zip("near", "sim")).alias("x")).select("field", "a", F.col("x.near").alias("b"), F.col("x.sim").cast("double").alias("s"))
+    whole = links.join(first.select(F.col("rep").alias("b"), F.col("uid").alias("m")), "b", "left").select("field", "a", F.coalesce("m", "b").alias("m"), "s")
+    whole = whole.join(names.select(F.col("uid").alias("m"), F.col("id").alias("m_id")), "m")
+    own = first.join(copies.select("uid", "field"), "uid").select("field", F.col("rep").alias("a"), F.col("uid").alias("m"), F.col("id").alias("m_id"), F.lit(1.0).alias("s"))
+    whole = whole.select("field", "a", "m", "m_id", "s").unionByName(own)
+
+    best = Window.partitionBy("a").orderBy(F.round("s", 6).desc(), "m_id")
+    ranked = whole.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= 2 * k + MARGIN)
+    edge = F.max(F.when(F.col("r") == k, F.col("s"))).over(Window.partitionBy("a"))
+    edge_next = F.max(F.when(F.col("r") == k + 1, F.col("s"))).over(Window.partitionBy("a"))
+    tight = F.coalesce(F.abs(F.col("s") - edge) <= ERROR, F.lit(False)) | F.coalesce(F.abs(F.col("s") - edge_next) <= ERROR, F.lit(False)) | (F.abs(F.col("s") - least) <= ERROR)
+    size_of = F.count("*").over(Window.partitionBy("a"))
+    unsure = (F.lit(True) if rerank_all else tight & ((size_of > k) | (F.abs(F.col("s") - least) <= ERROR))) & (F.col("s") < 1.0)
+    listed = stored(ranked.withColumn("unsure", unsure).select("field", "a", "m", "m_id", "s", "unsure"), "lists")
+
+    # exact similarities where the order is unsure
+    doubt = listed.filter("unsure").join(names.select(F.col("uid").alias("a"), F.col("id").alias("a_id")), "a").select("field", "a", "a_id", "m", "m_id")
+    doubt = stored(doubt, "doubt")
+    ids = doubt.select("field", F.explode(F.array("a_id", "m_id")).alias("id")).distinct()
+    given = stored(exact(ids), "exact")
+    pair = doubt.join(given.select("field", F.col("id").alias("a_id"), F.col("vector").alias("va")), ["field", "a_id"])
+    pair = pair.join(given.select("field", F.col("id").alias("m_id"), F.col("vector").alias("vm")), ["field", "m_id"])
+    sure = pair.select("a", "m", vx.cosine(F.col("va"), F.col("vm")).alias("true_s"))
+    final = listed.join(sure, ["a", "m"], "left").select("field", "a", "m", "m_id", F.round(F.coalesce("true_s", "s"), 6).alias("s"))
+    final = final.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.col("s").desc(), "m_id")))
+    final = stored(final.filter((F.col("r") <= k + 1) & (F.col("s") >= least)), "final")
+
+    # vectors without an equal have the first k; of a class each member has the first k of the list but itself
+    lone = final.join(copies.select(F.col("rep").alias("a")).distinct(), "a", "left_anti").filter(F.col("r") <= k)
+    lone = lone.join(names.select(F.col("uid").alias("a"), "id"), "a").select("field", "id", F.col("r").alias("rank"), F.col("m_id").alias("neighbour_id"), F.col("s").alias("similarity"))
+    # a class of very many members is dealt to several tasks
+    deals = (F.col("n") / MEMBERS).cast("int") + 1
+    member = copies.select(F.col("rep").alias("a"), "uid", "id", F.pmod("uid", deals).alias("deal"))
+    lists = final.join(copies.filter("uid = rep").select(F.col("rep").alias("a"), deals.alias("deals")), "a")
+    lists = lists.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals").cast("long") - 1)))
+    mine = member.join(final.select("a", F.col("m").alias("uid"), F.col("r").alias("own")), ["a", "uid"], "left")
+    each = mine.join(lists, ["a", "deal"]).filter("uid <> m").withColumn("rank", F.col("r") - F.when(F.col("own") < F.col("r"), 1).otherwise(0))
+    each = each.filter(F.col("rank") <= k).select("field", "id", "rank", F.col("m_id").alias("neighbour_id"), F.col("s").alias("similarity"))
+    return lone.unionByName(each)
+
+
+def similar_pairs(vectors: DataFrame, size: int, exact: Callable[[DataFrame], DataFrame], k: int = 10, least: float = 0.8, passes: int = PASSES) -> DataFrame:
     """(field, id_a, id_b): pairs of which one is among the k nearest of the other, similarity ``least`` or more."""
-    found, names = neighbours(vectors, size, k, least, passes, like)
-    pair = found.select("uid", F.explode("near").alias("other")).select(F.least("uid", "other").alias("a"), F.greatest("uid", "other").alias("b"))
-    out = pair.join(names.select(F.col("uid").alias("a"), "field", F.col("id").alias("x")), "a").dropDuplicates(["a", "b"])
-    out = out.join(names.select(F.col("uid").alias("b"), F.col("id").alias("y")), "b")
-    return out.select("field", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    rows = neighbours(vectors, size, exact, k, least, passes)
+    return rows.select("field", F.least("id", "neighbour_id").alias("id_a"), F.greatest("id", "neighbour_id").alias("id_b")).distinct()

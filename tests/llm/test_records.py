@@ -1,37 +1,70 @@
 """Similar vectors against brute force, names on a fixture, and that the queries read whole tables."""
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import names, similar_vectors
 
 
-def vectors(spark, x, field=0):
-    df = spark.createDataFrame([(field, f"v{i:05d}", None if v is None else [float(y) for y in v]) for i, v in enumerate(x)], "field int, id string, vector array<float>")
-    return similar_vectors.quantised(df, 32, ["field", "id"]).filter("vec IS NOT NULL")
+def search(spark, rows, call, size, **more):
+    """Run a search over (field, id, vector) rows, given as a frame."""
+    given = rows.select("field", "id", F.col("vector").cast("array<float>").alias("vector"))
+    small = similar_vectors.quantised(given, size, ["field", "id"]).filter("vec IS NOT NULL")
+    return call(small, size, lambda ids: given.join(ids, ["field", "id"], "left_semi"), **more)
 
 
-def test_similar_vectors_recall(spark):
+def frame(spark, x):
+    return spark.createDataFrame([(0, f"v{i:05d}", None if v is None else [float(y) for y in v]) for i, v in enumerate(x)], "field int, id string, vector array<float>")
+
+
+def test_similar_vectors_recall_with_windows_of_three_percent(spark, monkeypatch):
+    monkeypatch.setattr(similar_vectors, "PART", 8000)  # many ranges, so that windows cross their borders
     r = np.random.default_rng(2)
-    centers = r.standard_normal((300, 32))
-    x = (centers[r.integers(0, 300, 6000)] + 0.3 * r.standard_normal((6000, 32))).astype(np.float32)
-    found, names_ = similar_vectors.neighbours(vectors(spark, x), 32, k=10)
-    id_of = {n.uid: n.id for n in names_.collect()}
-    got = {id_of[f.uid]: [id_of[u] for u in f.near] for f in found.collect()}
-    assert len(got) == 6000
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    s = u @ u.T
-    np.fill_diagonal(s, -1)
-    best = np.argsort(-s, axis=1)[:, :10]
-    hits = sum(len({f"v{j:05d}" for j in best[i]} & set(got[f"v{i:05d}"])) for i in range(6000))
-    assert hits / 60000 >= 0.9
-
-
-def test_similar_vectors_odd_rows(spark):
+    n, size = 100_000, 32
+    centers = r.standard_normal((8000, size))
+    x = (centers[r.integers(0, 8000, n)] + 0.35 * r.standard_normal((n, size))).astype(np.float32)
+    pdf = pd.DataFrame({"field": np.zeros(n, np.int32), "id": [f"v{i:06d}" for i in range(n)], "vector": list(x)})
+    rows = spark.createDataFrame(pdf).withColumn("field", F.col("field").cast("int"))
+    asked = r.choice(n, 1000, replace=False)
+    found = search(spark, rows, similar_vectors.neighbours, size, least=0.8)
+    got: dict[str, set[str]] = {}
+    for row in found.select("id", "neighbour_id").toPandas().itertuples():
+        got.setdefault(row.id, set()).add(row.neighbour_id)
+    u = x.astype(np.float64) / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u[asked] @ u.T, 6)
+    s[np.arange(1000), asked] = -1
+    best = np.argsort(-s, axis=1, kind="stable")[:, :10]
+    want = [(i, j) for i in range(1000) for j in best[i] if s[i, j] >= 0.8]
+    hits = sum(f"v{j:06d}" in got.get(f"v{asked[i]:06d}", set()) for i, j in want)
+    assert len(want) > 5000
+    assert hits / len(want) >= 0.9
+
+
+def test_similar_vectors_odd_rows_and_ties(spark):
     x = [[1.0] * 32, [2.0] * 32, [0.0] * 32, None, [1.0] * 16, [float("nan")] * 32, [1.0] + [0.0] * 31]
-    pairs = {(p.id_a, p.id_b) for p in similar_vectors.similar_pairs(vectors(spark, x), 32).collect()}
+    pairs = {(p.id_a, p.id_b) for p in search(spark, frame(spark, x), similar_vectors.similar_pairs, 32).collect()}
     assert pairs == {("v00000", "v00001")}
-    assert similar_vectors.similar_pairs(vectors(spark, x[2:5]), 32).count() == 0
+    assert search(spark, frame(spark, x[2:5]), similar_vectors.similar_pairs, 32).count() == 0
+    # of thirty equal vectors and one beside them the smallest ids are the nearest
+    same = [[1.0, 2.0] * 16] * 30 + [[1.0, 2.0] * 15 + [1.0, 2.1]]
+    rows = search(spark, frame(spark, same), similar_vectors.neighbours, 32, k=3, least=0.8, rerank_all=True).collect()
+    near = {}
+    for row in sorted(rows, key=lambda q: (q.id, q.rank)):
+        near.setdefault(row.id, []).append((row.rank, row.neighbour_id))
+    first = [f"v{i:05d}" for i in range(4)]
+    for i in range(31):
+        own = f"v{i:05d}"
+        assert near[own] == list(enumerate([f for f in first if f != own][:3], 1))
+
+
+def test_very_many_equal_vectors_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(similar_vectors, "MEMBERS", 50)
+    rows = search(spark, frame(spark, [[1.0, 2.0] * 16] * 400), similar_vectors.neighbours, 32, k=2, least=0.8)
+    got = {(q.id, q.rank): q.neighbour_id for q in rows.collect()}
+    assert len(got) == 800
+    assert (got["v00000", 1], got["v00000", 2], got["v00001", 1], got["v00399", 2]) == ("v00001", "v00002", "v00000", "v00001")
 
 
 def test_hilbert_curve_is_a_walk():
