@@ -3,18 +3,19 @@
 Names are cut into tokens (folded accents, no titles, pronouns or addresses).
 A symmetric-delete index finds tokens a small edit apart: a token, its long
 forms and all of these with one letter less (two, from nine letters on) are
-keys, names that share a key are candidates. Where very many names share a key
-they are candidates only if a second pair of their tokens may match as well,
-which every match of such names needs. Each
-candidate pair is verified by the cheapest assignment of its tokens, which may
-pair equal tokens, typing errors, nicknames, initials and abbreviations. Pairs
-whose tokens all match for certain join into groups; names with only an initial
-(or without part of the name) join the one group they fit.
+keys, names that share a key are candidates. Where many names share a key they
+are candidates only if a second pair of their tokens may match as well, which
+every match of such names needs. Each candidate pair is verified by the optimal
+assignment of its tokens, which may pair equal tokens, typing errors, nicknames,
+initials and abbreviations. Pairs whose tokens all match for certain join into
+groups; names with only an initial (or without part of the name) join the one
+group they fit. What kind of thing a name stands for is judged by its words, as
+they occur in all names of a known type, and by legal forms.
 """
 
 from __future__ import annotations
 
-import itertools
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from palimpsest.operators.components import connected_components
 from palimpsest.session import stored
 
-#: A key of more than this many names and this share of all names is common: it finds candidates only together with a second key.
-COMMON_NAMES, COMMON_SHARE = 60, 0.0005
+#: A key of more than this many names is common: it finds candidates only together with a second key.
+COMMON_NAMES = 60
+#: A word tells a kind if the names of that kind with it exceed this share of all names with it and WORD_PRIOR more.
+WORD_SHARE, WORD_PRIOR = 0.6, 2
 #: Titles and what else is no part of a name.
 TITLES = {"mr", "mrs", "ms", "dr", "prof", "phd", "sir", "herr", "frau", "mme", "sra", "sr", "jr"}
 #: Legal forms and their long names.
@@ -110,6 +113,49 @@ def is_short_for(a: str, b: str) -> bool:
     return (b.startswith(a) or len(a) <= 5) and all(c in rest for c in a)
 
 
+def assignment(cost: list[list[float]]) -> list[int]:
+    """The column of each row in the cheapest assignment of all rows to different columns (at least as many columns as rows).
+
+    Shortest augmenting paths with potentials, one row after another.
+    """
+    rows, columns = len(cost), len(cost[0])
+    u, v = [0.0] * rows, [0.0] * columns
+    owner = [-1] * columns
+    for start in range(rows):
+        least, came, seen = [math.inf] * columns, [-1] * columns, [False] * columns
+        row, column, last = start, -1, -1
+        while True:
+            for j in range(columns):
+                if not seen[j] and (gain := cost[row][j] - u[row] - v[j]) < least[j]:
+                    least[j], came[j] = gain, last
+            column = min((j for j in range(columns) if not seen[j]), key=least.__getitem__)
+            step = least[column]
+            u[start] += step
+            for j in range(columns):
+                if seen[j]:
+                    u[owner[j]] += step
+                    v[j] -= step
+                else:
+                    least[j] -= step
+            seen[column], last = True, column
+            if owner[column] < 0:
+                break
+            row = owner[column]
+        while column >= 0:  # turn the path around
+            before = came[column]
+            owner[column] = owner[before] if before >= 0 else start
+            column = before
+    out = [0] * rows
+    for j, i in enumerate(owner):
+        if i >= 0:
+            out[i] = j
+    return out
+
+
+#: What a pair that must not be costs; more than any assignment of possible pairs.
+NEVER = 1e6
+
+
 class Matcher:
     """Verifies pairs of names; ``alias`` has the full forms of short forms."""
 
@@ -141,48 +187,54 @@ class Matcher:
             return 0.3
         return None
 
-    def compare(self, left: list[str], right: list[str]) -> int:
-        """2: the same name for certain; 1: may be; 0: not."""
+    def compare(self, left: list[str], right: list[str], firm: bool = False) -> int:
+        """2: the same name for certain; 1: may be; 0: not. ``firm``: one of the two is known to be an organisation's.
+
+        Every token of the shorter name is paired with one of the longer, one of
+        the pairs for certain (equal, or of five letters and not by an initial or
+        abbreviation). Tokens that are left over cost more than any pair; whole
+        words may not be left over where a word is paired with an initial (the
+        initial of a middle name, beside another family name).
+        """
         form_a, form_b = {t for t in left if t in LEGAL}, {t for t in right if t in LEGAL}
-        firm = bool(form_a or form_b) or self.firm(left) or self.firm(right)
+        firm = firm or bool(form_a or form_b)
         if firm and form_a and form_b and not form_a & form_b:
             return 0
         drop = SMALL | form_a | form_b if firm else set()
         a, b = [t for t in left if t not in drop], [t for t in right if t not in drop]
-        if not a or not b or max(len(a), len(b)) > 6:
-            return 2 if a and sorted(a) == sorted(b) else 0
         if len(a) > len(b):
             a, b = b, a
-        costs = [[self.cost(x, y, firm) for y in b] for x in a]
-        free_a = [len(x) == 1 for x in a]
-        free_b = [len(y) == 1 for y in b]
-        best: tuple[float, int] | None = None
-        for choice in itertools.product(*[[*[j for j in range(len(b)) if costs[i][j] is not None], None] for i in range(len(a))]):
-            used = [j for j in choice if j is not None]
-            if len(set(used)) < len(used):
-                continue
-            lone_a = [i for i, j in enumerate(choice) if j is None]
-            lone_b = [j for j in range(len(b)) if j not in used]
-            hard_a, hard_b = [i for i in lone_a if not free_a[i]], [j for j in lone_b if not free_b[j]]
-            if (hard_a and hard_b) or (lone_a and lone_b):
-                continue
-            pairs = [(a[i], b[j], costs[i][j]) for i, j in enumerate(choice) if j is not None]
-            if hard_b and any(len(x) > 1 and len(y) == 1 for x, y, _ in pairs):  # the initial of a middle name, beside another family name
-                continue
-            core = any(c < 0.3 and min(len(x), len(y)) >= 5 for x, y, c in pairs)
-            if not core:
-                continue
-            given = sum(1 for x, y, c in pairs if c < 0.5 and max(len(x), len(y)) > 1)
-            total = sum(c for *_, c in pairs) + len(hard_a) + len(hard_b) + 0.2 * (len(lone_a) + len(lone_b))
-            grade = 2 if not hard_a and not hard_b and given >= 2 and all(c < 0.5 or max(len(x), len(y)) == 1 for x, y, c in pairs) else 1
-            if best is None or total < best[0]:
-                best = (total, grade)
-        return best[1] if best else 0
-
-    def firm(self, name: list[str]) -> bool:
-        return any(t in self.words or self.alias.get(t, set()) & self.words for t in name)
-
-    words: set[str] = set()  # noqa: RUF012
+        if not a:
+            return 0
+        costs: list[list[float | None]] = []
+        for x in a:
+            costs.append([self.cost(x, y, firm) for y in b])
+            if all(c is None for c in costs[-1]):
+                return 0
+        best = (math.inf, 0)
+        spare = [[1.2 if len(y) > 1 else 0.2 for y in b]] * (len(b) - len(a))
+        # either no whole word is left over, or no word is paired with an initial of the longer name
+        for words_left in (False, True):
+            table = [[NEVER if c is None or (words_left and len(x) > 1 and len(y) == 1) else c for y, c in zip(b, row, strict=True)] for x, row in zip(a, costs, strict=True)]
+            table += [[c if words_left or c < 1 else NEVER for c in row] for row in spare]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    c = table[i][j]
+                    if not (c < 0.3 and (min(len(x), len(y)) >= 5 or x == y)):
+                        continue
+                    # with this certain pair, the rest at the least cost
+                    rest = [[z for k, z in enumerate(row) if k != j] for n, row in enumerate(table) if n != i]
+                    chosen = assignment(rest) if rest else []
+                    total = c + sum(row[k] for row, k in zip(rest, chosen, strict=True))
+                    if total >= NEVER or total > best[0] + 1e-9:
+                        continue
+                    others = [y2 for k, y2 in enumerate(b) if k != j]
+                    pairs = [(x, y, c)] + [(x2, others[k], rest[n][k]) for n, (x2, k) in enumerate(zip([t for n2, t in enumerate(a) if n2 != i], chosen, strict=False))]
+                    whole_left = any(len(others[k]) > 1 for k in chosen[len(a) - 1 :])
+                    given = sum(1 for p, q, d in pairs if d < 0.5 and max(len(p), len(q)) > 1)
+                    sure = not whole_left and given >= 2 and all(d < 0.5 or max(len(p), len(q)) == 1 for p, q, d in pairs)
+                    best = min(best, (round(total, 6), -2 if sure else -1))
+        return -best[1]
 
 
 def deletes(token: str) -> list[str]:
@@ -217,14 +269,13 @@ def second_keys(token: str, firm: bool) -> list[tuple[str, int]]:
 def candidates(forms: DataFrame, matcher: Matcher) -> DataFrame:
     """(a, b) with a < b: the ``fid`` of all pairs of names that ``Matcher.compare`` may accept, and others.
 
-    ``forms``: (fid, parts), stored. ``compare`` matches every token of the
+    ``forms``: (fid, parts, firm), stored. ``compare`` matches every token of the
     shorter name, one pair of them for certain, so the two names share a key of
     that pair. If the key is common, then a name of one word (legal forms and
     small words aside) meets all that have it; two longer names meet where
     another pair of their tokens shares a common key too, or may be a beginning,
     an initial or an abbreviation. A rare key of that pair finds them anyway.
     """
-    total = forms.count()
 
     def keyed(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
@@ -241,8 +292,7 @@ def candidates(forms: DataFrame, matcher: Matcher) -> DataFrame:
         for pdf in rows:
             found = [
                 (f, j, k, side)
-                for f, parts in zip(pdf["fid"], map(list, pdf["parts"]), strict=True)
-                for firm in [matcher.firm(parts) or any(t in LEGAL for t in parts)]
+                for f, parts, firm in zip(pdf["fid"], map(list, pdf["parts"]), pdf["firm"], strict=True)
                 for j, t in enumerate(parts)
                 if t not in LEGAL
                 for k, side in second_keys(t, firm)
@@ -251,7 +301,8 @@ def candidates(forms: DataFrame, matcher: Matcher) -> DataFrame:
 
     keys = forms.select("fid", "parts").mapInPandas(keyed, "fid long, i int, key string, lone boolean")
     keys = stored(keys.select("fid", "i", F.xxhash64("key").alias("key"), "lone"), "keys")
-    common = keys.groupBy("key").agg(F.countDistinct("fid").alias("n")).filter(F.col("n") > max(COMMON_NAMES, total * COMMON_SHARE)).select("key")
+    common = keys.groupBy("key").agg(F.countDistinct("fid").alias("n")).filter(F.col("n") > COMMON_NAMES).select("key")
+    common = stored(common, "common")
 
     def meet(x: DataFrame, y: DataFrame) -> DataFrame:
         """Pairs of names on equal keys; hot keys are split by the adaptive join."""
@@ -260,28 +311,54 @@ def candidates(forms: DataFrame, matcher: Matcher) -> DataFrame:
 
     rare = keys.join(common, "key", "left_anti").select("key", "fid").distinct()
     found = rare.withColumnRenamed("fid", "a").join(rare.withColumnRenamed("fid", "b"), "key").filter("a < b").select("a", "b")
+    if common.isEmpty():
+        return found.distinct()
     often = stored(keys.join(common, "key", "left_semi"), "often")
-    if not often.isEmpty():
-        some = forms.join(often.select("fid").distinct(), "fid", "left_semi").select("fid", "parts")
-        second = some.mapInPandas(seconds, "fid long, j int, second string, side int").select("fid", "j", F.xxhash64("second").alias("second"), "side")
-        second = second.unionByName(often.select("fid", F.col("i").alias("j"), F.col("key").alias("second"), F.lit(0).alias("side")))
-        double = often.filter("NOT lone").join(second, "fid").filter("i <> j").select("fid", "side", F.xxhash64("key", "second").alias("key"))
-        double = stored(double.distinct(), "double")
-        both = double.filter("side = 0").select("key", "fid")
-        found = found.unionByName(meet(often.filter("lone"), often))
-        found = found.unionByName(both.withColumnRenamed("fid", "a").join(both.withColumnRenamed("fid", "b"), "key").filter("a < b").select("a", "b"))
-        found = found.unionByName(meet(double.filter("side = 1"), double.filter("side = 2")))
-    return found.distinct()
-
-
-def link(entities: DataFrame, alias: DataFrame, firm_words: set[str]) -> DataFrame:
+    some = forms.join(often.select("fid").distinct(), "fid", "left_semi").select("fid", "parts", "firm")
+    second = some.mapInPandas(seconds, "fid long, j int, second string, side int").select("fid", "j", F.xxhash64("second").alias("second"), "side")
+    second = second.unionByName(often.select("fid", F.col("i").alias("j"), F.col("key").alias("second"), F.lit(0).alias("side")))
+    double = often.filter("NOT lone").join(second, "fid").filter("i <> j").select("fid", "side", F.xxhash64("key", "second").alias("key"))
+    double = stored(double.distinct(), "double")
+    both = double.filter("side = 0").select("key", "fid")
+    found = found.unionByName(meet(often.filter("lone"), often))
+    found = found.unionByName(both.withColumnRenamed("fid", "a").join(both.withColumnRenamed("fid", "b"), "key").filter("a < b").select("a", "b"))
+    return found.unionByName(meet(double.filter("side = 1"), double.filter("side = 2"))).distinct()
+
+
+def judged(named: DataFrame) -> DataFrame:
+    """(form, parts, firm, person, other) of each spelling of ``named`` (kind, parts, form): what its words tell.
+
+    A word tells a kind where names of that kind are more than WORD_SHARE of
+    all names with it (and WORD_PRIOR others): legal forms count as the kind
+    firm, names of unknown type only among all. Counted over all names and
+    joined, so no list of words is collected.
+    """
+    legal = F.arrays_overlap("parts", F.array(*[F.lit(t) for t in sorted(set(LEGAL.values()))]))
+    token = F.explode(F.array_distinct(F.filter("parts", lambda t: F.length(t) > 1))).alias("word")
+    one = named.select(F.when(legal & (F.size("parts") > 1), "firm").otherwise(F.coalesce("kind", F.lit("none"))).alias("kind"), token)
+    n = one.groupBy("word").agg(F.count("*").alias("n"), *[F.sum((F.col("kind") == k).cast("int")).alias(k) for k in KINDS])
+    told = n.select("word", *[(F.col(k) > WORD_SHARE * (F.col("n") + WORD_PRIOR)).alias(k) for k in KINDS]).filter(" OR ".join(KINDS))
+    forms = named.groupBy("form").agg(F.first("parts").alias("parts"))
+    flags = forms.select("form", token).join(told, "word").groupBy("form").agg(*[F.max(k).alias(k) for k in KINDS])
+    out = forms.join(flags, "form", "left")
+    return out.select("form", "parts", (F.coalesce("firm", F.lit(False)) | legal).alias("firm"), *[F.coalesce(k, F.lit(False)).alias(k) for k in KINDS[1:]])
+
+
+#: Kinds of things that names stand for.
+KINDS = ["firm", "person", "other"]
+
+
+def link(entities: DataFrame, alias: DataFrame) -> DataFrame:
     """(id_a, id_b): entities whose names mean the same person or organisation, all pairs of a group.
 
-    ``entities``: (id, name), one row per id; ``alias``: (short_form, full_form).
-    Null and blank names and names without a token of five letters match
-    nothing. Equal spellings are one candidate, however many entities have
-    them. An empty table gives an empty result. The alias table must be small
-    (it is a fixed list) and is the only thing that is collected.
+    ``entities``: (id, name, kind), one row per id; ``kind`` is person, firm,
+    other or null for unknown, as the unreliable type says. Those of another
+    kind take part if their words tell a person or firm and none tells otherwise
+    (names with digits do not). ``alias``: (short_form, full_form), a small
+    fixed list and the only thing that is collected. Null and blank names match
+    nothing; names of any length and number of words take part. Equal spellings
+    are one candidate, however many entities have them. An empty table gives an
+    empty result.
     """
     table: dict[str, set[str]] = {}
     for row in alias.dropna().collect():
@@ -292,46 +369,46 @@ def link(entities: DataFrame, alias: DataFrame, firm_words: set[str]) -> DataFra
         for short in shorts.split():
             table.setdefault(short, set()).add(full)
     matcher = Matcher(table)
-    matcher.words = firm_words
 
     @F.pandas_udf("array<string>")
     def cut(names: pd.Series) -> pd.Series:
         return names.map(lambda n: sorted(tokens(n)))
 
-    named = stored(entities.filter("trim(name) <> ''").select("id", cut("name").alias("parts")).withColumn("form", F.concat_ws(" ", "parts")), "names")
-    forms = named.groupBy("form").agg(F.first("parts").alias("parts")).filter(F.exists("parts", lambda t: F.length(t) >= 5))
-    forms = stored(forms.withColumn("fid", F.monotonically_increasing_id()), "forms")
-    pairs = candidates(forms, matcher).join(forms.select(F.col("fid").alias("a"), F.col("form").alias("x")), "a").join(forms.select(F.col("fid").alias("b"), F.col("form").alias("y")), "b")
-    pairs = pairs.select(F.least("x", "y").alias("fa"), F.greatest("x", "y").alias("fb"))
+    named = entities.filter("trim(name) <> ''").select("id", "kind", cut("name").alias("parts"), F.col("name").rlike(r"\d").alias("digits"))
+    named = stored(named.filter(F.size("parts") > 0).withColumn("form", F.concat_ws(" ", "parts")), "names")
+    forms = stored(judged(named).withColumn("fid", F.monotonically_increasing_id()), "forms")
+    strange = (F.col("kind") == "other") & (F.col("digits") | F.col("other") | ~(F.col("firm") | F.col("person")))
+    named = named.join(forms.select("form", "fid", "firm", "person", "other"), "form").filter(~F.coalesce(strange, F.lit(False)))
+    named = stored(named.select("id", "fid"), "named")
+    forms = stored(forms.join(named.select("fid").distinct(), "fid", "left_semi").select("fid", "parts", "firm"), "forms")
+    side = forms.select("fid", F.array_join("parts", " ").alias("form"), "firm")
+    pairs = candidates(forms, matcher)
+    pairs = pairs.join(side.select(F.col("fid").alias("a"), F.col("form").alias("x"), F.col("firm").alias("p")), "a")
+    pairs = pairs.join(side.select(F.col("fid").alias("b"), F.col("form").alias("y"), F.col("firm").alias("q")), "b")
 
     @F.pandas_udf("int")
-    def grade(fa: pd.Series, fb: pd.Series) -> pd.Series:
-        return pd.Series([matcher.compare(x.split(" "), y.split(" ")) for x, y in zip(fa, fb, strict=True)], dtype=np.int32)
-
-    graded = stored(pairs.withColumn("grade", grade("fa", "fb")).filter("grade > 0"), "graded")
-    sure = graded.filter("grade = 2").select(F.col("fa").alias("src"), F.col("fb").alias("dst"))
-    every = forms.select(F.col("form").alias("src"), F.col("form").alias("dst"))
-    groups = stored(connected_components(sure.unionByName(every)), "groups")
-    # a form whose group is itself alone joins the one larger or other group that it may belong to
+    def grade(x: pd.Series, y: pd.Series, firm: pd.Series) -> pd.Series:
+        return pd.Series([matcher.compare(p.split(" "), q.split(" "), f) for p, q, f in zip(x, y, firm, strict=True)], dtype=np.int32)
+
+    graded = stored(pairs.select("a", "b", grade("x", "y", F.col("p") | F.col("q")).alias("grade")).filter("grade > 0"), "graded")
+    sure = graded.filter("grade = 2").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    linked = connected_components(sure)
+    whole = (F.size(F.filter("parts", lambda t: F.length(t) > 1)) >= 2).alias("whole")
+    groups = forms.select("fid", whole).join(linked.select(F.col("node").alias("fid"), "component"), "fid", "left")
+    groups = stored(groups.select("fid", F.coalesce("component", "fid").alias("component"), "whole"), "groups")
+    # a group without a whole name, or a single name, joins the one other group that it may belong to
+    about = groups.groupBy("component").agg(F.max("whole").alias("full"), F.count("*").alias("size"))
+    g = stored(groups.select("fid", "component").join(about, "component"), "groups")
     may = graded.filter("grade = 1")
-    may = may.select(F.col("fa").alias("form"), F.col("fb").alias("other")).unionByName(may.select(F.col("fb").alias("form"), F.col("fa").alias("other")))
-    size = groups.groupBy("component").count()
-    full = F.udf(lambda f: sum(len(t) > 1 for t in f.split(" ")) >= 2, "boolean")
-    kind = groups.withColumn("full", full("node")).groupBy("component").agg(F.max("full").alias("full"))
-    g = groups.join(kind, "component")
-    vague = g.filter(~F.col("full")).select(F.col("node").alias("form"), F.col("component").alias("own"))
-    firm = g.filter("full").select(F.col("node").alias("other"), "component")
-    options = may.join(vague, "form").join(firm, "other").groupBy("own").agg(F.countDistinct("component").alias("n"), F.min("component").alias("component"))
-    partly = may.join(g.filter("full").select(F.col("node").alias("form"), F.col("component").alias("own")), "form").join(firm, "other").filter("own <> component")
-    partly = partly.groupBy("own").agg(F.countDistinct("component").alias("n"), F.min("component").alias("component"))
-    joins = options.unionByName(partly.join(size.withColumnRenamed("component", "own").filter("count = 1").select("own"), "own", "left_semi")).filter("n = 1").select("own", "component")
-    merged = connected_components(
-        joins.select(F.col("own").alias("src"), F.col("component").alias("dst")).unionByName(groups.select(F.col("component").alias("src"), F.col("component").alias("dst")))
-    ).withColumnRenamed("component", "grp").withColumnRenamed("node", "component")
-    member = named.join(groups.withColumnRenamed("node", "form"), "form").join(merged, "component").select("grp", "id")
+    may = may.select(F.col("a").alias("fid"), F.col("b").alias("other")).unionByName(may.select(F.col("b").alias("fid"), F.col("a").alias("other")))
+    own = g.filter("NOT full OR size = 1").select("fid", F.col("component").alias("own"))
+    full = g.filter("full").select(F.col("fid").alias("other"), "component")
+    fits = may.join(own, "fid").join(full, "other").filter("own <> component")
+    joins = fits.groupBy("own").agg(F.countDistinct("component").alias("n"), F.min("component").alias("component")).filter("n = 1")
+    merged = connected_components(joins.select(F.col("own").alias("src"), F.col("component").alias("dst")))
+    member = named.join(g.select("fid", "component"), "fid").join(merged.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
+    member = member.select(F.coalesce("top", "component").alias("grp"), "id")
     many = member.groupBy("grp").count().filter("count > 1").select("grp")
     member = stored(member.join(many, "grp", "left_semi"), "members")
     x, y = member.withColumnRenamed("id", "id_a"), member.withColumnRenamed("id", "id_b")
     return x.join(y, "grp").filter("id_a < id_b").select("id_a", "id_b")
-
-

@@ -79,29 +79,14 @@ def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Spellings of the types of people and of organisations.
 PEOPLE = ["person", "human", "contact"]
 FIRMS = ["organization", "organisation", "org", "company"]
-#: Words that follow the name of a firm, found in more than this many of its names and at most this share as often in others.
-FIRM_WORD_NAMES = 3
 
 
-def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Current entities that may stand for people or organisations, with their kind (null: unknown)."""
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of current entities that stand for the same person or organisation, whatever their type says."""
     e = current(load(spark, sf_dir, "entity").select("id", "valid_from", "asserted", "name", "type"), KEYS["entity"])
     kind = F.lower(F.trim("type"))
-    e = e.withColumn("kind", F.when(kind.isin(PEOPLE), "person").when(kind.isin(FIRMS), "firm").when(kind.isNull() | (kind == ""), None).otherwise("other"))
-    return e.filter(F.col("kind").isNull() | (F.col("kind") != "other"))
-
-
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of current entities that stand for the same person or organisation."""
-    e = stored(_named(spark, sf_dir).select("id", "name", "kind"), "named")
-    word = F.explode(F.split(F.lower("name"), r"[^\p{L}]+")).alias("w")
-    counts = e.filter("kind IS NOT NULL").select("kind", word).filter("length(w) >= 4").groupBy("w").agg(
-        F.sum((F.col("kind") == "firm").cast("int")).alias("firm"), F.count("*").alias("n")
-    )
-    # a bounded list: words of firms that recur in over a thousandth of all names, or in several of a small table
-    least = max(FIRM_WORD_NAMES, e.count() // 1000)
-    words = {r["w"] for r in counts.filter((F.col("firm") > least) & (F.col("firm") > 0.9 * F.col("n"))).collect()}
-    return names.link(e.select("id", "name"), load(spark, sf_dir, "name_alias"), words)
+    kind = F.when(kind.isin(PEOPLE), "person").when(kind.isin(FIRMS), "firm").when(kind.isNull() | (kind == ""), None).otherwise("other")
+    return names.link(e.select("id", "name", kind.alias("kind")), load(spark, sf_dir, "name_alias"))
 
 
 def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:

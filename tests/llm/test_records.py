@@ -1,5 +1,7 @@
 """Similar vectors against brute force, names on a fixture, and that the queries read whole tables."""
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -82,9 +84,9 @@ def test_names_are_linked(spark):
         ("1", "William Torvanquist"), ("2", "Torvanquist, Bill"), ("3", "W. Torvanquist"), ("4", "WILLIAM TORVNAQUIST"), ("5", "Susan Torvanquist"), ("6", "william.torvanquist"), ("7", "Dr. William  Torvanquist (he/him)"),
         ("8", "Belarmesh Foundation LLC"), ("9", "belarmesh fdn."), ("10", "Belarmesh Foods LLC"), ("11", "BELARMSEH FOUNDATION L.L.C."), ("12", None), ("13", ""), ("14", "  "), ("15", "Jo"), ("16", "Susan Torvanquist <s.t@x.example>"),
     ]
-    e = spark.createDataFrame(rows, "id string, name string")
+    e = spark.createDataFrame(rows, "id string, name string").withColumn("kind", F.lit(None).cast("string"))
     alias = spark.createDataFrame(ALIAS, "short_form string, full_form string")
-    got = {(p.id_a, p.id_b) for p in names.link(e, alias, {"foundation", "foods"}).collect()}
+    got = {(p.id_a, p.id_b) for p in names.link(e, alias).collect()}
 
     def all_pairs(*ids):
         ids = sorted(ids)
@@ -92,7 +94,7 @@ def test_names_are_linked(spark):
 
     # the initial fits William only: Susan begins with another letter
     assert got == all_pairs("1", "2", "3", "4", "6", "7") | all_pairs("8", "9", "11") | all_pairs("5", "16")
-    assert names.link(e.limit(0), alias, set()).count() == 0
+    assert names.link(e.limit(0), alias).count() == 0
 
 
 @pytest.mark.parametrize(("a", "b", "want"), [("abcd", "abcd", 0), ("abcd", "acbd", 1), ("abcd", "abd", 1), ("abcd", "abcde", 1), ("abcd", "wxyz", 3)])
@@ -107,16 +109,15 @@ def test_deletes_meet_at_one_edit():
 
 def test_common_tokens_still_find_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(names, "COMMON_NAMES", 2)
-    monkeypatch.setattr(names, "COMMON_SHARE", 0.0)
     given = ["william", "bill", "willaim", "w", "christopher", "chirstohper", "kit", "susan"]
     family = ["torvanquist", "torvnaquits", "allen", "alan", "al", "t", "de kim", ""]
     firms = ["belarmesh foundation llc", "belarmesh fdn", "belarmesh foods", "blarmesh foods ltd", "belarmesh"]
     parts = [sorted(names.tokens(f"{g} {f}")) for g in given for f in family] + [sorted(names.tokens(f)) for f in firms]
     matcher = names.Matcher({"bill": {"william"}, "kit": {"christopher"}})
-    matcher.words = {"foundation", "foods"}
-    forms = spark.createDataFrame(list(enumerate(parts)), "fid long, parts array<string>")
+    firm = [bool({"foundation", "foods", "llc", "ltd"} & set(p)) for p in parts]
+    forms = spark.createDataFrame(list(zip(range(len(parts)), parts, firm, strict=True)), "fid long, parts array<string>, firm boolean")
     got = {(p.a, p.b) for p in names.candidates(forms, matcher).collect()}
-    want = {(i, j) for j in range(len(parts)) for i in range(j) if parts[i] != parts[j] and matcher.compare(parts[i], parts[j])}
+    want = {(i, j) for j in range(len(parts)) for i in range(j) if parts[i] != parts[j] and matcher.compare(parts[i], parts[j], firm[i] or firm[j])}
     assert len(want) > 100
     assert not want - got
     assert len(got) < len(parts) * (len(parts) - 1) / 2
@@ -126,3 +127,29 @@ def test_initial_beside_another_family_name_is_no_match():
     matcher = names.Matcher({})
     assert matcher.compare(["david", "torekvanberg"], ["david", "t", "wilulsodottir"]) == 0
     assert matcher.compare(["david", "torekvanberg"], ["d", "torekvanberg"]) == 1
+
+
+def test_short_and_long_names_of_any_type(spark):
+    long = "Torvan Belmar Quistel Hesorin Dalvane Rinolta Foundation"
+    rows = [
+        ("1", "Ann Lee", "person"), ("2", "Lee, Ann", "person"), ("3", "Bo Li", None), ("4", "bo  li", None), ("5", "Jo Li", None), ("6", "A. Lee", "person"),
+        ("7", long, "firm"), ("8", long.replace("Hesorin", "Hesoirn"), "firm"), ("9", long.replace("Hesorin", "Kelmard"), "firm"),
+        ("10", "Ann Torvanquist", "other"), ("11", "Ann Torvanqiust", "person"), ("12", "Ann Belmar", "person"), ("13", "Ann Quistel", "person"), ("14", "Ann Dalvane", "person"),
+        ("15", "Minutes Hesorin 12", "other"), ("16", "Minutes Hesorin 12", "other"), ("17", "Review Rinolta", "other"), ("18", "Review Rinolta", "other"),
+    ]
+    e = spark.createDataFrame(rows, "id string, name string, kind string")
+    alias = spark.createDataFrame(ALIAS, "short_form string, full_form string")
+    got = {(p.id_a, p.id_b) for p in names.link(e, alias).collect()}
+    assert got == {("1", "2"), ("1", "6"), ("2", "6"), ("3", "4"), ("7", "8"), ("10", "11")}
+
+
+def test_assignment_is_the_cheapest():
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        n = int(r.integers(1, 5))
+        m = n + int(r.integers(0, 3))
+        cost = r.integers(0, 9, (n, m)).astype(float).tolist()
+        best = min(sum(cost[i][j] for i, j in enumerate(p)) for p in itertools.permutations(range(m), n))
+        chosen = names.assignment(cost)
+        assert len(set(chosen)) == n
+        assert sum(cost[i][j] for i, j in enumerate(chosen)) == best
