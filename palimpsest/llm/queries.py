@@ -66,14 +66,14 @@ def _field_name():
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of which one is among the ten most similar of the other, similarity 0.8 or more."""
     vectors, exact = _vectors(spark, sf_dir)
-    return similar_vectors.similar_pairs(vectors, VECTOR_SIZE, exact).select(_field_name(), "id_a", "id_b")
+    return similar_vectors.Neighbours(vectors, VECTOR_SIZE, exact, least=0.8).pairs().select(_field_name(), "id_a", "id_b")
 
 
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar vectors found for every vector with their similarity, whatever it is."""
     vectors, exact = _vectors(spark, sf_dir)
-    found = similar_vectors.neighbours(vectors, VECTOR_SIZE, exact, rerank_all=True)
-    return found.select(_field_name(), "id", "rank", "neighbour_id", "similarity")
+    found = similar_vectors.Neighbours(vectors, VECTOR_SIZE, exact, rerank_all=True)
+    return found.rows().select(_field_name(), "id", "rank", "neighbour_id", "similarity")
 
 
 #: Spellings of the types of people and of organisations.

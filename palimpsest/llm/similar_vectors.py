@@ -169,13 +169,20 @@ class Block:
         mean = self.mean[mine] / np.linalg.norm(self.mean[mine], axis=1, keepdims=True)
         return placed(self.field[mine], self.uid[mine], mean, state, turn)
 
-    def found(self) -> pa.RecordBatch:
-        """The neighbours of each of the block's own rows."""
+    def found(self, k: int, least: float) -> pa.RecordBatch:
+        """The neighbours of each of the block's own rows: ``k`` and what is as near as the last of them, but for ERROR.
+
+        ``hard``: equal vectors are involved (odd uids), or ERROR may change which are the first ``k``.
+        """
         mine = np.flatnonzero(~self.guest)
-        have = self.sim[mine] > -2
+        sim, near = self.sim[mine], self.near[mine]
+        last = sim[:, k - 1 : k] - 2 * ERROR
+        have = (sim > -2) & (sim >= last)
+        close = (have[:, k:].any(1) & (self.k > k)) | (have & (np.abs(sim - least) <= ERROR)).any(1)
+        hard = close | (self.uid[mine] % 2 == 1) | (have & (near % 2 == 1)).any(1)
         offsets = pa.array(np.concatenate([[0], np.cumsum(have.sum(1))]).astype(np.int32))
-        near, sim = (pa.ListArray.from_arrays(offsets, pa.array(x[mine][have])) for x in (self.near, self.sim))
-        return pa.RecordBatch.from_arrays([pa.array(self.field[mine]), pa.array(self.uid[mine]), near, sim], ["field", "uid", "near", "sim"])
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[have])) for x in (near, sim)]
+        return pa.RecordBatch.from_arrays([pa.array(self.field[mine]), pa.array(self.uid[mine]), *lists, pa.array(hard)], ["field", "uid", "near", "sim", "hard"])
 
 
 def placed(field: np.ndarray, uid: np.ndarray, x: np.ndarray, state: list[bytes], turn: int) -> pa.RecordBatch:
@@ -211,7 +218,7 @@ class Ranges:
 
 STATE = ["field", "uid", "key", "state"]
 SCHEMA = "field int, uid bigint, key bigint, state binary"
-FOUND = "field int, uid bigint, near array<bigint>, sim array<float>"
+FOUND = "field int, uid bigint, near array<bigint>, sim array<float>, hard boolean"
 
 
 def quantised(rows: DataFrame, size: int, keep: list[str]) -> DataFrame:
@@ -269,10 +276,10 @@ def slot_numbers(spark, parts: int) -> np.ndarray:
 
 
 def search(vectors: DataFrame, size: int, k: int, least: float, passes: int = PASSES) -> DataFrame:
-    """(field, uid, near, sim): the ``k`` nearest found for each vector within its field, best first, similarity ``least`` or more.
+    """(field, uid, near, sim, hard): the ``k`` nearest found for each vector within its field, best first, and what is as near (``Block.found``).
 
-    ``vectors``: (field, uid, vec), stored, no two rows equal in vec. Every pass
-    is stored and the one before deleted.
+    ``vectors``: (field, uid, vec), no two rows equal in vec. Every pass is
+    stored and the one before deleted.
     """
     spark = vectors.sparkSession
 
@@ -291,13 +298,13 @@ def search(vectors: DataFrame, size: int, k: int, least: float, passes: int = PA
 
             def done(block: Block) -> pa.RecordBatch:
                 around = held[max(0, held.index(block) - REACH) : held.index(block) + REACH + 1]
-                block.meet(around, least)
+                block.meet(around, least - ERROR)
                 if turn == passes:
-                    return block.found()
+                    return block.found(k, least)
                 block.lean(around)
                 return block.rows(turn)
 
-            for block in blocks(batches, size, k):
+            for block in blocks(batches, size, k + MARGIN):
                 held.append(block)
                 waiting += 1
                 if waiting > REACH:
@@ -331,75 +338,92 @@ def search(vectors: DataFrame, size: int, k: int, least: float, passes: int = PA
     return at
 
 
-def neighbours(
-    vectors: DataFrame, size: int, exact: Callable[[DataFrame], DataFrame], k: int = 10, least: float = -1.0, passes: int = PASSES, rerank_all: bool = False
-) -> DataFrame:
-    """(field, id, rank, neighbour_id, similarity): the ``k`` most similar of each vector, rank from 1.
+class Neighbours:
+    """The ``k`` most similar of each vector: ``rows`` with ids, ``pairs`` without repetition.
 
     ``vectors``: (field int, id string, vec binary) as from ``quantised``, one
     row per field and id. ``exact``: given a frame (field, id), the given
     vectors (field, id, vector) of these. Similarities are rounded to 6 digits,
     equal ones rank by smaller id; those below ``least`` are left out.
-    ``similarity`` itself is exact to 2e-5, or to all digits with
+    The similarity itself is exact to 2e-5, or to all digits with
     ``rerank_all``; ranks at the k-th place and the threshold are exact in
     either case. Vectors that are equal but for their length count as equal.
     An empty table gives an empty result.
     """
-    base = vectors.select("field", F.xxhash64("field", "id").alias("uid"), "id", "vec", F.xxhash64("vec").alias("h1"), F.xxhash64("vec", F.lit(1)).alias("h2"))
-    base = stored(base, "vectors")
-    names = base.select("uid", "id")
-    # classes of equal vectors: (rep, uid, id, n); the member that stands for the class has the smallest id
-    light = base.select("field", "h1", "h2", "uid", "id")
-    many = light.groupBy("field", "h1", "h2").agg(F.min_by("uid", "id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
-    copies = stored(light.join(many, ["field", "h1", "h2"]).select("rep", "uid", "id", "n", "field"), "copies")
-    # the few rows to leave out are joined by broadcast or shuffle, as Spark decides by their size
-    once = base.join(copies.filter("uid <> rep").select("uid"), "uid", "left_anti")
-    found = search(once, size, k + MARGIN, least - ERROR, passes)
-
-    order = Window.partitionBy("rep").orderBy("id")
-    first = copies.select("rep", "uid", "id").withColumn("i", F.row_number().over(order)).filter(F.col("i") <= k + 1)
-    links = found.select("field", F.col("uid").alias("a"), F.explode(F.arrays_zip("near", "sim")).alias("x")).select("field", "a", F.col("x.near").alias("b"), F.col("x.sim").cast("double").alias("s"))
-    whole = links.join(first.select(F.col("rep").alias("b"), F.col("uid").alias("m")), "b", "left").select("field", "a", F.coalesce("m", "b").alias("m"), "s")
-    whole = whole.join(names.select(F.col("uid").alias("m"), F.col("id").alias("m_id")), "m")
-    own = first.join(copies.select("uid", "field"), "uid").select("field", F.col("rep").alias("a"), F.col("uid").alias("m"), F.col("id").alias("m_id"), F.lit(1.0).alias("s"))
-    whole = whole.select("field", "a", "m", "m_id", "s").unionByName(own)
-
-    best = Window.partitionBy("a").orderBy(F.round("s", 6).desc(), "m_id")
-    ranked = whole.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= 2 * k + MARGIN)
-    edge = F.max(F.when(F.col("r") == k, F.col("s"))).over(Window.partitionBy("a"))
-    edge_next = F.max(F.when(F.col("r") == k + 1, F.col("s"))).over(Window.partitionBy("a"))
-    tight = F.coalesce(F.abs(F.col("s") - edge) <= ERROR, F.lit(False)) | F.coalesce(F.abs(F.col("s") - edge_next) <= ERROR, F.lit(False)) | (F.abs(F.col("s") - least) <= ERROR)
-    size_of = F.count("*").over(Window.partitionBy("a"))
-    unsure = (F.lit(True) if rerank_all else tight & ((size_of > k) | (F.abs(F.col("s") - least) <= ERROR))) & (F.col("s") < 1.0)
-    listed = stored(ranked.withColumn("unsure", unsure).select("field", "a", "m", "m_id", "s", "unsure"), "lists")
-
-    # exact similarities where the order is unsure
-    doubt = listed.filter("unsure").join(names.select(F.col("uid").alias("a"), F.col("id").alias("a_id")), "a").select("field", "a", "a_id", "m", "m_id")
-    doubt = stored(doubt, "doubt")
-    ids = doubt.select("field", F.explode(F.array("a_id", "m_id")).alias("id")).distinct()
-    given = stored(exact(ids), "exact")
-    pair = doubt.join(given.select("field", F.col("id").alias("a_id"), F.col("vector").alias("va")), ["field", "a_id"])
-    pair = pair.join(given.select("field", F.col("id").alias("m_id"), F.col("vector").alias("vm")), ["field", "m_id"])
-    sure = pair.select("a", "m", vx.cosine(F.col("va"), F.col("vm")).alias("true_s"))
-    final = listed.join(sure, ["a", "m"], "left").select("field", "a", "m", "m_id", F.round(F.coalesce("true_s", "s"), 6).alias("s"))
-    final = final.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.col("s").desc(), "m_id")))
-    final = stored(final.filter((F.col("r") <= k + 1) & (F.col("s") >= least)), "final")
-
-    # vectors without an equal have the first k; of a class each member has the first k of the list but itself
-    lone = final.join(copies.select(F.col("rep").alias("a")).distinct(), "a", "left_anti").filter(F.col("r") <= k)
-    lone = lone.join(names.select(F.col("uid").alias("a"), "id"), "a").select("field", "id", F.col("r").alias("rank"), F.col("m_id").alias("neighbour_id"), F.col("s").alias("similarity"))
-    # a class of very many members is dealt to several tasks
-    deals = (F.col("n") / MEMBERS).cast("int") + 1
-    member = copies.select(F.col("rep").alias("a"), "uid", "id", F.pmod("uid", deals).alias("deal"))
-    lists = final.join(copies.filter("uid = rep").select(F.col("rep").alias("a"), deals.alias("deals")), "a")
-    lists = lists.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals").cast("long") - 1)))
-    mine = member.join(final.select("a", F.col("m").alias("uid"), F.col("r").alias("own")), ["a", "uid"], "left")
-    each = mine.join(lists, ["a", "deal"]).filter("uid <> m").withColumn("rank", F.col("r") - F.when(F.col("own") < F.col("r"), 1).otherwise(0))
-    each = each.filter(F.col("rank") <= k).select("field", "id", "rank", F.col("m_id").alias("neighbour_id"), F.col("s").alias("similarity"))
-    return lone.unionByName(each)
-
-
-def similar_pairs(vectors: DataFrame, size: int, exact: Callable[[DataFrame], DataFrame], k: int = 10, least: float = 0.8, passes: int = PASSES) -> DataFrame:
-    """(field, id_a, id_b): pairs of which one is among the k nearest of the other, similarity ``least`` or more."""
-    rows = neighbours(vectors, size, exact, k, least, passes)
-    return rows.select("field", F.least("id", "neighbour_id").alias("id_a"), F.greatest("id", "neighbour_id").alias("id_b")).distinct()
+
+    def __init__(
+        self, vectors: DataFrame, size: int, exact: Callable[[DataFrame], DataFrame], k: int = 10, least: float = -1.0, passes: int = PASSES, rerank_all: bool = False
+    ):
+        self.k, self.least = k, least
+        uid = F.shiftleft(F.xxhash64("field", "id"), 1).alias("uid")  # even; odd stands for a class of equal vectors
+        base = stored(vectors.select("field", uid, "id", "vec", F.xxhash64("vec").alias("h1"), F.xxhash64("vec", F.lit(1)).alias("h2")), "vectors")
+        self.names = stored(base.select("uid", "id"), "names")
+        # classes of equal vectors: (rep, uid, id, n, field); the member that stands for the class has the smallest id
+        light = base.select("field", "h1", "h2", "uid", "id")
+        many = light.groupBy("field", "h1", "h2").agg(F.min_by("uid", "id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
+        self.copies = stored(light.join(many, ["field", "h1", "h2"]).select("rep", "uid", "id", "n", "field"), "copies")
+        # the few rows to leave out are joined by broadcast or shuffle, as Spark decides by their size
+        once = base.select("field", "uid", "vec").join(self.copies.select("uid", "rep"), "uid", "left").filter("rep IS NULL OR rep = uid")
+        once = once.select("field", (F.col("uid") + F.col("rep").isNotNull().cast("int")).alias("uid"), "vec")
+        found = search(once, size, k, least, passes)
+        dropped(base)
+        hard = F.lit(True) if rerank_all else F.col("hard")
+        plain = found.filter(~hard).select("field", F.col("uid").alias("a"), F.posexplode(F.slice(F.arrays_zip("near", "sim"), 1, k)).alias("r", "x"))
+        plain = plain.select("field", "a", (F.col("r") + 1).alias("rank"), F.col("x.near").alias("m"), F.round(F.col("x.sim").cast("double"), 6).alias("s"))
+        lone, classes = self._settled(found.filter(hard), exact, rerank_all)
+        #: (field, a, rank, m, s): neighbours by uid
+        self.by_uid = plain.unionByName(lone).unionByName(classes)
+
+    def _settled(self, found: DataFrame, exact: Callable[[DataFrame], DataFrame], rerank_all: bool) -> tuple[DataFrame, DataFrame]:
+        """Neighbours of vectors whose lists hold equal vectors or doubtful places: of single vectors, and of members of classes."""
+        k, least, copies, names = self.k, self.least, self.copies, self.names
+        first = copies.select("rep", "uid", "id", "field").withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).filter(F.col("i") <= k + 1)
+        links = found.select("field", F.col("uid").alias("a"), F.explode(F.arrays_zip("near", "sim")).alias("x"))
+        links = links.select("field", F.col("a").bitwiseAND(-2).alias("a"), F.col("x.near").bitwiseAND(-2).alias("b"), F.col("x.sim").cast("double").alias("s"))
+        whole = links.join(first.select(F.col("rep").alias("b"), F.col("uid").alias("m")), "b", "left").select("field", "a", F.coalesce("m", "b").alias("m"), "s")
+        whole = whole.join(names.select(F.col("uid").alias("m"), F.col("id").alias("m_id")), "m")
+        own = first.select("field", F.col("rep").alias("a"), F.col("uid").alias("m"), F.col("id").alias("m_id"), F.lit(1.0).alias("s"))
+        whole = whole.select("field", "a", "m", "m_id", "s").unionByName(own)
+        every = Window.partitionBy("a")
+        ranked = whole.withColumn("r", F.row_number().over(every.orderBy(F.round("s", 6).desc(), "m_id"))).filter(F.col("r") <= 2 * k + MARGIN)
+        edges = [F.abs(F.col("s") - F.max(F.when(F.col("r") == at, F.col("s"))).over(every)) <= ERROR for at in (k, k + 1)]
+        tight = (F.coalesce(edges[0], F.lit(False)) | F.coalesce(edges[1], F.lit(False))) & (F.count("*").over(every) > k)
+        unsure = (F.lit(True) if rerank_all else tight | (F.abs(F.col("s") - least) <= ERROR)) & (F.col("a") != F.col("m"))
+        listed = stored(ranked.select("field", "a", "m", "m_id", "s", unsure.alias("unsure")), "lists")
+
+        # exact similarities where the order is unsure
+        doubt = stored(listed.filter("unsure").join(names.select(F.col("uid").alias("a"), F.col("id").alias("a_id")), "a").select("field", "a", "a_id", "m", "m_id"), "doubt")
+        given = stored(exact(doubt.select("field", F.explode(F.array("a_id", "m_id")).alias("id")).distinct()), "exact")
+        pair = doubt.join(given.select("field", F.col("id").alias("a_id"), F.col("vector").alias("va")), ["field", "a_id"])
+        pair = pair.join(given.select("field", F.col("id").alias("m_id"), F.col("vector").alias("vm")), ["field", "m_id"])
+        sure = pair.select("a", "m", vx.cosine(F.col("va"), F.col("vm")).alias("true_s"))
+        final = listed.join(sure, ["a", "m"], "left").select("field", "a", "m", "m_id", F.round(F.coalesce("true_s", "s"), 6).alias("s"))
+        final = final.withColumn("r", F.row_number().over(every.orderBy(F.col("s").desc(), "m_id")))
+        final = stored(final.filter((F.col("r") <= k + 1) & (F.col("s") >= least)).select("field", "a", "m", "s", "r"), "final")
+        dropped(listed, doubt, given)
+
+        # vectors without an equal have the first k; of a class each member has the first k of the list but itself
+        lone = final.join(copies.filter("uid = rep").select(F.col("rep").alias("a")), "a", "left_anti").filter(F.col("r") <= k)
+        lone = lone.select("field", "a", F.col("r").alias("rank"), "m", "s")
+        # a class of very many members is dealt to several tasks
+        deals = (F.col("n") / MEMBERS).cast("long") + 1
+        member = copies.select(F.col("rep").alias("a"), "uid", F.pmod(F.xxhash64("uid"), deals).alias("deal"))
+        lists = final.join(copies.filter("uid = rep").select(F.col("rep").alias("a"), deals.alias("deals")), "a")
+        lists = lists.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)))
+        mine = member.join(final.select("a", F.col("m").alias("uid"), F.col("r").alias("own")), ["a", "uid"], "left")
+        each = mine.join(lists, ["a", "deal"]).filter("uid <> m").withColumn("rank", F.col("r") - F.when(F.col("own") < F.col("r"), 1).otherwise(0))
+        return lone, each.filter(F.col("rank") <= k).select("field", F.col("uid").alias("a"), "rank", "m", "s")
+
+    def _named(self, rows: DataFrame, column: str, out: str) -> DataFrame:
+        return rows.join(self.names.select(F.col("uid").alias(column), F.col("id").alias(out)), column)
+
+    def rows(self) -> DataFrame:
+        """(field, id, rank, neighbour_id, similarity), rank from 1."""
+        out = self._named(self._named(self.by_uid.withColumn("m", F.col("m").bitwiseAND(-2)), "a", "id"), "m", "neighbour_id")
+        return out.select("field", "id", "rank", "neighbour_id", F.col("s").alias("similarity"))
+
+    def pairs(self) -> DataFrame:
+        """(field, id_a, id_b): pairs of which one is among the k nearest of the other."""
+        both = self.by_uid.select("field", F.least("a", "m").alias("p"), F.greatest("a", "m").alias("q")).distinct()
+        out = self._named(self._named(both, "p", "x"), "q", "y")
+        return out.select("field", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from palimpsest.llm import names, similar_vectors
 
 
-def search(spark, rows, call, size, **more):
+def search(spark, rows, size, **more):
     """Run a search over (field, id, vector) rows, given as a frame."""
     given = rows.select("field", "id", F.col("vector").cast("array<float>").alias("vector"))
     small = similar_vectors.quantised(given, size, ["field", "id"]).filter("vec IS NOT NULL")
-    return call(small, size, lambda ids: given.join(ids, ["field", "id"], "left_semi"), **more)
+    return similar_vectors.Neighbours(small, size, lambda ids: given.join(ids, ["field", "id"], "left_semi"), **more)
 
 
 def frame(spark, x):
@@ -30,7 +30,7 @@ def test_similar_vectors_recall_with_windows_of_three_percent(spark, monkeypatch
     pdf = pd.DataFrame({"field": np.zeros(n, np.int32), "id": [f"v{i:06d}" for i in range(n)], "vector": list(x)})
     rows = spark.createDataFrame(pdf).withColumn("field", F.col("field").cast("int"))
     asked = r.choice(n, 1000, replace=False)
-    found = search(spark, rows, similar_vectors.neighbours, size, least=0.8)
+    found = search(spark, rows, size, least=0.8).rows()
     got: dict[str, set[str]] = {}
     for row in found.select("id", "neighbour_id").toPandas().itertuples():
         got.setdefault(row.id, set()).add(row.neighbour_id)
@@ -46,12 +46,12 @@ def test_similar_vectors_recall_with_windows_of_three_percent(spark, monkeypatch
 
 def test_similar_vectors_odd_rows_and_ties(spark):
     x = [[1.0] * 32, [2.0] * 32, [0.0] * 32, None, [1.0] * 16, [float("nan")] * 32, [1.0] + [0.0] * 31]
-    pairs = {(p.id_a, p.id_b) for p in search(spark, frame(spark, x), similar_vectors.similar_pairs, 32).collect()}
+    pairs = {(p.id_a, p.id_b) for p in search(spark, frame(spark, x), 32, least=0.8).pairs().collect()}
     assert pairs == {("v00000", "v00001")}
-    assert search(spark, frame(spark, x[2:5]), similar_vectors.similar_pairs, 32).count() == 0
+    assert search(spark, frame(spark, x[2:5]), 32, least=0.8).pairs().count() == 0
     # of thirty equal vectors and one beside them the smallest ids are the nearest
     same = [[1.0, 2.0] * 16] * 30 + [[1.0, 2.0] * 15 + [1.0, 2.1]]
-    rows = search(spark, frame(spark, same), similar_vectors.neighbours, 32, k=3, least=0.8, rerank_all=True).collect()
+    rows = search(spark, frame(spark, same), 32, k=3, least=0.8, rerank_all=True).rows().collect()
     near = {}
     for row in sorted(rows, key=lambda q: (q.id, q.rank)):
         near.setdefault(row.id, []).append((row.rank, row.neighbour_id))
@@ -63,7 +63,7 @@ def test_similar_vectors_odd_rows_and_ties(spark):
 
 def test_very_many_equal_vectors_are_dealt_to_tasks(spark, monkeypatch):
     monkeypatch.setattr(similar_vectors, "MEMBERS", 50)
-    rows = search(spark, frame(spark, [[1.0, 2.0] * 16] * 400), similar_vectors.neighbours, 32, k=2, least=0.8)
+    rows = search(spark, frame(spark, [[1.0, 2.0] * 16] * 400), 32, k=2, least=0.8).rows()
     got = {(q.id, q.rank): q.neighbour_id for q in rows.collect()}
     assert len(got) == 800
     assert (got["v00000", 1], got["v00000", 2], got["v00001", 1], got["v00399", 2]) == ("v00001", "v00002", "v00000", "v00001")
