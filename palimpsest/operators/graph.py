@@ -7,7 +7,7 @@ empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators.traverse import both_ways
@@ -109,3 +109,17 @@ def betweenness(e: DataFrame, sources: DataFrame, depth: int = 5) -> DataFrame:
 def relation_ends(relationship: DataFrame) -> DataFrame:
     """(node) of every end of every relation, as stored."""
     return relationship.select(F.explode(F.array("from_id", "to_id")).alias("node")).filter("node IS NOT NULL").distinct()
+
+
+def examples(community: DataFrame, names: DataFrame, most: int = 5) -> DataFrame:
+    """(community, size, examples) of (node, community): the first ``most`` names (node, name) in order, joined by " | ".
+
+    Only the kept names are gathered, so a community may have any size; nodes
+    without a name are counted and give none.
+    """
+    named = community.join(names, "node", "left")
+    size = community.groupBy("community").agg(F.count("*").alias("size"))
+    order = Window.partitionBy("community").orderBy(F.col("name").asc_nulls_last(), "node")
+    first = named.withColumn("k", F.row_number().over(order)).filter((F.col("k") <= most) & F.col("name").isNotNull())
+    listed = first.groupBy("community").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "name"))), lambda x: x["name"]), " | ").alias("examples"))
+    return size.join(listed, "community", "left").select("community", "size", "examples")

@@ -6,15 +6,17 @@ are dropped, and of several for the same ends and type the surest stays.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
 
 COLUMNS = ["from_id", "to_id", "relation_type", "confidence"]
 #: What says that something is active, and that it no longer is.
-ACTIVE = r"(?i)\b(active|running|in progress|ongoing|enabled|available)\b"
-INACTIVE = r"(?i)\b(discontinued|paused|cancelled|stopped|disabled|closed|removed)\b"
+ACTIVE = r"(?i)(\bactive\b|\brunning\b|\bongoing\b|in\s+operation|continues|continued|not\s+discontinued)"
+INACTIVE = r"(?i)(discontinued|cancelled|stopped|shut\s+down|closed|shutdown|deprecated|archived|terminated|abandoned)"
 
 
 def surest(found: DataFrame) -> DataFrame:
@@ -56,7 +58,7 @@ def transitive(e: DataFrame, start: DataFrame) -> DataFrame:
 
 
 def expertise(relationship: DataFrame) -> DataFrame:
-    """Who works on something that uses a technology is expert in it: ``expert_in`` 0.7 times the weaker strength's share.
+    """Who works on something that uses a technology is expert in it: ``expert_in`` 0.7.
 
     Pairs of person and technology are made distinct before they leave the
     join's reducers, so a hub project yields each pair once.
@@ -66,13 +68,71 @@ def expertise(relationship: DataFrame) -> DataFrame:
     return surest(works.join(uses, "what").select(*_edge("who", "tech", "expert_in", 0.7)))
 
 
-def logical_edges(entity: DataFrame, start: DataFrame) -> DataFrame:
-    """Edges from the given entities (column id) to those of the same category (0.8), type (0.7) or parent (0.9)."""
-    e = entity.select("id", F.get_json_object("metadata", "$.category").alias("category"), F.lower("type").alias("kind"), F.get_json_object("metadata", "$.parent_id").alias("parent"))
-    s = F.broadcast(e.join(start.select("id"), "id", "left_semi").select(F.col("id").alias("s"), F.col("category").alias("c"), F.col("kind").alias("k"), F.col("parent").alias("p")))
-    same = [e.join(s, on).select(*_edge("s", "id", kind, sure)) for on, kind, sure in ((F.col("c") == F.col("category"), "same_category", 0.8), (F.col("k") == F.col("kind"), "same_type", 0.7), (F.col("p") == F.col("parent"), "hierarchical", 0.9))]
-    child = e.join(s, F.col("parent") == F.col("s")).select(*_edge("s", "id", "hierarchical", 0.9))
-    return surest(same[0].unionByName(same[1]).unionByName(same[2]).unionByName(child))
+def logical_links(entity: DataFrame, e: DataFrame, start: DataFrame) -> DataFrame:
+    """Logical edges from the given entities (column id) by their metadata: the surest per ends and type.
+
+    ``same_category`` 0.8, ``same_type`` 0.7, ``hierarchical`` 0.9 (parent or
+    child by ``parent_id``), ``contextual`` 0.75 (same ``domain``), and
+    ``transitive_logical``: entities of the category (0.6) or type (0.55) of
+    another entity that the given one has a relation (``e``) to. Attributes are
+    joined by equality, null ones match nothing; common attributes are split by
+    the adaptive join.
+    """
+    field = lambda name: F.get_json_object("metadata", f"$.{name}").alias(name)
+    x = entity.select(F.col("id").alias("to_id"), field("category"), F.lower("type").alias("kind"), field("parent_id"), field("domain"))
+    s = x.join(start.select(F.col("id").alias("to_id")), "to_id", "left_semi").withColumnRenamed("to_id", "from_id")
+    parts = []
+    for column, kind, sure in (("category", "same_category", 0.8), ("kind", "same_type", 0.7), ("domain", "contextual", 0.75)):
+        parts.append(s.select("from_id", column).join(x.select("to_id", column), column).select(*_edge("from_id", "to_id", kind, sure)))
+    parts.append(s.select("from_id", F.col("parent_id").alias("to_id")).join(x.select("to_id"), "to_id").select(*_edge("from_id", "to_id", "hierarchical", 0.9)))
+    parts.append(s.select("from_id").join(x.select("to_id", F.col("parent_id").alias("from_id")), "from_id").select(*_edge("from_id", "to_id", "hierarchical", 0.9)))
+    mid = e.join(start.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("from_id"), F.col("dst").alias("to_id"))
+    mid = mid.join(x.select("to_id", "category", "kind"), "to_id").withColumnRenamed("to_id", "mid")
+    for column, sure in (("category", 0.6), ("kind", 0.55)):
+        other = mid.select("from_id", "mid", column).join(x.select("to_id", column), column).filter("to_id <> mid")
+        parts.append(other.select(*_edge("from_id", "to_id", "transitive_logical", sure)))
+    return surest(functools.reduce(DataFrame.unionByName, parts))
+
+
+def materialise(relations: DataFrame, found: DataFrame, at: str) -> DataFrame:
+    """Relations (from_id, to_id, relation_type, valid_from, strength, metadata) with inferred ones added, marked ``logical_edge`` in their metadata."""
+    new = found.select(
+        "from_id", "to_id", "relation_type", F.lit(at).cast(dict(relations.dtypes)["valid_from"]).alias("valid_from"), F.col("confidence").alias("strength"),
+        F.to_json(F.struct(F.lit(True).alias("logical_edge"), "confidence")).alias("metadata"),
+    )
+    return relations.select(new.columns).unionByName(new)
+
+
+#: Types of relations that hold in both directions.
+SYMMETRIC = ["colleague_of", "related_to", "similar_to", "connected_to"]
+
+
+def inferred_suggestions(relationship: DataFrame, start: DataFrame, entity: DataFrame, limit: int = 10) -> DataFrame:
+    """(from_id, to_id, relation_type, confidence): suggestions for the given entities (column id), the ``limit`` best of each.
+
+    A relation of a relation suggests ``<first>_via_<second>`` with 0.7 times both
+    strengths, a symmetric relation itself with 0.8 times its strength; targets
+    must exist (``entity``). The best per target and type stays.
+    """
+    s = F.coalesce("strength", F.lit(0.0))
+    own = relationship.join(start.select(F.col("id").alias("from_id")), "from_id", "left_semi").filter("to_id IS NOT NULL")
+    a = own.select("from_id", F.col("to_id").alias("mid"), F.col("relation_type").alias("first"), s.alias("s1"))
+    b = relationship.select(F.col("from_id").alias("mid"), "to_id", F.col("relation_type").alias("second"), s.alias("s2"))
+    via = F.concat_ws("_via_", "first", "second")
+    two = a.join(b, "mid").select("from_id", "to_id", via.alias("relation_type"), (0.7 * F.col("s1") * F.col("s2")).alias("confidence"))
+    one = own.filter(F.col("relation_type").isin(SYMMETRIC)).select("from_id", "to_id", "relation_type", (0.8 * s).alias("confidence"))
+    found = surest(two.unionByName(one)).join(entity.select(F.col("id").alias("to_id")), "to_id", "left_semi")
+    found = found.withColumn("confidence", F.round("confidence", 6))
+    order = Window.partitionBy("from_id").orderBy(F.col("confidence").desc(), "to_id", "relation_type")
+    return found.withColumn("no", F.row_number().over(order)).filter(F.col("no") <= limit).select(*COLUMNS)
+
+
+def in_words(found: DataFrame, names: DataFrame) -> DataFrame:
+    """The relations with ``says``: both ends by name (id, where there is none) and how sure they are."""
+    out = found.join(names.select(F.col("id").alias("from_id"), F.col("name").alias("_a")), "from_id", "left").join(names.select(F.col("id").alias("to_id"), F.col("name").alias("_b")), "to_id", "left")
+    hint = F.when(F.col("confidence") >= 0.8, " (likely)").when(F.col("confidence") >= 0.6, " (possible)").otherwise(" (uncertain)")
+    says = F.concat(F.coalesce("_a", "from_id"), F.lit(" --["), "relation_type", F.lit("]--> "), F.coalesce("_b", "to_id"), hint)
+    return out.select(*COLUMNS, says.alias("says"))
 
 
 def common_neighbours(two: DataFrame, start: DataFrame) -> DataFrame:

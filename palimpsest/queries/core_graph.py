@@ -119,13 +119,6 @@ def custom_rule(spark, sf):
     return inference.custom_rule(spark, {"r": _r(spark, sf)}, rule, first="manages", second="works_at").distinct()
 
 
-def logical_edges(spark, sf):
-    """Logical edges of the first entity that has a category, by type."""
-    e = now(spark, sf, "entity", ["type", "metadata"])
-    first = e.filter(F.get_json_object("metadata", "$.category").isNotNull()).orderBy("id").limit(1).select("id")
-    return inference.logical_edges(e, first)
-
-
 def common_neighbors(spark, sf):
     """Nodes that share neighbours with the user's profile."""
     return inference.common_neighbours(traverse.both_ways(_e(spark, sf)), _start(spark))
@@ -193,7 +186,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         degree, hits_one_step, hits_iterated, pagerank, label_propagation, components, island_sizes, bridge_entities, bfs_hops, explore_names, shortest_path, cycle_paths, betweenness, co_occurrence,
-        transitive_relations, expertise_rule, custom_rule, logical_edges, common_neighbors, graph_proximity, suggestions_merge, status_conflicts, orphan_entities,
+        transitive_relations, expertise_rule, custom_rule, common_neighbors, graph_proximity, suggestions_merge, status_conflicts, orphan_entities,
     )
 }
 SQL = {
@@ -215,14 +208,15 @@ SQL = {
     "transitive_relations": _G + f" SELECT DISTINCT a.src AS from_id, b.dst AS to_id, 'potentially_related' AS relation_type, 0.5::DOUBLE AS confidence FROM g a JOIN g b ON a.dst = b.src WHERE a.src = '{START}' AND b.dst <> a.src AND b.dst NOT IN (SELECT dst FROM g WHERE src = '{START}')",
     "expertise_rule": f"WITH {R} SELECT DISTINCT a.from_id, b.to_id, 'expert_in' AS relation_type, 0.7::DOUBLE AS confidence FROM r a JOIN r b ON a.to_id = b.from_id WHERE a.relation_type = 'works_on' AND b.relation_type = 'uses_tech' AND a.from_id <> b.to_id",
     "custom_rule": f"WITH {R} SELECT DISTINCT a.from_id, b.to_id, 'oversees' AS relation_type, 0.6::DOUBLE AS confidence, 'manages a member' AS reason FROM r a JOIN r b ON a.to_id = b.from_id WHERE a.relation_type = 'manages' AND b.relation_type = 'works_at' AND a.from_id <> b.to_id",
-    "logical_edges": f"WITH {E}, x AS (SELECT id, json_extract_string(metadata, '$.category') AS c, lower(type) AS k FROM e), s AS (SELECT * FROM x WHERE c IS NOT NULL ORDER BY id LIMIT 1) "
-    "SELECT s.id AS from_id, x.id AS to_id, 'same_category' AS relation_type, 0.8::DOUBLE AS confidence FROM x JOIN s ON x.c = s.c WHERE x.id <> s.id UNION ALL SELECT s.id, x.id, 'same_type', 0.7 FROM x JOIN s ON x.k = s.k WHERE x.id <> s.id",
     "common_neighbors": _H + _NEAR + " SELECT * FROM cs",
     "graph_proximity": _hops("h", 3) + _PROX + " SELECT * FROM px",
     "suggestions_merge": _hops("h", 3) + _PROX + _NEAR + ", a AS (SELECT node, round(greatest(coalesce(cs.confidence, px.confidence), CASE WHEN cs.node IS NOT NULL THEN coalesce(px.confidence * 0.6, 0) ELSE 0 END), 6)::DOUBLE AS confidence FROM cs FULL JOIN px USING (node)) "
     "SELECT node, confidence, CASE WHEN confidence >= 0.75 THEN 'HIGH' ELSE 'MEDIUM' END AS level FROM a WHERE confidence >= 0.5 ORDER BY confidence DESC, node LIMIT 10",
-    "status_conflicts": f"WITH {O}, x AS (SELECT entity_id, year(valid_from) AS year, max((valid_from, id)) FILTER (WHERE regexp_matches(text, '(?i)\\b(active|running|in progress|ongoing|enabled|available)\\b')) AS a, "
-    "max((valid_from, id)) FILTER (WHERE regexp_matches(text, '(?i)\\b(discontinued|paused|cancelled|stopped|disabled|closed|removed)\\b')) AS b FROM o WHERE entity_id <> '' AND text IS NOT NULL GROUP BY ALL) "
-    "SELECT entity_id, year, a[2] AS active_id, b[2] AS inactive_id FROM x WHERE a IS NOT NULL AND b IS NOT NULL",
+    "status_conflicts": f"""
+WITH {O}, x AS (SELECT entity_id, year(valid_from) AS year,
+  max((valid_from, id)) FILTER (WHERE regexp_matches(text, '{inference.ACTIVE}')) AS a,
+  max((valid_from, id)) FILTER (WHERE regexp_matches(text, '{inference.INACTIVE}')) AS b
+FROM o WHERE entity_id <> '' AND text IS NOT NULL GROUP BY ALL)
+SELECT entity_id, year, a[2] AS active_id, b[2] AS inactive_id FROM x WHERE a IS NOT NULL AND b IS NOT NULL""",
     "orphan_entities": f"WITH {E}, {O}, {R} SELECT type, count(*) AS n_entities FROM e WHERE NOT EXISTS (SELECT 1 FROM o WHERE entity_id = e.id) AND NOT EXISTS (SELECT 1 FROM r WHERE from_id = e.id OR to_id = e.id) GROUP BY 1",
 }
