@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words that show what a query wants.
 INTENTS = {
-    "finder": ["find", "search", "which", "where", "list", "show", "who", "locate"],
-    "evaluator": ["compare", "better", "evaluate", "versus", "best", "difference", "rate", "rank"],
-    "explainer": ["explain", "why", "how", "what is", "describe", "understand", "reason"],
-    "generator": ["create", "generate", "write", "draft", "summarize", "suggest", "plan", "compose"],
+    "finder": ["what", "when", "where", "who", "how many", "specific", "find", "search", "look for", "get", "retrieve", "latest", "recent", "current", "today", "news"],
+    "evaluator": ["compare", "difference", "versus", "vs", "better", "evaluate", "assess", "analyze", "review", "rate", "pros", "cons", "advantages", "disadvantages"],
+    "explainer": ["why", "how", "explain", "understand", "about", "describe", "tell me", "what is", "concept", "meaning", "definition", "work", "process"],
+    "generator": ["create", "generate", "write", "make", "build", "suggest", "recommend", "example", "template", "code", "script", "plan", "strategy"],
 }
-#: Weights of the paths vector, sparse, fts, graph by intent.
-PATH_WEIGHTS = {"finder": [0.3, 0.3, 0.3, 0.1], "evaluator": [0.4, 0.1, 0.2, 0.3], "explainer": [0.4, 0.1, 0.2, 0.3], "generator": [0.5, 0.1, 0.2, 0.2]}
+PATHS = ["vector", "sparse", "fts", "graph"]
+#: Weights of the paths by intent and complexity.
+WEIGHTS = {
+    intent: {level: dict(zip(PATHS, row, strict=True)) for level, row in zip(("simple", "moderate", "complex", "exploratory"), rows, strict=True)}
+    for intent, rows in {
+        "finder": [(0.4, 0.5, 0.1, 0.0), (0.45, 0.35, 0.15, 0.05), (0.5, 0.25, 0.15, 0.1), (0.4, 0.2, 0.2, 0.2)],
+        "evaluator": [(0.5, 0.3, 0.1, 0.1), (0.5, 0.2, 0.1, 0.2), (0.45, 0.15, 0.1, 0.3), (0.4, 0.1, 0.1, 0.4)],
+        "explainer": [(0.6, 0.2, 0.1, 0.1), (0.55, 0.15, 0.1, 0.2), (0.5, 0.1, 0.1, 0.3), (0.45, 0.1, 0.1, 0.35)],
+        "generator": [(0.5, 0.3, 0.1, 0.1), (0.45, 0.25, 0.15, 0.15), (0.4, 0.2, 0.2, 0.2), (0.35, 0.15, 0.2, 0.3)],
+    }.items()
+}
+
+
+def path_weights(spark: SparkSession, query: str) -> dict[str, float]:
+    """The weights of the paths for a query's intent and complexity."""
+    c = spark.range(1).select(classify(F.lit(query)).alias("c")).first()["c"]
+    return WEIGHTS[c["intent"]][c["complexity"]]
 
 
 def classify(text: Column) -> Column:
