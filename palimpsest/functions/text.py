@@ -19,6 +19,11 @@ def stem(word: Column) -> Column:
     return F.regexp_replace(word, r"^([\p{L}]{4,}?)(?:ings|ing|ed|es|s)$", "$1")
 
 
+def spaced(words_: Column) -> Column:
+    """Words joined by blanks, with one around them: for searching word sequences."""
+    return F.concat(F.lit(" "), F.array_join(words_, " "), F.lit(" "))
+
+
 def plain(text: Column) -> Column:
     """The words of a text, one blank around each: for searching word sequences."""
     return F.concat(F.lit(" "), F.array_join(words(text), " "), F.lit(" "))

@@ -29,24 +29,26 @@ def _edge(a: str, b: str, kind: str, confidence: Column | float) -> list[Column]
     return [F.col(a).alias("from_id"), F.col(b).alias("to_id"), F.lit(kind).alias("relation_type"), c.alias("confidence")]
 
 
-def co_occurrence(entity: DataFrame, observation: DataFrame, most_words: int = 4) -> DataFrame:
+def co_occurrence(entity: DataFrame, observation: DataFrame) -> DataFrame:
     """Entities whose name stands, as a sequence of words, in a note of another entity: ``related_to`` 0.7.
 
-    Word sequences of each note are joined with names by equality, so no pair
-    of a note and a name is looked at that does not match. Names of more than
-    ``most_words`` words and of one word shorter than five letters are left out.
+    A name and a note meet on the name's rarest word (by the number of notes that
+    hold it; hot words are split by the adaptive join), and the whole sequence is
+    checked there. Only words that are the rarest of some name leave the notes.
+    Names of any length take part; blank ones match nothing.
     """
-    named = entity.select(F.col("id").alias("to_id"), tx.words(F.col("name")).alias("w")).filter((F.size("w") <= most_words) & (F.length(F.array_join("w", " ")) >= 5))
-    named = named.select("to_id", F.array_join("w", " ").alias("phrase"))
-    w = tx.words(F.col("text"))
-    notes = observation.filter("entity_id IS NOT NULL AND text IS NOT NULL").select(F.col("entity_id").alias("from_id"), w.alias("w"))
-
-    def sequences(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
-
-    grams = F.flatten(F.array(*[sequences(n) for n in range(1, most_words + 1)]))
-    phrases = notes.select("from_id", F.explode(F.array_distinct(grams)).alias("phrase")).distinct()
-    return surest(phrases.join(named, "phrase").select(*_edge("from_id", "to_id", "related_to", 0.7)))
+    named = entity.select(F.col("id").alias("to_id"), tx.words(F.col("name")).alias("w")).filter(F.size("w") > 0)
+    notes = observation.filter("entity_id IS NOT NULL AND text IS NOT NULL").select("id", F.col("entity_id").alias("from_id"), tx.words(F.col("text")).alias("w"))
+    held = notes.select("id", F.explode(F.array_distinct("w")).alias("word"))
+    count = held.groupBy("word").agg(F.count("*").alias("n"))
+    # the rarest word of each name; a word that no note holds rules its name out
+    parts = named.select("to_id", F.size(F.array_distinct("w")).alias("k"), F.explode(F.array_distinct("w")).alias("word")).join(count, "word")
+    rare = parts.groupBy("to_id").agg(F.min(F.struct("n", "word")).alias("r"), F.count("*").alias("there"), F.first("k").alias("k")).filter("there = k")
+    keyed = named.join(rare.select("to_id", F.col("r.word").alias("word")), "to_id").select("to_id", "word", tx.spaced(F.col("w")).alias("phrase"))
+    some = held.join(keyed.select("word").distinct(), "word", "left_semi")
+    met = some.join(keyed, "word").join(notes.select("id", "from_id", tx.spaced(F.col("w")).alias("line")), "id")
+    found = met.filter(F.col("line").contains(F.col("phrase"))).select("from_id", "to_id").distinct()
+    return surest(found.select(*_edge("from_id", "to_id", "related_to", 0.7)))
 
 
 def transitive(e: DataFrame, start: DataFrame) -> DataFrame:

@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
 
-#: Words that make a note salient, by weight.
+#: Words that make a note salient, and their weight, by category.
 SALIENT = {
-    "critical": 1.0, "never forget": 1.0, "urgent": 0.95, "emergency": 0.95, "important": 0.8, "remember": 0.7, "must": 0.6, "deadline": 0.7, "breakthrough": 0.8, "surprising": 0.7,
-    "unexpected": 0.6, "interesting": 0.5, "decided": 0.5, "prefers": 0.5, "likes": 0.4, "note": 0.4, "please": 0.3,
+    "critical": (1.0, ["critical", "crucial", "vital", "essential", "must", "never forget", "always remember", "extremely important", "life-changing", "breakthrough", "emergency", "urgent", "immediate", "asap", "priority one"]),
+    "important": (0.8, ["important", "significant", "key", "major", "primary", "fundamental", "noteworthy", "remarkable", "substantial", "considerable", "priority", "high priority", "top priority", "remember this", "don't forget"]),
+    "emotional": (0.7, ["surprising", "unexpected", "shocking", "amazing", "incredible", "exciting", "thrilling", "alarming", "concerning", "worrying", "breakthrough", "discovery", "revelation", "game-changer"]),
+    "temporal": (0.6, ["deadline", "due", "expires", "time-sensitive", "limited time", "soon", "quickly", "immediately", "now", "today", "this week", "before", "until", "by"]),
+    "negative": (0.5, ["problem", "issue", "bug", "error", "failure", "risk", "danger", "warning", "alert", "caution", "concern", "threat", "vulnerability", "critical bug", "security issue", "data loss"]),
+    "positive": (0.5, ["success", "achievement", "milestone", "completed", "solved", "accomplished", "victory", "win", "breakthrough", "innovation", "excellent", "outstanding", "exceptional"]),
+    "moderate": (0.4, ["notable", "relevant", "useful", "helpful", "valuable", "worth noting", "interesting", "attention", "note", "reminder", "tip", "advice"]),
 }
 
 
+def salient_words() -> list[tuple[str, float]]:
+    """(words, weight) of every category; signs inside count as blanks."""
+    return [(re.sub(r"[^a-z]+", " ", w), weight) for weight, words in SALIENT.values() for w in words]
+
+
 def age_days(at: Column, now: str) -> Column:
     return (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(at.cast("timestamp"))) / F.lit(86_400e6)
 
@@ -42,7 +54,7 @@ def histogram(df: DataFrame, column: str, edges: list[float]) -> DataFrame:
 def salience(observation: DataFrame) -> DataFrame:
     """(id, salience, band): whole-word matches of salient words; min(1, largest + 0.2 (sum - largest)); high from 0.7, medium 0.4, low 0.3."""
     plain = tx.plain(F.col("text"))
-    values = F.array(*[F.when(plain.contains(f" {w} "), F.lit(float(v))).otherwise(0.0) for w, v in SALIENT.items()])
+    values = F.array(*[F.when(plain.contains(f" {w} "), F.lit(float(v))).otherwise(0.0) for w, v in salient_words()])
     o = observation.filter("text IS NOT NULL").select("id", values.alias("v"))
     top, total = F.array_max("v"), F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
     o = o.select("id", F.round(F.least(F.lit(1.0), top + (total - top) * 0.2), 6).alias("salience"))
@@ -82,12 +94,18 @@ def compaction(observation: DataFrame, threshold: int = 20) -> DataFrame:
     return o.join(many, "entity_id", "left_semi").join(stay, "id", "left_anti").select("id", "entity_id")
 
 
-def cleanup(observation: DataFrame, degree: DataFrame, now: str, days: int = 30, most_degree: int = 2) -> DataFrame:
-    """(entity_id, n_notes, level): notes older than ``days`` of entities with a degree below ``most_degree``, to be summarised one level up."""
+def cleanup_notes(observation: DataFrame, degree: DataFrame, now: str, days: int = 30, most_degree: int = 2) -> DataFrame:
+    """The notes older than ``days`` of entities with a degree below ``most_degree``."""
     d = degree.select(F.col("node").alias("entity_id"), "degree")
-    o = observation.filter(age_days(F.col("valid_from"), now) > days).join(d, "entity_id", "left").filter(F.coalesce("degree", F.lit(0)) < most_degree)
+    old = observation.filter("entity_id IS NOT NULL").filter(age_days(F.col("valid_from"), now) > days)
+    return old.join(d, "entity_id", "left").filter(F.coalesce("degree", F.lit(0)) < most_degree)
+
+
+def cleanup(observation: DataFrame, degree: DataFrame, now: str, days: int = 30, most_degree: int = 2) -> DataFrame:
+    """(entity_id, n_notes, level): such notes by entity, to be summarised one level up."""
     level = F.coalesce(F.get_json_object("metadata", "$.memory_level").cast("int"), F.lit(0))
-    return o.filter("entity_id IS NOT NULL").groupBy("entity_id").agg(F.count("*").alias("n_notes"), (F.max(level) + 1).alias("level"))
+    o = cleanup_notes(observation, degree, now, days, most_degree)
+    return o.groupBy("entity_id").agg(F.count("*").alias("n_notes"), (F.max(level) + 1).alias("level"))
 
 
 def inactive_sessions(session: DataFrame, now: str, minutes: int = 30) -> DataFrame:
@@ -115,3 +133,25 @@ def percentiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
     total = sums.agg(F.sum("s").alias("total"))
     wanted = df.sparkSession.createDataFrame([(float(s),) for s in shares], "share double").join(F.broadcast(total)).withColumn("at", F.floor(F.col("total") * F.col("share")))
     return run.join(F.broadcast(wanted), (F.col("upto") > F.col("at")) & (F.col("upto") - F.col("n") <= F.col("at"))).select("share", F.col("v").alias("value"))
+
+
+def promotion(observation: DataFrame, importance: DataFrame, now: str, least_notes: int = 10, cut: float = 0.5) -> DataFrame:
+    """(id, entity_id, memory_level, action) of notes that are due for compression.
+
+    A note of level 0, 1 or 2 is due when it is older than its level is kept (1,
+    7 or 30 days) and its entity has ``least_notes`` due notes of that level. It
+    is promoted to the next level if its importance is ``cut`` or more, deleted
+    otherwise; the summary's text is not written here.
+    """
+    level = F.coalesce(F.get_json_object("metadata", "$.memory_level").cast("int"), F.lit(0))
+    keep = F.when(F.col("memory_level") == 0, 1.0).when(F.col("memory_level") == 1, 7.0).when(F.col("memory_level") == 2, 30.0)
+    o = observation.filter("entity_id IS NOT NULL").withColumn("memory_level", level).filter(age_days(F.col("valid_from"), now) > keep)
+    many = o.groupBy("entity_id", "memory_level").count().filter(F.col("count") >= least_notes).select("entity_id", "memory_level")
+    due = o.join(many, ["entity_id", "memory_level"], "left_semi").join(importance.select("id", "importance"), "id", "left")
+    return due.select("id", "entity_id", "memory_level", F.when(F.coalesce("importance", F.lit(0.0)) >= cut, "promote").otherwise("delete").alias("action"))
+
+
+def reflect(observation: DataFrame, limit: int = 5, least: int = 2) -> DataFrame:
+    """(entity_id, n_notes): the ``limit`` entities with the most notes, ``least`` or more, of which a summary would be written."""
+    n = observation.filter("entity_id IS NOT NULL").groupBy("entity_id").agg(F.count("*").alias("n_notes")).filter(F.col("n_notes") >= least)
+    return n.orderBy(F.col("n_notes").desc(), "entity_id").limit(limit)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions import text as tx
 from palimpsest.functions import vectors as vx
+from palimpsest.operators.nearest import nearest
 from palimpsest.session import stored
 
 
@@ -100,12 +102,14 @@ def history_embedding(observation: DataFrame, now: str, size: int, fade_days: fl
     return v.select("entity_id", "n_notes", F.when(vx.norm(F.col("e")) > 0, F.transform("e", lambda x: x / vx.norm(F.col("e")))).alias("embedding"))
 
 
-def related_notes(observation: DataFrame, notes: DataFrame, least: float = 0.7, limit: int = 5) -> DataFrame:
-    """(note_id, id, score): of a few given notes (id, embedding; collected, so keep them few) the most similar others."""
-    parts = None
-    for row in notes.select("id", "embedding").orderBy("id").collect():
-        score = F.round(vx.cosine_to(F.col("embedding"), list(row["embedding"])), 6)
-        one = observation.filter(F.col("id") != row["id"]).select(F.lit(row["id"]).alias("note_id"), "id", score.alias("score")).filter(F.col("score") >= least)
-        one = one.orderBy(F.col("score").desc(), "id").limit(limit)
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
+def related_notes(observation: DataFrame, notes: DataFrame, size: int, least: float = 0.7, limit: int = 5) -> DataFrame:
+    """(note_id, id, score, kind): up to ``limit`` notes related to each given one: its nearest, with similarity ``least`` or more.
+
+    ``kind`` is keyword where both texts share two words of four letters, else semantic.
+    """
+    near = nearest(notes, observation, limit, size).filter(F.col("score") >= least)
+    words = lambda c: F.array_distinct(F.filter(tx.words(F.coalesce(c, F.lit(""))), lambda w: F.length(w) >= 4))
+    a = notes.select(F.col("id").alias("query"), words(F.col("text")).alias("_a"))
+    b = observation.select("id", words(F.col("text")).alias("_b"))
+    kind = F.when(F.size(F.array_intersect("_a", "_b")) >= 2, "keyword").otherwise("semantic")
+    return near.join(a, "query").join(b, "id").select(F.col("query").alias("note_id"), "id", "score", kind.alias("kind"))

@@ -119,6 +119,13 @@ def custom_rule(spark, sf):
     return inference.custom_rule(spark, {"r": _r(spark, sf)}, rule, first="manages", second="works_at").distinct()
 
 
+def logical_edges(spark, sf):
+    """Logical edges by category, type and parent of the first entity that has a category."""
+    e = now(spark, sf, "entity", ["type", "metadata"])
+    first = e.filter(F.get_json_object("metadata", "$.category").isNotNull()).orderBy("id").limit(1).select("id")
+    return inference.logical_links(e, _e(spark, sf), first).filter("relation_type IN ('same_category', 'same_type', 'hierarchical')")
+
+
 def common_neighbors(spark, sf):
     """Nodes that share neighbours with the user's profile."""
     return inference.common_neighbours(traverse.both_ways(_e(spark, sf)), _start(spark))
@@ -186,7 +193,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         degree, hits_one_step, hits_iterated, pagerank, label_propagation, components, island_sizes, bridge_entities, bfs_hops, explore_names, shortest_path, cycle_paths, betweenness, co_occurrence,
-        transitive_relations, expertise_rule, custom_rule, common_neighbors, graph_proximity, suggestions_merge, status_conflicts, orphan_entities,
+        transitive_relations, expertise_rule, custom_rule, logical_edges, common_neighbors, graph_proximity, suggestions_merge, status_conflicts, orphan_entities,
     )
 }
 SQL = {
@@ -204,10 +211,24 @@ SQL = {
     "cycle_paths": _G + f" SELECT * FROM (SELECT 2 AS length, count(*) AS n_cycles FROM g a JOIN g b ON a.dst = b.src AND b.dst = '{START}' WHERE a.src = '{START}' UNION ALL SELECT 3, count(*) FROM g a JOIN g b ON a.dst = b.src JOIN g c ON b.dst = c.src AND c.dst = '{START}' WHERE a.src = '{START}' AND b.dst <> '{START}') WHERE n_cycles > 0",
     "co_occurrence": f"WITH {E}, {O}, x AS (SELECT id, array_to_string(regexp_extract_all(lower(name), '[\\p{{L}}\\p{{N}}]+'), ' ') AS p, len(regexp_extract_all(lower(name), '[\\p{{L}}\\p{{N}}]+')) AS k FROM e WHERE name IS NOT NULL), "
     "y AS (SELECT entity_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ') || ' ' AS t FROM o WHERE entity_id IS NOT NULL AND text IS NOT NULL) "
-    "SELECT DISTINCT entity_id AS from_id, id AS to_id, 'related_to' AS relation_type, 0.7::DOUBLE AS confidence FROM y JOIN x ON contains(t, ' ' || p || ' ') WHERE k <= 4 AND length(p) >= 5 AND entity_id <> id",
+    "SELECT DISTINCT entity_id AS from_id, id AS to_id, 'related_to' AS relation_type, 0.7::DOUBLE AS confidence FROM y JOIN x ON contains(t, ' ' || p || ' ') WHERE k > 0 AND entity_id <> id",
     "transitive_relations": _G + f" SELECT DISTINCT a.src AS from_id, b.dst AS to_id, 'potentially_related' AS relation_type, 0.5::DOUBLE AS confidence FROM g a JOIN g b ON a.dst = b.src WHERE a.src = '{START}' AND b.dst <> a.src AND b.dst NOT IN (SELECT dst FROM g WHERE src = '{START}')",
     "expertise_rule": f"WITH {R} SELECT DISTINCT a.from_id, b.to_id, 'expert_in' AS relation_type, 0.7::DOUBLE AS confidence FROM r a JOIN r b ON a.to_id = b.from_id WHERE a.relation_type = 'works_on' AND b.relation_type = 'uses_tech' AND a.from_id <> b.to_id",
     "custom_rule": f"WITH {R} SELECT DISTINCT a.from_id, b.to_id, 'oversees' AS relation_type, 0.6::DOUBLE AS confidence, 'manages a member' AS reason FROM r a JOIN r b ON a.to_id = b.from_id WHERE a.relation_type = 'manages' AND b.relation_type = 'works_at' AND a.from_id <> b.to_id",
+    "logical_edges": f"""
+WITH {E}, x AS (SELECT id, json_extract_string(metadata, '$.category') AS c, lower(type) AS k FROM e), s AS (SELECT * FROM x WHERE c IS NOT NULL ORDER BY id LIMIT 1)
+SELECT s.id AS from_id, x.id AS to_id, 'same_category' AS relation_type, 0.8::DOUBLE AS confidence FROM x JOIN s ON x.c = s.c WHERE x.id <> s.id
+UNION ALL SELECT s.id, x.id, 'same_type', 0.7 FROM x JOIN s ON x.k = s.k WHERE x.id <> s.id""",
+    "betweenness": _H + f""",
+src AS (SELECT '{START}' AS s UNION SELECT dst FROM g WHERE src = '{START}'),
+b0 AS (SELECT s, s AS node, 1.0::DOUBLE AS sigma FROM src),
+b1 AS (SELECT s, dst AS node, sum(sigma) AS sigma FROM b0 JOIN g ON node = src GROUP BY ALL),
+b2 AS (SELECT a.s, dst AS node, sum(sigma) AS sigma FROM b1 a JOIN g ON node = src WHERE (a.s, dst) NOT IN (SELECT (s, node) FROM b0 UNION ALL SELECT (s, node) FROM b1) GROUP BY ALL),
+b3 AS (SELECT a.s, dst AS node, sum(sigma) AS sigma FROM b2 a JOIN g ON node = src
+  WHERE (a.s, dst) NOT IN (SELECT (s, node) FROM b0 UNION ALL SELECT (s, node) FROM b1 UNION ALL SELECT (s, node) FROM b2) GROUP BY ALL),
+t2 AS (SELECT a.s, a.node, a.sigma, coalesce(sum(a.sigma / w.sigma) FILTER (WHERE w.sigma IS NOT NULL), 0) AS delta FROM b2 a LEFT JOIN g ON a.node = src LEFT JOIN b3 w ON w.s = a.s AND w.node = dst GROUP BY ALL),
+t1 AS (SELECT a.s, a.node, a.sigma, coalesce(sum(a.sigma / w.sigma * (1 + w.delta)) FILTER (WHERE w.sigma IS NOT NULL), 0) AS delta FROM b1 a LEFT JOIN g ON a.node = src LEFT JOIN t2 w ON w.s = a.s AND w.node = dst GROUP BY ALL)
+SELECT node, round(sum(delta), 6) AS betweenness FROM (FROM t2 UNION ALL FROM t1) GROUP BY 1""",
     "common_neighbors": _H + _NEAR + " SELECT * FROM cs",
     "graph_proximity": _hops("h", 3) + _PROX + " SELECT * FROM px",
     "suggestions_merge": _hops("h", 3) + _PROX + _NEAR + ", a AS (SELECT node, round(greatest(coalesce(cs.confidence, px.confidence), CASE WHEN cs.node IS NOT NULL THEN coalesce(px.confidence * 0.6, 0) ELSE 0 END), 6)::DOUBLE AS confidence FROM cs FULL JOIN px USING (node)) "

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators import graph, search, spreading, traverse
+from palimpsest.operators import graph, nearest, search, spreading, traverse
 from palimpsest.queries.base import COSINE, E, NOW, O, R, USABLE, VECTOR, now, query_vector
 
 
@@ -45,10 +45,9 @@ def history_embedding(spark, sf):
 
 
 def related_notes(spark, sf):
-    """The five notes most similar to each of the three newest notes that have a vector."""
-    o = now(spark, sf, "observation", ["embedding"]).filter((F.size("embedding") == 96) & F.exists("embedding", lambda x: x != 0))
-    newest = o.orderBy(F.col("valid_from").desc(), "id").limit(3)
-    return spreading.related_notes(o, newest, -1.0)
+    """Up to five notes related to each note of the stated set: similarity 0.7 or more among its ten nearest, by shared words or meaning."""
+    o = now(spark, sf, "observation", ["embedding", "text"])
+    return spreading.related_notes(o, o.filter(nearest.one_in("id")), 96)
 
 
 QUERIES = {f.__name__: f for f in (spreading_activation, triple_hybrid, multi_hop, history_embedding, related_notes)}
@@ -62,6 +61,43 @@ SQL = {
     "history_embedding": f"WITH {E}, {O}, {VECTOR}, x AS (SELECT entity_id, exp(-greatest((epoch_us(TIMESTAMP '{NOW}') - epoch_us(valid_from)) / 86400e6, 0) / 30) AS w, embedding, generate_subscripts(embedding, 1) AS i FROM o WHERE len(embedding) = 96 AND entity_id IS NOT NULL), "
     "y AS (SELECT entity_id, i, sum(w * embedding[i]::DOUBLE) AS v, count(*) AS n FROM x GROUP BY ALL), z AS (SELECT entity_id, max(n) AS n_notes, list(v ORDER BY i) AS v FROM y GROUP BY 1) "
     "SELECT entity_id, n_notes, round(list_cosine_similarity(v, (SELECT v FROM q)), 6) AS score FROM z WHERE list_max(v) <> 0 OR list_min(v) <> 0",
-    "related_notes": f"WITH {O}, u AS (SELECT id, valid_from, embedding::DOUBLE[] AS v FROM o WHERE len(embedding) = 96 AND list_max(list_transform(embedding, lambda z: abs(z))) > 0), t AS (SELECT * FROM u ORDER BY valid_from DESC, id LIMIT 3) "
-    "SELECT t.id AS note_id, u.id, round(list_cosine_similarity(t.v, u.v), 6) AS score FROM t JOIN u ON t.id <> u.id QUALIFY row_number() OVER (PARTITION BY t.id ORDER BY round(list_cosine_similarity(t.v, u.v), 6) DESC, u.id) <= 5",
+    "related_notes": f"""
+WITH {O}, u AS (SELECT id, text, embedding::DOUBLE[] AS v FROM o WHERE len(embedding) = 96 AND list_max(list_transform(embedding, lambda z: abs(z))) > 0),
+t AS (SELECT a.id AS note_id, b.id, round(list_cosine_similarity(a.v, b.v), 6) AS score, a.text AS ta, b.text AS tb FROM u a JOIN u b ON a.id <> b.id WHERE ('0x' || substr(md5(a.id), 1, 8))::UBIGINT % 100 = 0),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY score DESC, id) AS rank FROM t) WHERE rank <= 5 AND score >= 0.7)
+SELECT note_id, id, score, CASE WHEN len(list_intersect(list_distinct(list_filter(regexp_extract_all(lower(coalesce(ta, '')), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 4)),
+  list_distinct(list_filter(regexp_extract_all(lower(coalesce(tb, '')), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 4)))) >= 2 THEN 'keyword' ELSE 'semantic' END AS kind FROM n""",
 }
+
+
+def _spread_sql() -> str:
+    """Three steps of spreading activation as common table expressions, up to w3 (node, a, hops)."""
+    out = (
+        f"WITH {E}, {R}, {VECTOR}, {_SIM}, f AS (SELECT from_id AS src, to_id AS dst, max(coalesce(strength, 0) * exp(-0.01::DOUBLE * greatest((epoch_us(TIMESTAMP '{NOW}') - epoch_us(valid_from)) / 86400e6, 0))) AS weight "
+        "FROM r WHERE from_id <> to_id GROUP BY ALL), k AS (SELECT src, dst, weight / count(*) OVER (PARTITION BY src) AS share FROM f), "
+        "w0 AS (SELECT node, sim AS a, 0 AS hops FROM m ORDER BY sim DESC, node LIMIT 5)"
+    )
+    for i in range(3):
+        out += (
+            f", r{i} AS (SELECT node, sum(a) AS a, min(hops) AS hops FROM (SELECT node, a * 0.5::DOUBLE AS a, hops FROM w{i} UNION ALL SELECT dst, 0.8::DOUBLE * share * a, {i + 1} FROM w{i} JOIN k ON node = src) GROUP BY 1), "
+            f"q{i} AS (SELECT list(a) AS t FROM (SELECT a FROM r{i} ORDER BY a DESC, node LIMIT 7)), "
+            f"w{i + 1} AS (SELECT * FROM (SELECT node, 1 / (1 + exp(-5 * (greatest(a - 0.15::DOUBLE * list_sum(list_transform((SELECT t FROM q{i}), lambda x: greatest(x - a, 0))), 0) - 0.5))) AS a, hops FROM r{i}) WHERE a >= 0.01)"
+        )
+    return out
+
+
+def _triple_sql() -> str:
+    from palimpsest.queries import core_graph
+
+    rank = core_graph._rank_sql()
+    head = rank[: rank.rindex(" SELECT node, round(p, 8)")].split("AS (", 1)
+    tail = head[1].split("), g AS (", 1)[1]  # after the view of relations
+    return (
+        _spread_sql().replace("VECTOR", "VECTOR") + ", g AS (" + tail + f""", z AS (
+  SELECT node, 0.5 * sim AS part FROM m UNION ALL SELECT node, 0.3 * a FROM w3 UNION ALL SELECT node, 0.2 * p FROM p3)
+SELECT node, round(sum(part), 6) AS score FROM z GROUP BY 1 ORDER BY score DESC, node LIMIT 30"""
+    )
+
+
+SQL["spreading_activation"] = _spread_sql() + " SELECT node, round(a, 6) AS activation, hops FROM w3"
+SQL["triple_hybrid"] = _triple_sql()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators import graph, lifecycle, temporal, traverse
+from palimpsest.operators import graph, inference, lifecycle, records, temporal, traverse
 from palimpsest.queries.base import E, NOW, O, R, now
 from palimpsest.sources import formats
 from palimpsest.tables import load
@@ -60,10 +60,8 @@ def keyword_extract(spark, sf):
 
 
 def tag_extract(spark, sf):
-    """Tags in the marks of notes: their entity's category and source, as text."""
-    e = now(spark, sf, "entity", ["metadata"])
-    marks = F.concat_ws(" ", F.concat(F.lit("category: "), F.get_json_object("metadata", "$.category")), F.concat(F.lit("#"), F.get_json_object("metadata", "$.source")))
-    return lifecycle.tags(e.select(marks.alias("text")))
+    """Tags in the texts of notes."""
+    return lifecycle.tags(_o(spark, sf, "text"))
 
 
 def importance_score(spark, sf):
@@ -72,6 +70,47 @@ def importance_score(spark, sf):
     return lifecycle.importance(_o(spark, sf, "metadata"), rank, NOW)
 
 
+def level_promotion(spark, sf):
+    """Notes due for compression by entity, level and what becomes of them."""
+    due = lifecycle.promotion(_o(spark, sf, "metadata"), importance_score(spark, sf), NOW)
+    return due.groupBy("entity_id", "memory_level", "action").agg(F.count("*").alias("n_notes"))
+
+
+def reflect_candidates(spark, sf):
+    """The five entities with the most notes."""
+    return lifecycle.reflect(_o(spark, sf))
+
+
+def discovered_relations(spark, sf):
+    """Inferred expert relations that are not there yet, by technology."""
+    r = now(spark, sf, "relationship", [])
+    new = inference.expertise(r).join(r.select("from_id", "to_id").distinct(), ["from_id", "to_id"], "left_anti")
+    return new.groupBy(F.col("to_id").alias("technology")).agg(F.count("*").alias("n_experts"))
+
+
+def oldest_to_clean(spark, sf):
+    """The twenty oldest notes among those of weakly linked entities, thirty days old or more."""
+    old = lifecycle.cleanup_notes(_o(spark, sf), graph.degree(traverse.edges(now(spark, sf, "relationship", ["strength"]))), NOW)
+    return old.orderBy("valid_from", "id").limit(20).select("id", "entity_id", F.date_format("valid_from", "yyyy-MM-dd").alias("day"))
+
+
+def memory_accesses(spark, sf):
+    """Access counts of notes after every event of a user counted as an access to the user's newest-numbered notes, by count."""
+    o = _o(spark, sf, "metadata")
+    e = load(spark, sf, "events").select(F.col("user_id").cast("long").alias("u"), F.col("ts").cast("timestamp").alias("at"))
+    mine = o.select("id", (F.conv(F.substring(F.md5("id"), 1, 6), 16, 10).cast("long") % 150).alias("u")).join(e, "u").select("id", "at")
+    found = records.touched(o, mine)
+    return found.groupBy("access_count").agg(F.count("*").alias("n_notes"), F.date_format(F.max("last_accessed_at"), "yyyy-MM-dd HH:mm:ss").alias("last"))
+
+
+def weak_memories(spark, sf):
+    """How many notes pruning would remove and keep, by entity of ten notes or more."""
+    o = _o(spark, sf, "metadata")
+    a = lifecycle.activation(o, NOW).join(o.select("id", "entity_id"), "id").filter("entity_id IS NOT NULL")
+    g = a.groupBy("entity_id").agg(F.sum((~F.col("retain")).cast("long")).alias("n_pruned"), F.sum(F.col("retain").cast("long")).alias("n_kept"))
+    return g.filter("n_pruned + n_kept >= 10")
+
+
 def compaction_candidates(spark, sf):
     """Notes that compaction would replace."""
     return lifecycle.compaction(_o(spark, sf))
@@ -140,7 +179,7 @@ def export_json(spark, sf):
 
 def _salience_sql() -> str:
     t = "' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ') || ' '"
-    v = ", ".join(f"CASE WHEN contains(t, ' {w} ') THEN {float(x)} ELSE 0.0 END" for w, x in lifecycle.SALIENT.items())
+    v = ", ".join(f"CASE WHEN contains(t, ' {w} ') THEN {float(x)} ELSE 0.0 END" for w, x in lifecycle.salient_words())
     return (
         f"WITH {O}, a AS (SELECT id, {t} AS t FROM o WHERE text IS NOT NULL), b AS (SELECT id, [{v}]::DOUBLE[] AS v FROM a), c AS (SELECT id, round(least(1.0, list_max(v) + (list_sum(v) - list_max(v)) * 0.2), 6)::DOUBLE AS salience FROM b) "
         "SELECT id, salience, CASE WHEN salience >= 0.7 THEN 'high' WHEN salience >= 0.4 THEN 'medium' WHEN salience >= 0.3 THEN 'low' ELSE 'neutral' END AS band FROM c"
@@ -164,7 +203,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         interarrival_cv, trending, seasonal_trend, temporal_correlation, recurring_events, activation_score, activation_histogram, salience_score, keyword_extract, tag_extract, importance_score,
-        compaction_candidates, cleanup_candidates, inactive_sessions, having_counts, percentile_latency, session_windows, paragraph_chunks, markdown_import, import_merge, export_markdown, export_json,
+        level_promotion, reflect_candidates, discovered_relations, oldest_to_clean, memory_accesses, weak_memories, compaction_candidates, cleanup_candidates, inactive_sessions, having_counts, percentile_latency, session_windows, paragraph_chunks, markdown_import, import_merge, export_markdown, export_json,
     )
 }
 _STOPS = "'" + "', '".join(__import__("palimpsest.functions.text", fromlist=["STOP"]).STOP) + "'"
@@ -184,9 +223,29 @@ SQL = {
     "salience_score": _salience_sql(),
     "keyword_extract": f"WITH {O}, x AS (SELECT entity_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS keyword FROM o WHERE entity_id IS NOT NULL), y AS (SELECT entity_id, keyword, count(*) AS n FROM x WHERE length(keyword) >= 4 AND NOT regexp_full_match(keyword, '[0-9]+') "
     f"AND keyword NOT IN ({_STOPS}) GROUP BY ALL HAVING count(*) >= 2) SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY n DESC, keyword) <= 10",
-    "tag_extract": f"WITH {E}, x AS (SELECT 'category:' || json_extract_string(metadata, '$.category') AS tag FROM e UNION ALL SELECT '#' || json_extract_string(metadata, '$.source') FROM e) SELECT tag, count(*) AS n FROM x WHERE tag IS NOT NULL GROUP BY 1",
+    "tag_extract": f"""
+WITH {O}, x AS (SELECT unnest(regexp_extract_all(lower(text), '(#[\\p{{L}}\\p{{N}}_]+|\\b(?:category|type|topic|subject):\\s*[\\p{{L}}\\p{{N}}_]+)')) AS tag FROM o)
+SELECT regexp_replace(tag, '\\s+', '', 'g') AS tag, count(*) AS n FROM x GROUP BY 1""",
     "paragraph_chunks": "WITH x AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n[ \\t]*\\n+')) AS p FROM documents), y AS (SELECT doc_id, trim(regexp_replace(p, '^\\n+|\\n+$', '', 'g'), ' ') AS c FROM x) SELECT doc_id, count(*) AS n_chunks, sum(length(c))::BIGINT AS n_chars FROM y WHERE c <> '' GROUP BY 1",
     "importance_score": _importance_sql(),
+    "level_promotion": f"""
+WITH x AS ({_importance_sql()}), {O}, a AS (SELECT id, entity_id, coalesce(json_extract_string(metadata, '$.memory_level')::INT, 0) AS memory_level, {_AGE} AS age FROM o WHERE entity_id IS NOT NULL),
+b AS (SELECT * FROM a WHERE age > CASE memory_level WHEN 0 THEN 1 WHEN 1 THEN 7 WHEN 2 THEN 30 END QUALIFY count(*) OVER (PARTITION BY entity_id, memory_level) >= 10)
+SELECT entity_id, memory_level, CASE WHEN coalesce(importance, 0) >= 0.5 THEN 'promote' ELSE 'delete' END AS action, count(*) AS n_notes FROM b LEFT JOIN x USING (id) GROUP BY ALL""",
+    "reflect_candidates": f"WITH {O} SELECT entity_id, count(*) AS n_notes FROM o WHERE entity_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 2 ORDER BY n_notes DESC, entity_id LIMIT 5",
+    "discovered_relations": f"""
+WITH {R}, x AS (SELECT DISTINCT a.from_id, b.to_id FROM r a JOIN r b ON a.to_id = b.from_id WHERE a.relation_type = 'works_on' AND b.relation_type = 'uses_tech' AND a.from_id <> b.to_id)
+SELECT to_id AS technology, count(*) AS n_experts FROM x WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.from_id = x.from_id AND r.to_id = x.to_id) GROUP BY 1""",
+    "oldest_to_clean": f"""
+WITH {O}, {R}, {_G}, d AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM g UNION ALL SELECT dst FROM g) GROUP BY 1)
+SELECT id, entity_id, strftime(valid_from, '%Y-%m-%d') AS day FROM o LEFT JOIN d ON node = entity_id
+WHERE entity_id IS NOT NULL AND {_AGE} > 30 AND coalesce(degree, 0) < 2 ORDER BY valid_from, id LIMIT 20""",
+    "memory_accesses": f"""
+WITH {O}, x AS (SELECT id, count(*) AS n, max(ts) AS last FROM (SELECT id, ('0x' || substr(md5(id), 1, 6))::BIGINT % 150 AS u FROM o) JOIN events ON user_id = u GROUP BY 1)
+SELECT coalesce(json_extract_string(metadata, '$.access_count')::BIGINT, 0) + n AS access_count, count(*) AS n_notes, strftime(max(last), '%Y-%m-%d %H:%M:%S') AS last FROM o JOIN x USING (id) GROUP BY 1""",
+    "weak_memories": f"""
+WITH {O}, a AS (SELECT entity_id, round(exp(-greatest({_AGE}, 0) / least(20.0, 1 + coalesce(json_extract_string(metadata, '$.access_count')::DOUBLE, 0))), 6) >= 0.15 AS retain FROM o WHERE entity_id IS NOT NULL)
+SELECT entity_id, count(*) FILTER (WHERE NOT retain) AS n_pruned, count(*) FILTER (WHERE retain) AS n_kept FROM a GROUP BY 1 HAVING count(*) >= 10""",
     "compaction_candidates": f"WITH {O}, x AS (SELECT id, entity_id, count(*) OVER (PARTITION BY entity_id) AS n, row_number() OVER (PARTITION BY entity_id ORDER BY valid_from DESC, id DESC) AS k FROM o WHERE entity_id IS NOT NULL) SELECT id, entity_id FROM x WHERE n > 20 AND k > 10",
     "cleanup_candidates": f"WITH {O}, {R}, {_G}, d AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM g UNION ALL SELECT dst FROM g) GROUP BY 1) SELECT entity_id, count(*) AS n_notes, max(coalesce(json_extract_string(metadata, '$.memory_level')::INT, 0)) + 1 AS level "
     f"FROM o LEFT JOIN d ON node = entity_id WHERE entity_id IS NOT NULL AND {_AGE} > 200 AND coalesce(degree, 0) < 3 GROUP BY 1",
@@ -196,6 +255,11 @@ SQL = {
     "percentile_latency": "WITH x AS (SELECT floor((epoch_us(ingested_at) - epoch_us(valid_from)) / 1000)::BIGINT AS v FROM observation), y AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k, count(*) OVER () AS n FROM x WHERE v IS NOT NULL), s AS (SELECT unnest([0.5, 0.95, 0.99])::DOUBLE AS share) "
     "SELECT share, v AS value FROM s JOIN y ON k = floor(n * share)",
     "session_windows": "WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events), y AS (SELECT user_id, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM x), z AS (SELECT user_id, s, count(*) AS n_events FROM y GROUP BY ALL) SELECT n_events, count(*) AS n_sessions FROM z GROUP BY 1",
+    "markdown_import": """
+WITH x AS (SELECT doc_id, string_split_regex(chr(10) || regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n##[ \\t]+') AS parts FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, string_split(unnest(parts[2:]), chr(10)) AS lines FROM x),
+n AS (SELECT doc_id, trim(lines[1]) AS name, unnest(list_filter(lines[2:], lambda l: starts_with(l, '- '))) AS note FROM s)
+SELECT name, count(*) AS n_notes, count(DISTINCT doc_id) AS n_documents FROM n GROUP BY 1""",
     "import_merge": f"WITH {E} SELECT type, count(*) AS n_entities FROM (SELECT type FROM e UNION ALL SELECT 'User' FROM (SELECT DISTINCT user_id FROM events)) GROUP BY 1",
     "export_markdown": f"WITH {E}, {R} SELECT id, 0 AS block, '' AS k, '# ' || coalesce(name, id) AS line FROM e UNION ALL SELECT id, 1, '', 'Type: ' || coalesce(type, 'unknown') FROM e UNION ALL "
     "SELECT from_id, 2, relation_type || '|' || to_id, '- ' || relation_type || ' [[' || coalesce(t.name, t.id) || ']]' FROM r JOIN e f ON f.id = from_id JOIN e t ON t.id = to_id",
