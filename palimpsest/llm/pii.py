@@ -21,20 +21,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.names import NICKNAMES
 from palimpsest.llm.pii_tagger import LABELS, TYPES, Tagger, numbers
 
 #: Characters of a window, and how many two windows share.
 WINDOW, OVERLAP = 640, 96
 #: Windows that are read at once.
 AT_ONCE = 256
+#: Characters of all texts a task tags, and rows that are tagged at once.
+TASK, ROWS = 1_500_000, 1024
+#: Titles, pronouns and the like, as a pattern for whole columns.
+TITLES_SQL = r"(?i)\b(?:mr|mrs|ms|dr|prof|herr|hr|frau|fr|mme|sr|sra|jr|phd|he|him|she|her|they|them)\b\.?"
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 #: Titles that belong to no name.
 TITLE = re.compile(r"^(?:(?:mr|mrs|ms|dr|prof|herr|frau|mme|sr|sra)\b\.?\s+)+", re.I)
-#: Given names that may be ordinary words as well.
-GIVEN = {*NICKNAMES, *" ".join(NICKNAMES.values()).split()}
 #: Words between two names.
 AND = re.compile(r"\s(?:and|und|et|och)\s", re.I)
+#: Small words inside names.
+PARTICLES = {"de", "da", "di", "del", "van", "von", "der", "den", "la", "le", "du"}
+#: Words of streets, at the end of a word or alone; an address has one.
+STREET = re.compile(
+    r"(?:stra(?:ß|ss)e|str\.|weg|gasse|allee|platz|straat|laan)\b|str\.|\b(?:street|lane|avenue|ave|road|rd|st|ln|drive|dr|court|way|boulevard|blvd|bd|terrace|place|crescent|close|hill|square|parkway|row|rue|chemin|quai|"
+    r"calle|plaza|paseo|avenida|via|viale|piazza|corso|rua|largo|am|an der|auf der)\b", re.I,
+)
+#: Captions of identity numbers, right before a number.
+CAPTION = re.compile(r"(?:\b(?:tax|TIN|SSN|NINO|NI|NIF|DNI|IBAN|passport|Reisepass|passeport|pasaporte|Steuer\w*|soc\. sec\.|security|insurance|identity|account|codice fiscale|fiscal)\b[\s\w.:-]{0,12})$", re.I)
 EXTENSION = re.compile(r"[\s,;]*(?:\bext|\bextension|\bx|\bpost|\bpostes?|\bDurchwahl)\.?\s*\d*$", re.I)
 #: What may follow the part of an address that was found: more labels of its host, with dots or the word dot.
 HOST_END = re.compile(r"(?:[.．][a-z0-9][a-z0-9-]*[a-z0-9]|(?:\s*[(\[]dot[)\]]\s*|\s+dot\s+)(?:example|invalid|test|com|org|net)\b)+", re.I)
@@ -96,7 +106,7 @@ def label(texts: list[str], model: Tagger) -> list[np.ndarray]:
     return out
 
 
-def spans(text: str, labels: np.ndarray, lexicon: set[str] | frozenset[str] = frozenset()) -> list[Span]:
+def spans(text: str, labels: np.ndarray) -> list[Span]:
     """Passages (first, after last, type) of one text: labelled runs, made whole words and checked."""
     kind = (labels + 1) // 2  # 0: none, else the type's number
     begin = labels % 2 == 1
@@ -107,13 +117,13 @@ def spans(text: str, labels: np.ndarray, lexicon: set[str] | frozenset[str] = fr
         cuts = [x for m in AND.finditer(text, a, b) for x in m.span()] if what == "name" else []
         ends = [int(a), *cuts, int(b)]
         for first, last in zip(ends[::2], ends[1::2], strict=True) if what else ():
-            span = checked(text, first, last, what, lexicon)
+            span = checked(text, first, last, what)
             if span and (not found or span[0] >= found[-1][1]):
                 found.append(span)
     return found
 
 
-def checked(text: str, a: int, b: int, kind: str, lexicon: set[str] | frozenset[str] = frozenset()) -> Span | None:
+def checked(text: str, a: int, b: int, kind: str) -> Span | None:
     """A passage trimmed and extended to whole words, or None if it can't be of its type."""
     inside = str.isalnum
     while a > 0 and inside(text[a - 1]) and inside(text[a]):
@@ -128,6 +138,8 @@ def checked(text: str, a: int, b: int, kind: str, lexicon: set[str] | frozenset[
             a -= 1
         while a < b and not (text[a].isdigit() or text[a] in "+("):
             a += 1
+        if CAPTION.search(text[max(0, a - 40) : a]):
+            kind = "id_number"
     keep = {"phone": "+(", "email": "", "name": "", "address": "", "id_number": ""}[kind]
     while a < b and not (inside(text[a]) or text[a] in keep):
         a += 1
@@ -141,17 +153,17 @@ def checked(text: str, a: int, b: int, kind: str, lexicon: set[str] | frozenset[
             a += m.end()
             body = text[a:b]
         words = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[^\W\d_]+", body)]
-        odd = [len(w) > 1 and w.lower() in lexicon for *_, w in words]
-        # ordinary words at the ends are neighbours that the span took in, but of two words a capitalised one may be the name's (May, Long)
+        # lower-case words at the ends of a name with capitals are neighbours that the span took in, but for particles
         first, last = 0, len(words)
-        stray = [o and w.lower() not in GIVEN for (*_, w), o in zip(words, odd, strict=True)]
-        while last > first and stray[first] and (last - first > 2 or words[first][2].islower()):
-            first += 1
-        while last > first and stray[last - 1] and (last - first > 2 or words[last - 1][2].islower()):
-            last -= 1
+        small = [w.islower() and w not in PARTICLES for *_, w in words]
+        if not all(w.islower() for *_, w in words):
+            while last > first and small[first]:
+                first += 1
+            while last > first and small[last - 1]:
+                last -= 1
         if last > first:
             a, b = a + words[first][0], a + words[last - 1][1]
-        good = digits == 0 and last - first >= 2 and any(len(w) > 1 and not o for (*_, w), o in zip(words[first:last], odd[first:last], strict=True))
+        good = digits == 0 and last - first >= 2 and any(len(w) > 1 for *_, w in words[first:last])
     elif kind == "email":
         rest = HOST_END.match(text[b:])
         if rest:
@@ -168,7 +180,7 @@ def checked(text: str, a: int, b: int, kind: str, lexicon: set[str] | frozenset[
     elif kind == "id_number":
         good = 6 <= digits <= 34 and letters <= 6
     else:
-        good = 1 <= digits <= 6 and letters >= 4
+        good = 1 <= digits <= 6 and letters >= 4 and bool(STREET.search(body + text[b : b + 1]))
     return (a, b, kind) if good else None
 
 
@@ -194,10 +206,10 @@ def tag(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
         model = tagger()
         kind = pa.list_(pa.struct([("pii_type", pa.string()), ("passage", pa.string())]))
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
                 texts = [t or "" for t in batch.column(len(keys)).to_pylist()]
-                hits = [spans(t, x, model.lexicon) if t else [] for t, x in zip(texts, label(texts, model), strict=True)]
+                hits = [spans(t, x) if t else [] for t, x in zip(texts, label(texts, model), strict=True)]
                 clean = [replace(t, h) if h else t for t, h in zip(texts, hits, strict=True)]
                 mask = batch.column(len(keys)).is_null().to_numpy(zero_copy_only=False)
                 found = [[{"pii_type": k, "passage": t[a:b]} for a, b, k in h] for t, h in zip(texts, hits, strict=True)]

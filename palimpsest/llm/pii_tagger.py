@@ -1,6 +1,7 @@
 """Character-level bidirectional LSTM with CRF transitions, in numpy.
 
-A character is its folded letter or class plus marks for case and accents. Two
+A character is its folded letter or class plus marks for case, accents and words
+that are known given names. Two
 LSTMs read a window from both sides; their states give scores per label (B and I
 of each type, and O), and learned transitions link the labels of neighbours.
 """
@@ -11,12 +12,16 @@ import unicodedata
 
 import numpy as np
 
+from palimpsest.llm.given_names import places
+
 TYPES = ["email", "phone", "id_number", "address", "name"]
 LABELS = ["O"] + [f"{p}-{t}" for t in TYPES for p in "BI"]
 SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789 \n.,;:!?'\"()[]<>{}@/\\|+-_=*#&%$~^`"
 #: Numbers of the signs, then classes of the rest; upper case letters and accented ones have numbers of their own.
 UPPER, ACCENT, OTHER = len(SIGNS) + 1, len(SIGNS) + 27, len(SIGNS) + 29
 VOCAB = OTHER + 8
+#: Characters of known given names have numbers of their own, VOCAB higher.
+MARKED = VOCAB
 
 
 def number(c: str) -> int:
@@ -51,9 +56,12 @@ class _Numbers(dict):
 _numbers = _Numbers()
 
 
-def numbers(text: str) -> np.ndarray:
-    """Input numbers of a text."""
-    return np.frombuffer(text.translate(_numbers).encode("utf-16-le"), np.uint16).astype(np.int64)
+def numbers(text: str, mark: bool = True) -> np.ndarray:
+    """Input numbers of a text; ``mark``: those of known given names are marked."""
+    out = np.frombuffer(text.translate(_numbers).encode("utf-16-le"), np.uint16).astype(np.int64)
+    for a, b in places(text) if mark else ():
+        out[a:b] += MARKED
+    return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -66,15 +74,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 class Tagger:
     """Weights: input table per direction (already projected), recurrent matrices, output and transitions."""
 
-    def __init__(self, hidden: int = 16, seed: int = 1):
+    def __init__(self, hidden: int = 20, seed: int = 1):
         r = np.random.default_rng(seed)
         h, k = hidden, len(LABELS)
-        self.w = {f"{n}{d}": v for d in "fb" for n, v in (("x", r.normal(0, 0.25, (VOCAB, 4 * h))), ("u", r.normal(0, 1 / np.sqrt(h), (h, 4 * h))))}
+        self.w = {f"{n}{d}": v for d in "fb" for n, v in (("x", r.normal(0, 0.25, (2 * VOCAB, 4 * h))), ("u", r.normal(0, 1 / np.sqrt(h), (h, 4 * h))))}
         self.w |= {"o": r.normal(0, 0.2, (2 * h, k)), "c": np.zeros(k), "t": np.zeros((k, k))}
         for d in "fb":
             self.w["x" + d][:, h : 2 * h] += 1  # remember at first
         self.w = {n: v.astype(np.float32) for n, v in self.w.items()}
-        self.lexicon: set[str] = set()  # ordinary words, which are no part of a name
 
     @property
     def hidden(self) -> int:
@@ -211,47 +218,47 @@ class Tagger:
         return loss / (steps * count), {n: g / count for n, g in grad.items()}
 
     def save(self, path: str) -> None:
-        np.savez_compressed(path, lexicon=np.array(sorted(self.lexicon)), **{n: v.astype(np.float16) for n, v in self.w.items()})
+        np.savez_compressed(path, **{n: v.astype(np.float16) for n, v in self.w.items()})
 
     @staticmethod
     def load(path: str) -> Tagger:
         tagger = Tagger.__new__(Tagger)
         with np.load(path) as data:
-            tagger.w = {n: data[n].astype(np.float32) for n in data.files if n != "lexicon"}
-            tagger.lexicon = set(data["lexicon"].tolist()) if "lexicon" in data.files else set()
+            tagger.w = {n: data[n].astype(np.float32) for n in data.files}
         return tagger
 
 
 def batch_of(examples: list[list[tuple[str, str]]]) -> tuple[np.ndarray, np.ndarray]:
-    """(T, B) inputs and labels of examples made of (text, type) parts."""
+    """(T, B) inputs and labels of examples made of (text, type) parts; every fifth has no marked names, so that unknown ones are learned."""
     texts = ["".join(t for t, _ in parts) for parts in examples]
-    longest = max(len(numbers(t)) for t in texts)
+    longest = max(map(len, texts))
     ids, gold = np.zeros((longest, len(texts)), np.int64), np.zeros((longest, len(texts)), np.int64)
     for b, parts in enumerate(examples):
+        ids[: len(texts[b]), b] = numbers(texts[b], b % 5 > 0)
         at = 0
         for text, kind in parts:
-            n = numbers(text)
-            ids[at : at + len(n), b] = n
             if kind:
                 first = LABELS.index("B-" + kind)
-                gold[at : at + len(n), b] = first + 1
+                gold[at : at + len(text), b] = first + 1
                 gold[at, b] = first
-            at += len(n)
+            at += len(text)
     return ids, gold
 
 
-def train(tagger: Tagger, make, steps: int, batch: int = 48, rate: float = 0.01, report=None) -> Tagger:
-    """Adam steps on fresh batches from ``make(n)``; the rate falls to a twentieth."""
+def train(tagger: Tagger, gradients, steps: int, rate: float = 0.012, report=None) -> Tagger:
+    """Adam steps on the mean of the (loss, gradient) pairs of ``gradients(step)``; the rate falls to a twentieth."""
     first, second = ({n: np.zeros_like(v) for n, v in tagger.w.items()} for _ in range(2))
     for step in range(1, steps + 1):
-        loss, grad = tagger.gradient(*batch_of(make(batch)))
+        parts = gradients(step)
+        loss = sum(p[0] for p in parts) / len(parts)
+        grad = {n: sum(p[1][n] for p in parts) / len(parts) for n in tagger.w}
         norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
         now = rate * max(0.05, 1 - step / steps)
         for n, g in grad.items():
             g = g * min(1, 5 / max(norm, 1e-9))
             first[n] = 0.9 * first[n] + 0.1 * g
             second[n] = 0.99 * second[n] + 0.01 * g * g
-            tagger.w[n] -= now * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.99**step)) + 1e-8)
+            tagger.w[n] = (tagger.w[n] - now * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         if report and step % 50 == 0:
             report(step, loss)
     return tagger

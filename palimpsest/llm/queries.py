@@ -90,21 +90,30 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Current observations and entities, each distinct text tagged once: (src_table, src_id, person, clean, found)."""
+    """Current observations and entities, tagged: (src_table, src_id, person, clean, found); ``person``: the type says person or firm."""
     o = _texts(spark, sf_dir).select(F.lit("observation").alias("src_table"), F.col("id").alias("src_id"), F.lit(False).alias("person"), "text")
     e = current(load(spark, sf_dir, "entity").select("id", "valid_from", "asserted", "name", "type"), KEYS["entity"])
-    # people have no case of their own name; firms' names are none of a person; of unknown type are only people and firms
-    person = F.coalesce(F.lower(F.trim("type")).isin(PEOPLE + FIRMS), F.lit(True))
+    person = F.coalesce(F.lower(F.trim("type")).isin(PEOPLE + FIRMS), F.lit(False))
     e = e.select(F.lit("entity").alias("src_table"), F.col("id").alias("src_id"), person.alias("person"), F.col("name").alias("text"))
     rows = o.unionByName(e)
-    return pii.tag(rows, ["src_table", "src_id", "person"])
+    # tagging costs time by the character: tasks of like length, as many as the texts of all versions need
+    size = [load(spark, sf_dir, t).agg(F.sum(F.length(c)).alias("n")) for t, c in (("observation", "text"), ("entity", "name"))]
+    total = size[0].unionByName(size[1]).agg(F.sum("n")).first()[0] or 0
+    return pii.tag(rows.repartition(1 + int(total // pii.TASK), "src_id"), ["src_table", "src_id", "person"])
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every item of personal data in a current observation or entity name."""
+    """Every item of personal data in a current observation or entity name.
+
+    A name in an entity that stands for a person is no case: its type says
+    person or firm, or nothing is left of the entity's name but the items in it.
+    """
     hit = F.explode("found").alias("hit")
     value = F.regexp_replace(F.lower("hit.passage"), r"[^\p{L}\p{N}]", "").alias("pii_value")
-    found = _personal(spark, sf_dir).select("src_table", "src_id", "person", hit).filter("NOT (person AND hit.pii_type = 'name')")
+    rest = F.regexp_replace(F.regexp_replace("clean", r"\[[A-Z_]+\]", " "), pii.TITLES_SQL, " ")
+    alone = (F.col("src_table") == "entity") & ~rest.rlike(r"[\p{L}\p{N}]")
+    own = (F.col("person") | alone).alias("own")
+    found = _personal(spark, sf_dir).select("src_table", "src_id", own, hit).filter("NOT (own AND hit.pii_type = 'name')")
     return found.select("src_table", "src_id", "hit.pii_type", value).distinct()
 
 

@@ -140,12 +140,51 @@ def test_personal_data_across_windows(spark):
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("Will Selodtimwright", ["Will Selodtimwright"]), ("Dot Zelevabley", ["Dot Zelevabley"]), ("May Torvanquist", ["May Torvanquist"]), ("Li Wu", ["Li Wu"]),
-        ("Bitte Hesorrikdale, Benjamin", ["Hesorrikdale, Benjamin"]), ("Ingrid\nTorelvaquist", ["Ingrid\nTorelvaquist"]), ("über Korozora", []), ("may will", []),
+        ("Will Selodtimwright", ["Will Selodtimwright"]), ("May Torvanquist", ["May Torvanquist"]), ("Li Wu", ["Li Wu"]), ("Mark Field", ["Mark Field"]), ("olga müller", ["olga müller"]),
+        ("bitte Hesorrikdale, Benjamin", ["Hesorrikdale, Benjamin"]), ("Ingrid\nTorelvaquist", ["Ingrid\nTorelvaquist"]), ("über Korozora", []), ("Vincent van Gogh", ["Vincent van Gogh"]),
         ("Jo Wexidiier and S. Urbamnonford", ["Jo Wexidiier", "S. Urbamnonford"]),
     ],
 )
-def test_ordinary_words_do_not_drop_names(text, want):
+def test_names_keep_all_their_words(text, want):
     labels = np.full(len(text), 2 * pii.TYPES.index("name") + 2)
-    lexicon = {"will", "may", "dot", "bitte", "über", "and"}
-    assert [text[a:b] for a, b, _ in pii.spans(text, labels, lexicon)] == want
+    assert [text[a:b] for a, b, _ in pii.spans(text, labels)] == want
+
+
+def test_numbers_with_captions_and_streets():
+    def only(text, kind):
+        return [(k, text[a:b]) for a, b, k in pii.spans(text, np.where([c.isdigit() or c == " " for c in text], 2 * pii.TYPES.index(kind) + 2, 0))]
+
+    assert only("tax number 00 362 138 133", "phone") == [("id_number", "00 362 138 133")]
+    assert only("call 030 901 820 11", "phone") == [("phone", "030 901 820 11")]
+    whole = "Varevkora 728"
+    assert pii.spans(whole, np.full(len(whole), 2 * pii.TYPES.index("address") + 2)) == []
+
+
+PROBES = [
+    ("John Smith met David Chen at the airport.", [("name", "John Smith"), ("name", "David Chen")]),
+    ("The detective lives at 221B Baker Street, London.", [("address", "221B Baker Street")]),
+    ("Please call Peter Müller on (415) 555-2671 or +49 30 901820.", [("name", "Peter Müller"), ("phone", "(415) 555-2671"), ("phone", "+49 30 901820")]),
+    ("Mark Field sent his passport 533380006 and IBAN DE89 3704 0044 0532 0130 00.", [("name", "Mark Field"), ("id_number", "533380006"), ("id_number", "DE89 3704 0044 0532 0130 00")]),
+    ("My colleague Maria Gonzalez moved to 42 Maple Avenue.", [("name", "Maria Gonzalez"), ("address", "42 Maple Avenue")]),
+    ("Her mail is x.y@mail.company.org, ssn 123-45-6789.", [("email", "x.y@mail.company.org"), ("id_number", "123-45-6789")]),
+    ("The tower opened in 1889 and version 3.11.2 is out.", []),
+]
+
+
+def test_sentences_unlike_any_notes():
+    model = pii.tagger()
+    found = [[(k, t[a:b]) for a, b, k in pii.spans(t, x)] for (t, _), x in zip(PROBES, pii.label([t for t, _ in PROBES], model), strict=True)]
+    right = sum(len(set(g) & set(w)) for g, (_, w) in zip(found, PROBES, strict=True))
+    assert right >= 0.9 * sum(len(w) for _, w in PROBES)
+    assert sum(map(len, found)) <= right + 1
+
+
+def test_held_out_frames_and_names():
+    """Precision and recall of whole passages in frames and among names that training never saw."""
+    from palimpsest.llm.pii_examples import Maker
+    from palimpsest.llm.train_pii import quality
+
+    words = ["the nightly copy removes the old links", "nobody could read the report on the test system", "we moved the list after the review"]
+    got = quality(pii.tagger(), Maker(5, words, held=True), 600)
+    assert all(p >= 0.85 for p, _ in got.values()), got
+    assert all(r >= (0.7 if k == "name" else 0.85) for k, (_, r) in got.items()), got
