@@ -172,5 +172,53 @@ def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode(F.when(mixed, F.concat(whole, each)).otherwise(whole)).alias("row")).select("doc_id", "row.*")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p5_found": p5_found, "p5_replaced": p5_replaced, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_languages": p8_languages}
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_groups, p3_found, p3_neighbours, p4_found, p5_found, p5_replaced, p6_ids, p7_packed, p7_fill, p8_found, p8_languages,
+    )
+}
+
+
+def _now(table: str, name: str) -> str:
+    return f"{name} AS (SELECT * FROM (SELECT * FROM {table} QUALIFY row_number() OVER (PARTITION BY id ORDER BY valid_from DESC, asserted) = 1) WHERE asserted)"
+
+
+_SETS = f"""
+{_now("observation", "o")},
+x AS (SELECT id, entity_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))) AS ws FROM o WHERE text IS NOT NULL),
+s AS (SELECT * FROM x WHERE len(ws) > 0)"""
+
+
+def _similar(rows: str) -> str:
+    """Pairs of ``rows`` (id, ws) with similarity 0.7 or more."""
+    return f"""
+y AS (SELECT id, len(ws) AS n, unnest(ws) AS w FROM {rows}),
+c AS (SELECT a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb, count(*) AS k FROM y a JOIN y b ON a.w = b.w AND a.id < b.id AND least(a.n, b.n) >= 0.69 * greatest(a.n, b.n) GROUP BY ALL),
+p AS (SELECT id_a, id_b FROM c WHERE k::DOUBLE / (na + nb - k) >= 0.7)"""
+
+
+def _vector_sql() -> str:
+    parts = []
+    for field in VECTOR_FIELDS:
+        table, column = field.split(".")
+        parts.append(f"SELECT '{field}' AS vec_field, id, {column}::DOUBLE[] AS v FROM {table[0]} WHERE len({column}) = {VECTOR_SIZE} AND list_max(list_transform({column}, lambda z: abs(z))) > 0")
+    every = " UNION ALL ".join(parts)
+    return f"""
+WITH {_now("entity", "e")}, {_now("observation", "o")}, u AS ({every}),
+t AS (SELECT a.vec_field, a.id, b.id AS neighbour_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM u a JOIN u b ON a.vec_field = b.vec_field AND a.id <> b.id),
+n AS (SELECT *, row_number() OVER (PARTITION BY vec_field, id ORDER BY similarity DESC, neighbour_id) AS rank FROM t)
+"""
+
+
+SQL: dict[str, str] = {
+    "p1_found": f"WITH {_SETS}, {_similar('s')} SELECT * FROM p",
+    "p1_groups": f"""
+WITH RECURSIVE {_SETS}, k AS (SELECT ws, min(id) AS class_id, count(*) - 1 AS n_copies FROM s GROUP BY 1), reps AS (SELECT class_id AS id, ws FROM k), {_similar('reps')},
+l AS (SELECT id_a AS a, id_b AS b FROM p UNION ALL SELECT id_b, id_a FROM p),
+cc(a, b) AS (SELECT class_id, class_id FROM k UNION SELECT cc.a, l.b FROM cc JOIN l ON l.a = cc.b),
+g AS (SELECT a AS class_id, min(b) AS group_id FROM cc GROUP BY 1), d AS (SELECT a AS class_id, count(*) AS n_links FROM l GROUP BY 1)
+SELECT s.id, class_id, group_id, n_copies, coalesce(n_links, 0) AS n_links, entity_id FROM s JOIN k USING (ws) JOIN g USING (class_id) LEFT JOIN d USING (class_id)""",
+    # equal where the windows of the search see all vectors, as in small tables; larger ones are compared in the tests
+    "p3_found": _vector_sql() + "SELECT DISTINCT vec_field, least(id, neighbour_id) AS id_a, greatest(id, neighbour_id) AS id_b FROM n WHERE rank <= 10 AND similarity >= 0.8",
+}
