@@ -169,7 +169,11 @@ def merge_suggestions(lists: list[tuple[DataFrame, float]], least: float = 0.5,
 
 
 def status_conflicts(observation: DataFrame) -> DataFrame:
-    """(entity_id, year, active_id, inactive_id): the latest note that says active and the latest that says not, in the same year."""
+    """(entity_id, year, active_id, inactive_id): the latest note that says active and the latest that says not, in the same year.
+
+    The fixed patterns look for ``continued`` anywhere, so a note that says
+    ``discontinued`` counts as both.
+    """
     o = observation.filter("entity_id IS NOT NULL AND entity_id <> '' AND text IS NOT NULL").withColumn("year", F.year("valid_from"))
     pick = lambda c: F.max(F.when(c, F.struct("valid_from", "id")))
     g = o.groupBy("entity_id", "year").agg(pick(F.col("text").rlike(ACTIVE)).alias("a"), pick(F.col("text").rlike(INACTIVE)).alias("b"))
