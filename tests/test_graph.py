@@ -89,7 +89,7 @@ def test_vectors_and_nulls(spark):
 def test_status_conflict_and_custom_rule(spark):
     o = spark.createDataFrame([("1", "e", "2024-01-01", "It is active."), ("2", "e", "2024-05-01", "It was cancelled."), ("3", None, "2024-05-01", "active"), ("4", "f", "2024-05-01", None)], "id string, entity_id string, t string, text string").selectExpr("id", "entity_id", "to_timestamp(t) AS valid_from", "text")
     assert [(r.entity_id, r.active_id, r.inactive_id) for r in inference.status_conflicts(o).collect()] == [("e", "1", "2")]
-    both = o.filter("id = '2'").withColumn("text", F.lit("It was discontinued."))
+    both = o.filter("id = '2'").selectExpr("id", "entity_id", "valid_from", "'It was discontinued.' AS text")
     assert [(r.active_id, r.inactive_id) for r in inference.status_conflicts(both).collect()] == [("2", "2")]
     try:
         inference.custom_rule(spark, {"o": o}, "SELECT id FROM o")
