@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.session import stored
+from palimpsest.session import dropped, stored
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): ``component`` is the smallest node of the component.
 
     ``edges``: (src, dst) of one orderable type; direction, repeated edges,
@@ -19,21 +19,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     neighbours, then its smaller ones, are linked to the smallest. That takes a
     number of rounds logarithmic in the size of the largest component. Minima
     are aggregated before the shuffle, nothing is collected per node; each
-    round is stored in the shared folder, which cuts the lineage.
+    round is stored in the shared folder, which cuts the lineage, and the round
+    before is deleted. Rounds go on until nothing changes.
     """
     known = edges.filter("src IS NOT NULL AND dst IS NOT NULL")
     ends = stored(known.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges")
     loops = ends.filter("u = v").select("u")
     links = ends.filter("u <> v")
     mark = None
-    for _ in range(max_rounds):
+    while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(least, "u")
         small = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(linked.select("u", F.col("m").alias("v")))
-        links = stored(small.distinct(), "stars")
+        links, before = stored(small.distinct(), "stars"), links
+        dropped(before)
         # the links of two rounds agree if their number and the sum of their hashes do
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:

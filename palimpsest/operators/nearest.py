@@ -28,8 +28,8 @@ def one_in(key: str, share: int = 100) -> Column:
 
 
 def usable(column: str, size: int) -> Column:
-    """Is the vector there, of this length and not all zero?"""
-    return (F.size(column) == size) & F.exists(column, lambda x: x != 0)
+    """Is the vector there, of this length, without nulls and not all zero?"""
+    return (F.size(column) == size) & F.forall(column, lambda x: x.isNotNull()) & F.exists(column, lambda x: x != 0)
 
 
 def blocks(df: DataFrame, key: str, vector: str, prefix: str) -> DataFrame:
@@ -75,6 +75,26 @@ def similarity_edges(near: DataFrame, least: float = 0.8) -> DataFrame:
     return near.filter(F.col("score") > least).select(F.col("query").alias("from_id"), F.col("id").alias("to_id"), F.lit("similar_to").alias("relation_type"), sure)
 
 
+def island_bridges(component: DataFrame, entity: DataFrame, asked: Column, size: int, most: int = 3, least: float = 0.7) -> DataFrame:
+    """(component, from_id, to_id, relation_type, strength): one relation that ties a small island to the rest.
+
+    ``component``: (node, component). Of components of at most ``most`` nodes for
+    which ``asked`` holds, the entity that is most similar to one outside the
+    island, if at least ``least``; ties by the smaller ids. An island of ``most``
+    nodes leaves at least one outside among its ``most`` nearest. Islands
+    without a usable vector get none.
+    """
+    small = component.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") <= most).filter(asked).select("component")
+    node = stored(component.join(small, "component", "left_semi").select("node", "component"), "islands")
+    some = entity.join(node.select(F.col("node").alias("id")), "id", "left_semi")
+    near = nearest(some, entity, most, size).filter(F.col("score") >= least)
+    near = near.join(node.select(F.col("node").alias("query"), "component"), "query")
+    out = near.join(node.select(F.col("node").alias("id"), "component"), ["id", "component"], "left_anti")
+    best = Window.partitionBy("component").orderBy(F.col("score").desc(), "query", "id")
+    out = out.withColumn("no", F.row_number().over(best)).filter("no = 1")
+    return out.select("component", F.col("query").alias("from_id"), F.col("id").alias("to_id"), F.lit("semantically_related").alias("relation_type"), F.col("score").alias("strength"))
+
+
 def rank_decay(near: DataFrame) -> DataFrame:
     """(query, id, confidence) by rank among the neighbours: max(0.5, 1 - 0.1 per place)."""
     return near.select("query", "id", F.round(F.greatest(F.lit(0.5), 1 - 0.1 * (F.col("rank") - 1)), 6).alias("confidence"))
