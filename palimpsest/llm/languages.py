@@ -11,8 +11,10 @@ has the document's over its lines.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +38,11 @@ LEAST_MARKS = 0.32
 THREE = {"eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "por": "pt", "ita": "it", "nld": "nl", "dut": "nl", "rus": "ru", "jpn": "ja"}
 
 WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]|[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
-LINE = regex.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
-LEAD = regex.compile(r"^[\s>*#-]*(?:\[\d\d:\d\d\]\s*)?(?:\w+:\s)?")
-MARK = regex.compile(r"[\d\[\]{}<>=;|*_\"\\()@$%&+/']")
+#: The same in text of ASCII alone.
+PLAIN = re.compile(r"[A-Za-z]+(?:'[A-Za-z]+)*")
+LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
+LEAD = re.compile(r"^[\s>*#-]*(?:\[\d\d:\d\d\]\s*)?(?:\w+:\s)?")
+MARK = re.compile(r"[\d\[\]{}<>=;|*_\"\\()@$%&+/']")
 SENTENCE = regex.compile(r"(?<=[.!?。！？])\s*|[\r\n]+")
 
 
@@ -50,13 +54,33 @@ def label_code(label: Column, codes: dict[str, str]) -> Column:
     return F.coalesce(pairs[plain], pairs[F.split(plain, "[-_]")[0]])
 
 
+def bucket(feature: str) -> int:
+    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+class Buckets(dict):
+    """Buckets of the parts of words of one kind, hashed once: affixes and n-grams of few letters recur in most words."""
+
+    def __init__(self, kind: str):
+        self.kind = kind
+
+    def __missing__(self, part: str) -> int:
+        found = self[part] = bucket(self.kind + part)
+        return found
+
+
+HEAD, TAIL, GRAM, SCRIPT = (Buckets(kind) for kind in "pens")
+
+
 def features(word: str) -> list[int]:
     """Hashed features of a word."""
     w = f"^{word.lower()}$"
-    named = {"w" + w, "s" + script(word)}
-    named |= {"p" + w[:n] for n in (2, 3, 4)} | {"e" + w[-n:] for n in (2, 3, 4)}
-    named |= {"n" + w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1)}
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in named]
+    grams = [w[i : i + 2] for i in range(len(w) - 1)] + [w[i : i + 3] for i in range(len(w) - 2)]
+    out = [bucket("w" + w), SCRIPT[script(word)]]
+    out += [HEAD[x] for x in dict.fromkeys((w[:2], w[:3], w[:4]))]
+    out += [TAIL[x] for x in dict.fromkeys((w[-2:], w[-3:], w[-4:]))]
+    out += [GRAM[x] for x in dict.fromkeys(grams)]
+    return out
 
 
 def script(word: str) -> str:
@@ -79,13 +103,17 @@ class Words:
         self.lists: list[list[int]] = []
 
     def ids(self, text: str) -> list[int]:
-        number, out = self.number, []
-        for w in WORD.findall(text):
-            i = number.get(w)
-            if i is None:
-                i = number[w] = len(self.lists)
+        number = self.number
+        words = (PLAIN if text.isascii() else WORD).findall(text)
+        out = list(map(number.get, words))
+        at = -1
+        for _ in range(out.count(None)):
+            at = out.index(None, at + 1)
+            w = words[at]
+            if w not in number:
+                number[w] = len(self.lists)
                 self.lists.append(features(w))
-            out.append(i)
+            out[at] = number[w]
         return out
 
     def scores(self, weight: np.ndarray, start: int = 0) -> np.ndarray:
@@ -94,7 +122,7 @@ class Words:
         if not lists:
             return np.zeros((0, weight.shape[1]), np.float32)
         sizes = np.array([len(x) for x in lists])
-        flat = np.fromiter((f for x in lists for f in x), np.int64, sizes.sum())
+        flat = np.fromiter(chain.from_iterable(lists), np.int64, sizes.sum())
         return np.add.reduceat(weight[flat], np.cumsum(sizes) - sizes)
 
 
@@ -218,7 +246,7 @@ class Model:
             n = length[part]
             index = np.zeros((len(part), n.max()), np.int64)
             mask = np.arange(n.max())[None, :] < n[:, None]
-            index[mask] = np.concatenate([chains[i] for i in part])
+            index[mask] = np.fromiter(chain.from_iterable(chains[i] for i in part), np.int64, n.sum())
             p, _ = posteriors(score[index], n, self.start, self.move)
             np.add.at(total, line_of[part], (p * mask[..., None]).sum(1))
             np.add.at(n_words, line_of[part], n)
