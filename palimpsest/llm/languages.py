@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Labelled documents per language that the model is trained on, and sentences taken from each.
 TRAIN_DOCS, TRAIN_SENTENCES = 150, 30
+#: Probability that a label needs to stay in the sample.
+LEAST_LIKELY = 0.8
 #: Hashed features.
 BUCKETS = 1 << 16
 #: A line's words are labelled in chains of up to this many words.
@@ -160,8 +162,8 @@ class Model:
         self.start, self.move = np.zeros(k, np.float32), np.zeros((k, k), np.float32)
         self.known: set[int] = set()
 
-    def train(self, sentences: list[tuple[int, str]], steps: int = 160, batch: int = 256, seed: int = 7) -> None:
-        """Adaptive gradient steps on chains of one to three sentences, half of them code-switched."""
+    def train(self, sentences: list[tuple[int, str]], steps: int = 160, batch: int = 256, seed: int = 7, often: dict[int, int] | None = None) -> None:
+        """Adaptive gradient steps on chains of one to three sentences, half of them code-switched; languages are drawn alike, or as ``often`` as given."""
         rng = np.random.default_rng(seed)
         words = Words()
         rows = [(lang, ids[:CHAIN]) for lang, text in sentences if not is_code(text) and (ids := words.ids(text))]
@@ -169,6 +171,7 @@ class Model:
             return
         by_lang = [[ids for lang, ids in rows if lang == k] for k in range(len(self.langs))]
         there = [k for k, x in enumerate(by_lang) if x]
+        drawn = np.cumsum([often.get(k, 1) if often else 1 for k in there])
         seen = np.bincount([i for _, ids in rows for i in set(ids)], minlength=len(words.lists))
         self.known = {zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) for w, i in words.number.items() if seen[i] >= 3}
         sizes = np.array([len(x) for x in words.lists])
@@ -183,7 +186,7 @@ class Model:
             for _ in range(batch):
                 ids, gold = [], []
                 for _ in range(rng.choice([1, 1, 2, 3])):
-                    k = there[rng.integers(len(there))]
+                    k = there[np.searchsorted(drawn, rng.integers(drawn[-1]), side="right")]
                     part = by_lang[k][rng.integers(len(by_lang[k]))]
                     ids += part
                     gold += [k] * len(part)
@@ -263,29 +266,40 @@ def trained(documents: DataFrame, codes: dict[str, str], text: str = "text", lan
     """A model trained on a bounded sample of labelled documents.
 
     Per language up to TRAIN_DOCS documents (smallest hash of the text) with up
-    to TRAIN_SENTENCES sentences each reach the driver. Labels may be wrong:
-    two rounds of training drop the sentences whose label the model of the
-    round before finds unlikely.
+    to TRAIN_SENTENCES sentences each reach the driver. Labels may be wrong, and
+    a long document brings many sentences with its wrong label, so no document
+    vouches for itself: the sample is cut into two halves by document, a model
+    of each half judges the sentences of the other, once more after what was
+    found unlikely has left the halves, and the final model learns from the
+    sentences whose label has a probability of LEAST_LIKELY or more. These
+    models see languages as often as all documents are labelled with them, so a
+    rare label that often hides a frequent language is found unlikely. A
+    language of which nothing would be left keeps all its sentences.
     """
     langs = sorted(set(codes.values()))
     labelled = documents.select(label_code(F.col(lang), codes).alias("code"), F.col(text).alias("body")).filter("code IS NOT NULL AND length(trim(body)) > 20")
     order = Window.partitionBy("code").orderBy(F.xxhash64("body"), "body")
     some = labelled.withColumn("no", F.row_number().over(order)).filter(F.col("no") <= TRAIN_DOCS)
     cut = F.udf(lambda body: [s for s in SENTENCE.split(body) if s and s.strip()][:TRAIN_SENTENCES], "array<string>")
-    rows = some.select("code", cut("body").alias("parts")).collect()
-    sentences = sorted((langs.index(r["code"]), s) for r in rows for s in r["parts"])
-    model = Model(langs)
-    model.train(sentences, steps=60)
-    for steps in (60, 160):
-        memo: dict = {}
-        good = []
-        for at in range(0, len(sentences), 2000):
-            part = sentences[at : at + 2000]
-            for (k, s), (_, share, _, _) in zip(part, model.classify([s for _, s in part], memo), strict=True):
-                if len(share) and share.mean(0)[k] > 0.5:
+    rows = some.select("code", F.pmod(F.xxhash64("body", F.lit(1)), F.lit(2)).alias("half"), cut("body").alias("parts")).collect()
+    often = {langs.index(r["code"]): r["count"] for r in documents.select(label_code(F.col(lang), codes).alias("code")).groupBy("code").count().collect() if r["code"]}  # one row a language
+    halves = [sorted((langs.index(r["code"]), s) for r in rows if r["half"] == h for s in r["parts"]) for h in (0, 1)]
+
+    def likely(mine: list[tuple[int, str]], other: list[tuple[int, str]]) -> list[tuple[int, str]]:
+        judge, memo, good = Model(langs), {}, []
+        judge.train(mine, steps=40, often=often)
+        for at in range(0, len(other), 2000):
+            part = other[at : at + 2000]
+            for (k, s), (_, share, _, _) in zip(part, judge.classify([s for _, s in part], memo), strict=True):
+                if len(share) and share.mean(0)[k] >= LEAST_LIKELY:
                     good.append((k, s))
-        model = Model(langs)
-        model.train(good or sentences, steps=steps)
+        there = {k for k, _ in good}
+        return good + [x for x in other if x[0] not in there]
+
+    one, two = halves
+    first = likely(two, one), likely(one, two)
+    model = Model(langs)
+    model.train(sorted(likely(first[1], one) + likely(first[0], two)), steps=160)
     return model
 
 

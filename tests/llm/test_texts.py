@@ -115,6 +115,17 @@ def test_languages_labels_lines_and_odd_texts(spark):
     assert [x[0] for x in labels] == ["en", "de", "de", None, None, None]
 
 
+def test_languages_are_learned_from_wrong_labels_too(spark):
+    r = random.Random(2)
+    rows = [(i, ". ".join(r.sample(ENGLISH if i % 2 else GERMAN, 3)) + f". X{i}.", "en" if i % 2 else "de") for i in range(160)]
+    # long English documents that are labelled German
+    rows += [(1000 + i, ". ".join(r.choice(ENGLISH) for _ in range(30)) + f". Y{i}.", "de") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {x.doc_id: x for x in languages.detect(df, ["doc_id"], languages.trained(df, CODES)).collect()}
+    assert all(got[i].language == ("en" if i % 2 else "de") for i in range(160))
+    assert all({x.lang for x in got[1000 + i].lines} == {"en"} for i in range(2))
+
+
 def test_personal_data_is_found_and_replaced(spark):
     texts = [
         "Contact Ingrid Torelvaquist at ingrid.torelvaquist@mail.volnova.example.org or 020 7946 0812.",
