@@ -1,13 +1,16 @@
-"""The k most similar vectors of every vector, by shifted space-filling curves.
-
-Each pass orders all vectors along a Hilbert curve through a random projection
-of its own (with a random shift), range-partitions them by the place on that
-curve and compares every vector with its own block of the order and the blocks
-beside it, as one matrix product. Rows near the border of a range travel to the
+"""The k most similar vectors of every vector, by cells and space-filling curves.
+
+Each pass orders all vectors by cells, the nearest of all axes of a random
+rotation of its own and within such a cell those of a second one, and in a cell
+along a Hilbert curve through a random projection (with a random shift). It
+range-partitions them by the place in that order and compares every vector with
+its own block of the order and the blocks beside it; the product of two blocks
+serves both. Near vectors share a cell more often than a stretch of a curve of
+the same width, the more so the more vectors there are. Rows near the border of a range travel to the
 neighbouring range too, as guests that are compared but not kept there, so
 windows reach across borders. The best so far travel with the vector into the
-next pass, so passes merge without a join. From the second pass on, the place on
-the curve is that of the mean of a vector and the neighbours it already has:
+next pass, so passes merge without a join. From the second pass on, the place in
+the order is that of the mean of a vector and the neighbours it already has:
 members of a cluster then lie far closer together than they do themselves.
 
 Vectors travel as 16-bit components of the normalised vector: similarities are
@@ -32,12 +35,12 @@ from palimpsest.session import dropped, stored
 
 #: Rows of a block; a row is compared with its own block and REACH blocks before and after it.
 BLOCK, REACH = 1024, 1
-#: Dimensions of the projection and bits of each on the curve.
-DIMS, BITS = 16, 3
+#: Rotations whose axes make the cells, dimensions of the projection and bits of each on the curve within a cell, and bits of a place.
+LEVELS, DIMS, BITS, PLACE = 2, 16, 2, 48
 #: Bits of the uid below the place.
 TIE = 12
-PASSES = 6
-#: Rows of a range of the curve, which one task handles block by block, and how many keys of a range are sampled to cut ranges.
+PASSES = 8
+#: Rows of a range of the order, which one task handles block by block, and how many keys of a range are sampled to cut ranges.
 PART, SAMPLED = 40_000, 200
 #: Neighbours kept beyond the k best, and the error of a similarity of 16-bit components.
 MARGIN, ERROR = 6, 2e-5
@@ -75,13 +78,18 @@ def hilbert(grid: np.ndarray, bits: int) -> np.ndarray:
 
 
 def place(vectors: np.ndarray, turn: int) -> np.ndarray:
-    """Keys of unit vectors on the curve of pass ``turn``."""
+    """Keys of unit vectors in the order of pass ``turn``: the nearest axis (either end) of each of LEVELS random rotations, then the place on the curve."""
     rng = np.random.default_rng(1000 + turn)
-    size = vectors.shape[1]
+    n, size = vectors.shape
+    cell = np.zeros(n, np.int64)
+    for _ in range(LEVELS):
+        turned = vectors @ np.linalg.qr(rng.standard_normal((size, size)))[0].astype(np.float32)
+        axis = np.abs(turned).argmax(1)
+        cell = cell * (2 * size) + 2 * axis + (turned[np.arange(n), axis] > 0)
     axes = np.linalg.qr(rng.standard_normal((size, min(DIMS, size))))[0].astype(np.float32)
     spread = vectors @ axes * np.float32(np.sqrt(size))  # about one unit a dimension
     shifted = (spread + rng.uniform(-0.25, 0.25, axes.shape[1]).astype(np.float32)) / 5 + 0.5
-    return hilbert(np.clip(shifted * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64), BITS)
+    return (cell << (DIMS * BITS)) + hilbert(np.clip(shifted * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64), BITS)
 
 
 class Block:
@@ -109,19 +117,23 @@ class Block:
         self.near[row, col] = data[(at + 8 * col)[:, None] + np.arange(8)].view(np.int64).ravel()
         self.sim[row, col] = data[(at + 8 * have[row] + 4 * col)[:, None] + np.arange(4)].view(np.float32).ravel()
         self.mean = self.x.copy()
+        self.noted: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def meet(self, other: Block, least: float) -> None:
+        """Compare the rows of two blocks (or of one with itself) and note for both what may be among their best."""
+        s = self.x @ other.x.T
+        if self.field[0] != other.field[-1] or other.field[0] != self.field[-1]:  # rows are in the order of fields
+            s[self.field[:, None] != other.field[None, :]] = -2
+        if self is other:
+            np.fill_diagonal(s, -2)
+        else:
+            other.note(s.T, self.uid, least)
+        self.note(s, other.uid, least)
 
-    def meet(self, around: list[Block], least: float) -> None:
-        """Compare the rows of this block with those of the blocks around it, itself among them, and keep the best."""
-        mine = np.flatnonzero(~self.guest)
-        if not len(mine):
-            return
-        s = self.x[mine] @ np.concatenate([b.x for b in around]).T
-        field, uid = np.concatenate([b.field for b in around]), np.concatenate([b.uid for b in around])
-        if field[0] != field[-1]:  # rows are in the order of fields
-            s[self.field[mine][:, None] != field[None, :]] = -2
-        first = sum(len(b.uid) for b in around[: around.index(self)])
-        s[np.arange(len(mine)), first + mine] = -2
-        worst = np.maximum(self.sim[mine, -1], np.float32(least))
+    def note(self, s: np.ndarray, uid: np.ndarray, least: float) -> None:
+        """Of similarities to the vectors ``uid`` keep those that may be among the best of a row."""
+        worst = np.maximum(self.sim[:, -1], np.float32(least))
+        worst[self.guest] = 2
         if least > 0.3:
             row, col = np.nonzero(s >= worst[:, None])
         else:
@@ -130,7 +142,13 @@ class Block:
             row, col = np.repeat(np.arange(len(s)), k), best.ravel()
             keep = (s[row, col] >= worst[row]) & (s[row, col] > -2)
             row, col = row[keep], col[keep]
-        self.take(mine[row], uid[col], s[row, col])
+        self.noted.append((row, uid[col], s[row, col]))
+
+    def settle(self) -> None:
+        """Take what was noted."""
+        if self.noted:
+            self.take(*[np.concatenate(x) for x in zip(*self.noted, strict=True)])
+        self.noted = []
 
     def take(self, row: np.ndarray, uid: np.ndarray, sim: np.ndarray) -> None:
         """Keep the best of what is known and of the candidates; which vectors they are is told by ``uid``."""
@@ -186,8 +204,8 @@ class Block:
 
 
 def placed(field: np.ndarray, uid: np.ndarray, x: np.ndarray, state: list[bytes], turn: int) -> pa.RecordBatch:
-    """Rows with their key on the curve of pass ``turn``: field, place, and TIE bits of the uid, so that even equal places spread over ranges."""
-    key = (((field.astype(np.int64) << (DIMS * BITS)) + place(x, turn)) << TIE) + (uid & ((1 << TIE) - 1))
+    """Rows with their key in the order of pass ``turn``: field, place, and TIE bits of the uid, so that even equal places spread over ranges."""
+    key = (((field.astype(np.int64) << PLACE) + place(x, turn)) << TIE) + (uid & ((1 << TIE) - 1))
     return pa.RecordBatch.from_arrays([pa.array(field), pa.array(uid), pa.array(key), pa.array(state, pa.binary())], ["field", "uid", "key", "state"])
 
 
@@ -297,15 +315,16 @@ def search(vectors: DataFrame, size: int, k: int, least: float, passes: int = PA
             waiting = 0  # those at the end that have not been compared yet
 
             def done(block: Block) -> pa.RecordBatch:
-                around = held[max(0, held.index(block) - REACH) : held.index(block) + REACH + 1]
-                block.meet(around, least - ERROR)
+                block.settle()
                 if turn == passes:
                     return block.found(k, least)
-                block.lean(around)
+                block.lean(held[max(0, held.index(block) - REACH) : held.index(block) + REACH + 1])
                 return block.rows(turn)
 
             for block in blocks(batches, size, k + MARGIN):
                 held.append(block)
+                for other in held[-REACH - 1 :]:
+                    block.meet(other, least - ERROR)
                 waiting += 1
                 if waiting > REACH:
                     yield done(held[-waiting])

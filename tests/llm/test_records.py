@@ -69,6 +69,18 @@ def test_very_many_equal_vectors_are_dealt_to_tasks(spark, monkeypatch):
     assert (got["v00000", 1], got["v00000", 2], got["v00001", 1], got["v00399", 2]) == ("v00001", "v00002", "v00000", "v00001")
 
 
+def test_orders_bring_near_vectors_together_among_many():
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((20_000, 96)).astype(np.float32)
+    x = np.concatenate([x, x + 0.6 * rng.standard_normal(x.shape).astype(np.float32)])  # cosines of about 0.86
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    met = np.zeros(20_000, bool)
+    for turn in range(4):
+        at = np.argsort(np.argsort(similar_vectors.place(x, turn), kind="stable"), kind="stable")
+        met |= np.abs(at[:20_000] - at[20_000:]) <= 100
+    assert met.mean() > 0.72
+
+
 def test_hilbert_curve_is_a_walk():
     side = 8
     grid = np.array([(i, j) for i in range(side) for j in range(side)])
