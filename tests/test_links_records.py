@@ -1,6 +1,8 @@
 """Neighbours in blocks, logical links, batches of records, imports: small fixtures with nulls, ties, repeats and empty tables."""
 
 import json
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -47,6 +49,23 @@ def test_logical_links_of_papers(spark):
     assert inference.logical_links(e, edges, start.limit(0)).count() == 0
 
 
+def test_logical_link_counts_are_those_of_the_edges(spark):
+    pick = random.Random(5)
+    some = lambda *values: pick.choice([*values, None])
+    rows = []
+    for i in range(60):
+        data = {"category": some("a", "b", "c"), "domain": some("x", "y"), "parent_id": some(f"n{pick.randrange(60)}", f"n{i}")}
+        rows.append((f"n{i}", some("Note", "note", "Person", "Task"), json.dumps({k: v for k, v in data.items() if v})))
+    e = spark.createDataFrame(rows, "id string, type string, metadata string")
+    ends = [(f"n{pick.randrange(60)}", f"n{pick.randrange(63)}") for _ in range(150)] + [("n1", "n1")]
+    edges = spark.createDataFrame(sorted(set(ends)), "src string, dst string")
+    start = e.filter("id < 'n4'").select("id")
+    n = Counter((r.from_id, r.relation_type, r.confidence) for r in inference.logical_links(e, edges, start).collect())
+    got = inference.logical_link_counts(e, edges, start).collect()
+    assert {(r.from_id, r.relation_type, r.confidence): r.n_edges for r in got} == dict(n)
+    assert len(got) == len(n)
+
+
 def test_names_of_any_length_co_occur(spark):
     e = spark.createDataFrame([("x", "Al"), ("y", "One Two Three Four Five Six"), ("z", " "), ("w", None), ("v", "two three")], "id string, name string")
     o = spark.createDataFrame([("1", "a", "With AL and one two three four five six."), ("2", "x", "al two. three"), ("3", None, "al"), ("4", "b", None)], "id string, entity_id string, text string")
