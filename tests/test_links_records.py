@@ -143,3 +143,14 @@ def test_salience(spark, text, score):
 def test_tags_are_read_from_texts(spark):
     df = spark.createDataFrame([("#Tea and topic: Leaves",), ("#tea",), (None,), ("no tag",)], "text string")
     assert {r.tag: r.n for r in lifecycle.tags(df).collect()} == {"#tea": 2, "topic:leaves": 1}
+
+
+def test_co_occurrence_lets_only_likely_sequences_leave_the_notes(spark):
+    e = spark.createDataFrame([(f"e{i}", f"common word {i}") for i in range(300)] + [("long", " ".join(["common word"] * 20))], "id string, name string")
+    names = e.select("id", inference.tx.words(F.col("name")).alias("w"))
+    bloom = inference.Bloom(names.select(F.array_join("w", " ").alias("phrase"), F.size("w").alias("k"), inference._hashes("w").alias("h")))
+    o = spark.createDataFrame([(f"o{i}", "x", f"a common word {i} of a common word and another") for i in range(2000)], "id string, entity_id string, text string")
+    notes = o.select("entity_id", inference.tx.words(F.col("text")).alias("w")).select("entity_id", "w", inference._hashes("w").alias("h"))
+    out = {r.phrase for r in notes.mapInArrow(bloom.sequences, "from_id string, phrase string").collect()}
+    assert {f"common word {i}" for i in range(300)} <= out and len(out) < 340
+    assert {(r.from_id, r.to_id) for r in inference.co_occurrence(e, o).collect()} == {("x", f"e{i}") for i in range(300)}
