@@ -154,3 +154,19 @@ def test_co_occurrence_lets_only_likely_sequences_leave_the_notes(spark):
     out = {r.phrase for r in notes.mapInArrow(bloom.sequences, "from_id string, phrase string").collect()}
     assert {f"common word {i}" for i in range(300)} <= out and len(out) < 340
     assert {(r.from_id, r.to_id) for r in inference.co_occurrence(e, o).collect()} == {("x", f"e{i}") for i in range(300)}
+
+
+def test_nearest_of_a_least_similarity_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "BLOCK", 40)
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.standard_normal((40, 8)), 5, axis=0) + 0.4 * rng.standard_normal((200, 8))
+    x[7] = x[3]
+    rows = spark.createDataFrame([(f"n{i:03}", v.tolist()) for i, v in enumerate(x)], "id string, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = set()
+    for i in range(0, 200, 3):
+        s = np.round(u @ u[i], 6)
+        best = sorted((-s[j], f"n{j:03}") for j in range(200) if j != i and s[j] >= 0.7)[:5]
+        want |= {(f"n{i:03}", name, rank) for rank, (_, name) in enumerate(best, 1)}
+    some = rows.filter(F.substring("id", 2, 3).cast("int") % 3 == 0)
+    assert {(r.query, r.id, r["rank"]) for r in nearest.nearest(some, rows, 5, 8, least=0.7).collect()} == want
