@@ -155,6 +155,23 @@ def test_short_and_long_names_of_any_type(spark):
     assert got == {("1", "2"), ("1", "6"), ("2", "6"), ("3", "4"), ("7", "8"), ("10", "11")}
 
 
+def test_names_fit_the_group_with_the_fewest_typing_errors(spark):
+    rows = [
+        ("1", "Frederick Garavredottir"), ("2", "Fred Garavredottir"), ("3", "F.R. Garavredottir"), ("4", "Francis Saravtedottir"),  # two letters apart by chance
+        ("5", "Judith Vesastigstrom"), ("6", "J.T. Vesastigstrom"), ("7", "Theodore Vesastigstrom"),  # the first initial is the given name's
+        ("8", "Hr. Peter Hesobmadwick"), ("9", "P. Hesobmadwick"), ("10", "Peter Hesobmadwick"),
+        ("11", "Becky Doreltarkamp"), ("12", "Rebecca Doreltarkamp"),
+        ("13", "Zoe Volemnastez"), ("14", "Zachary Volemnastez"), ("15", "Z. Volemnastez <zoe66@selollimvia.example>"),
+        ("16", "Lucia M. Rinukmirstrom"), ("17", "Lucia R. Malegguvier"),  # each family name begins like the other's initial
+        ("18", "Tobias Falodmathier"), ("19", "Toby Falodmathier"), ("20", "Tobias Faltodmither"), ("21", "Toby Faltodmither"),
+    ]
+    e = spark.createDataFrame(rows, "id string, name string").withColumn("kind", F.lit("person"))
+    alias = spark.createDataFrame([*ALIAS, ("Toby", "Tobias")], "short_form string, full_form string")
+    got = {(p.id_a, p.id_b) for p in names.link(e, alias).collect()}
+    groups = [("1", "2", "3"), ("5", "6"), ("10", "8", "9"), ("11", "12"), ("13", "15"), ("18", "19"), ("20", "21")]
+    assert got == {pair for g in groups for pair in itertools.combinations(sorted(g), 2)}
+
+
 def test_assignment_is_the_cheapest():
     r = np.random.default_rng(5)
     for _ in range(200):
