@@ -24,6 +24,7 @@ expanded to all members, smallest ids first.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -77,18 +78,26 @@ def hilbert(grid: np.ndarray, bits: int) -> np.ndarray:
     return place
 
 
+@cache
+def drawn(turn: int, size: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """What is random in the order of pass ``turn``: its rotations, the axes of its projection and their shift; drawn once a process."""
+    rng = np.random.default_rng(1000 + turn)
+    turns = [np.linalg.qr(rng.standard_normal((size, size)))[0].astype(np.float32) for _ in range(LEVELS)]
+    axes = np.linalg.qr(rng.standard_normal((size, min(DIMS, size))))[0].astype(np.float32)
+    return turns, axes, rng.uniform(-0.25, 0.25, axes.shape[1]).astype(np.float32)
+
+
 def place(vectors: np.ndarray, turn: int) -> np.ndarray:
     """Keys of unit vectors in the order of pass ``turn``: the nearest axis (either end) of each of LEVELS random rotations, then the place on the curve."""
-    rng = np.random.default_rng(1000 + turn)
     n, size = vectors.shape
+    turns, axes, shift = drawn(turn, size)
     cell = np.zeros(n, np.int64)
-    for _ in range(LEVELS):
-        turned = vectors @ np.linalg.qr(rng.standard_normal((size, size)))[0].astype(np.float32)
+    for rotation in turns:
+        turned = vectors @ rotation
         axis = np.abs(turned).argmax(1)
         cell = cell * (2 * size) + 2 * axis + (turned[np.arange(n), axis] > 0)
-    axes = np.linalg.qr(rng.standard_normal((size, min(DIMS, size))))[0].astype(np.float32)
     spread = vectors @ axes * np.float32(np.sqrt(size))  # about one unit a dimension
-    shifted = (spread + rng.uniform(-0.25, 0.25, axes.shape[1]).astype(np.float32)) / 5 + 0.5
+    shifted = (spread + shift) / 5 + 0.5
     return (cell << (DIMS * BITS)) + hilbert(np.clip(shifted * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64), BITS)
 
 
@@ -127,16 +136,21 @@ class Block:
         if self is other:
             np.fill_diagonal(s, -2)
         else:
-            other.note(s.T, self.uid, least)
+            other.note(s, self.uid, least, True)
         self.note(s, other.uid, least)
 
-    def note(self, s: np.ndarray, uid: np.ndarray, least: float) -> None:
-        """Of similarities to the vectors ``uid`` keep those that may be among the best of a row."""
+    def note(self, s: np.ndarray, uid: np.ndarray, least: float, turned: bool = False) -> None:
+        """Of similarities to the vectors ``uid`` keep those that may be among the best of a row (a column of ``s``, if ``turned``)."""
         worst = np.maximum(self.sim[:, -1], np.float32(least))
         worst[self.guest] = 2
         if least > 0.3:
-            row, col = np.nonzero(s >= worst[:, None])
+            # one stretch of memory: far faster to search than two dimensions
+            at = np.flatnonzero(s >= (worst[None, :] if turned else worst[:, None]))
+            row, col = np.divmod(at, s.shape[1])
+            if turned:
+                s, row, col = s.T, col, row
         else:
+            s = s.T if turned else s
             k = min(self.k, s.shape[1])
             best = np.argpartition(-s, k - 1, axis=1)[:, :k]
             row, col = np.repeat(np.arange(len(s)), k), best.ravel()
@@ -183,7 +197,17 @@ class Block:
         """The block's own rows with their neighbours, placed for pass ``turn``."""
         mine = np.flatnonzero(~self.guest)
         have = (self.sim > -2).sum(1)
-        state = [self.raw[i].tobytes() + self.near[i, : have[i]].tobytes() + self.sim[i, : have[i]].tobytes() for i in mine]
+        have = have[mine]
+        wide = self.raw.shape[1]
+        ends = np.concatenate([[0], np.cumsum(wide + 12 * have)])
+        data = np.empty(ends[-1], np.uint8)
+        data[ends[:-1, None] + np.arange(wide)] = self.raw[mine]
+        row = np.repeat(np.arange(len(mine)), have)
+        col = np.arange(len(row)) - np.repeat(np.cumsum(have) - have, have)
+        at = ends[row] + wide
+        data[(at + 8 * col)[:, None] + np.arange(8)] = self.near[mine[row], col].view(np.uint8).reshape(-1, 8)
+        data[(at + 8 * have[row] + 4 * col)[:, None] + np.arange(4)] = self.sim[mine[row], col].view(np.uint8).reshape(-1, 4)
+        state = pa.Array.from_buffers(pa.binary(), len(mine), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
         mean = self.mean[mine] / np.linalg.norm(self.mean[mine], axis=1, keepdims=True)
         return placed(self.field[mine], self.uid[mine], mean, state, turn)
 
@@ -203,10 +227,10 @@ class Block:
         return pa.RecordBatch.from_arrays([pa.array(self.field[mine]), pa.array(self.uid[mine]), *lists, pa.array(hard)], ["field", "uid", "near", "sim", "hard"])
 
 
-def placed(field: np.ndarray, uid: np.ndarray, x: np.ndarray, state: list[bytes], turn: int) -> pa.RecordBatch:
+def placed(field: np.ndarray, uid: np.ndarray, x: np.ndarray, state: list[bytes] | pa.Array, turn: int) -> pa.RecordBatch:
     """Rows with their key in the order of pass ``turn``: field, place, and TIE bits of the uid, so that even equal places spread over ranges."""
     key = (((field.astype(np.int64) << PLACE) + place(x, turn)) << TIE) + (uid & ((1 << TIE) - 1))
-    return pa.RecordBatch.from_arrays([pa.array(field), pa.array(uid), pa.array(key), pa.array(state, pa.binary())], ["field", "uid", "key", "state"])
+    return pa.RecordBatch.from_arrays([pa.array(field), pa.array(uid), pa.array(key), state if isinstance(state, pa.Array) else pa.array(state, pa.binary())], STATE)
 
 
 class Ranges:

@@ -81,6 +81,26 @@ def test_orders_bring_near_vectors_together_among_many():
     assert met.mean() > 0.72
 
 
+def test_rotations_are_drawn_once_and_rows_come_back(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = (rng.standard_normal((50, 32)) * 9000).astype(np.int16)
+    unit = x / np.linalg.norm(x.astype(np.float32), axis=1, keepdims=True)
+    uid, field = np.arange(50) * 2, np.zeros(50, np.int32)
+    batch = similar_vectors.placed(field, uid, unit.astype(np.float32), [r.tobytes() for r in x], 0)
+    batch = similar_vectors.pa.RecordBatch.from_arrays([*batch.columns, similar_vectors.pa.array(uid % 10 == 0)], [*batch.schema.names, "guest"])
+    block = similar_vectors.Block(batch, 32, 4)
+    block.meet(block, 0.31)
+    block.settle()
+    drawn = []
+    qr = np.linalg.qr
+    monkeypatch.setattr(np.linalg, "qr", lambda m: drawn.append(1) or qr(m))
+    rows, again = block.rows(77), block.rows(77)
+    assert len(drawn) <= 3 and rows.equals(again)
+    for i, state in zip(np.flatnonzero(uid % 10 > 0), rows.column("state").to_pylist(), strict=True):
+        have = (block.sim[i] > -2).sum()
+        assert state == x[i].tobytes() + block.near[i, :have].tobytes() + block.sim[i, :have].tobytes()
+
+
 def test_hilbert_curve_is_a_walk():
     side = 8
     grid = np.array([(i, j) for i in range(side) for j in range(side)])
