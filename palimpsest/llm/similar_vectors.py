@@ -36,6 +36,8 @@ from palimpsest.session import dropped, stored
 
 #: Rows of a block; a row is compared with its own block and REACH blocks before and after it.
 BLOCK, REACH = 1024, 1
+#: Rows of a tile of the product of two blocks.
+TILE = 128
 #: Rotations whose axes make the cells, dimensions of the projection and bits of each on the curve within a cell, and bits of a place.
 LEVELS, DIMS, BITS, PLACE = 2, 16, 2, 48
 #: Bits of the uid below the place.
@@ -112,75 +114,118 @@ class Block:
         n, wide = len(self.uid), 2 * size
         state = batch.column("state")
         ends = np.frombuffer(state.buffers()[1], np.int32)[state.offset : state.offset + n + 1].astype(np.int64)
-        data = np.frombuffer(state.buffers()[2], np.uint8)
-        self.raw = data[ends[:-1, None] + np.arange(wide)]
+        # whole words are gathered, several times fewer than bytes; the parts of a row begin at words
+        self.word = np.dtype(np.int16 if size % 2 else np.int32)
+        per, near, sim = (x // self.word.itemsize for x in (wide, 8, 4))
+        data = np.frombuffer(state.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(self.word)
+        ends = (ends - ends[0]) // self.word.itemsize
+        self.raw = data[ends[:-1, None] + np.arange(per)].view(np.uint8)
         x = self.raw.view(np.int16).astype(np.float32)
         self.x = x / np.linalg.norm(x, axis=1, keepdims=True)
         # neighbours known from earlier passes stand behind the vector: their uids, then their similarities
         self.sim = np.full((n, k), -2, np.float32)
         self.near = np.zeros((n, k), np.int64)
-        have = (np.diff(ends) - wide) // 12
+        have = (np.diff(ends) - per) // (near + sim)
         row = np.repeat(np.arange(n), have)
         col = np.arange(len(row)) - np.repeat(np.cumsum(have) - have, have)
-        at = ends[row] + wide
-        self.near[row, col] = data[(at + 8 * col)[:, None] + np.arange(8)].view(np.int64).ravel()
-        self.sim[row, col] = data[(at + 8 * have[row] + 4 * col)[:, None] + np.arange(4)].view(np.float32).ravel()
+        at = ends[row] + per
+        self.near[row, col] = data[(at + near * col)[:, None] + np.arange(near)].view(np.int64).ravel()
+        self.sim[row, col] = data[(at + near * have[row] + sim * col)[:, None] + np.arange(sim)].view(np.float32).ravel()
         self.mean = self.x.copy()
         self.noted: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.worst: np.ndarray | None = None
 
     def meet(self, other: Block, least: float) -> None:
-        """Compare the rows of two blocks (or of one with itself) and note for both what may be among their best."""
-        s = self.x @ other.x.T
-        if self.field[0] != other.field[-1] or other.field[0] != self.field[-1]:  # rows are in the order of fields
-            s[self.field[:, None] != other.field[None, :]] = -2
-        if self is other:
-            np.fill_diagonal(s, -2)
-        else:
-            other.note(s, self.uid, least, True)
-        self.note(s, other.uid, least)
-
-    def note(self, s: np.ndarray, uid: np.ndarray, least: float, turned: bool = False) -> None:
-        """Of similarities to the vectors ``uid`` keep those that may be among the best of a row (a column of ``s``, if ``turned``)."""
-        worst = np.maximum(self.sim[:, -1], np.float32(least))
-        worst[self.guest] = 2
-        if least > 0.3:
-            # one stretch of memory: far faster to search than two dimensions
-            at = np.flatnonzero(s >= (worst[None, :] if turned else worst[:, None]))
-            row, col = np.divmod(at, s.shape[1])
-            if turned:
-                s, row, col = s.T, col, row
-        else:
-            s = s.T if turned else s
-            k = min(self.k, s.shape[1])
-            best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            row, col = np.repeat(np.arange(len(s)), k), best.ravel()
-            keep = (s[row, col] >= worst[row]) & (s[row, col] > -2)
-            row, col = row[keep], col[keep]
+        """Compare the rows of two blocks (or of one with itself) and note for both what may be among their best.
+
+        Where few are as near as ``least`` the product is made in tiles that stay in the processor's cache, of a block with itself above the diagonal only.
+        """
+        apart = self.field[0] != other.field[-1] or other.field[0] != self.field[-1]  # rows are in the order of fields
+        bars = [b.bar(least) for b in (self, other)]
+        n, wide = len(self.uid), len(other.uid)
+        step = TILE if least > 0.3 else n
+        for at in range(0, n, step):
+            end = min(at + step, n)
+            spans = [(at, end), (end, n)] if self is other else [(0, wide)]  # a tile with itself and with those after it
+            for low, high in spans:
+                if low == high or (self.guest[at:end].all() and other.guest[low:high].all()):
+                    continue
+                s = self.x[at:end] @ other.x[low:high].T
+                if apart:
+                    s[self.field[at:end, None] != other.field[None, low:high]] = -2
+                own = self is other and low == at
+                if own:
+                    np.fill_diagonal(s, -2)
+                a, b = bars[0][at:end], bars[1][low:high]
+                if step == TILE:
+                    self.near_ones(other, s, at, low, a, b, least, own)
+                else:
+                    self.best_ones(s, other.uid, a)
+                    if not own:
+                        other.best_ones(s.T, self.uid, b)
+
+    def bar(self, least: float) -> np.ndarray:
+        """How similar a vector must be to count for each row; the same until ``settle``."""
+        if self.worst is None:
+            self.worst = np.maximum(self.sim[:, -1], np.float32(least))
+            self.worst[self.guest] = 2
+        return self.worst
+
+    def near_ones(self, other: Block, s: np.ndarray, at: int, low: int, a: np.ndarray, b: np.ndarray, least: float, own: bool) -> None:
+        """Note what reaches the bars ``a`` and ``b`` of both sides, of similarities of the rows from ``at`` to those of ``other`` from ``low``; for the rows alone, if ``own``."""
+
+        def hits(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            flat = np.flatnonzero(mask)  # one stretch of memory: far faster to search than two dimensions
+            return *np.divmod(flat, s.shape[1]), s.ravel()[flat]
+
+        mask = s >= np.float32(least)
+        few = np.count_nonzero(mask) * 16 < mask.size  # looked up once for both sides
+        row, col, value = first = hits(mask if few else s >= a[:, None])
+        keep = value >= a[row]
+        self.noted.append((row[keep] + at, other.uid[col[keep] + low], value[keep]))
+        if not own:
+            row, col, value = first if few else hits(s >= b[None, :])
+            keep = value >= b[col]
+            other.noted.append((col[keep] + low, self.uid[row[keep] + at], value[keep]))
+
+    def best_ones(self, s: np.ndarray, uid: np.ndarray, worst: np.ndarray) -> None:
+        """Of similarities to the vectors ``uid`` keep those that may be among the best of a row."""
+        k = min(self.k, s.shape[1])
+        best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        row, col = np.repeat(np.arange(len(s)), k), best.ravel()
+        keep = (s[row, col] >= worst[row]) & (s[row, col] > -2)
+        row, col = row[keep], col[keep]
         self.noted.append((row, uid[col], s[row, col]))
 
     def settle(self) -> None:
         """Take what was noted."""
         if self.noted:
             self.take(*[np.concatenate(x) for x in zip(*self.noted, strict=True)])
-        self.noted = []
+        self.noted, self.worst = [], None
 
     def take(self, row: np.ndarray, uid: np.ndarray, sim: np.ndarray) -> None:
         """Keep the best of what is known and of the candidates; which vectors they are is told by ``uid``."""
+        fresh = np.ones(len(row), bool)  # most were found in an earlier pass too
+        for i in range((self.sim > -2).sum(1).max()):
+            fresh &= (self.near[row, i] != uid) | (self.sim[row, i] <= -2)
+        row, uid, sim = row[fresh], uid[fresh], sim[fresh]
         if not len(row):
             return
-        old_row, old_col = np.nonzero(self.sim > -2)
+        touched = np.zeros(len(self.sim), bool)
+        touched[row] = True
+        old_row, old_col = np.nonzero((self.sim > -2) & touched[:, None])
         row_all = np.concatenate([old_row, row])
         sim = np.concatenate([self.sim[old_row, old_col], sim])
         near = np.concatenate([self.near[old_row, old_col], uid])
         order = np.lexsort((near, -sim, row_all))
         row_all, sim, near = row_all[order], sim[order], near[order]
-        pair = np.lexsort((near, row_all))  # found in an earlier pass too: the first of each stays
+        pair = np.lexsort((near, row_all))  # met twice: the first of each stays
         again = np.zeros(len(pair), bool)
         again[pair[1:]] = (row_all[pair[1:]] == row_all[pair[:-1]]) & (near[pair[1:]] == near[pair[:-1]])
         row_all, sim, near = row_all[~again], sim[~again], near[~again]
         at = np.arange(len(row_all)) - np.searchsorted(row_all, row_all)
         keep = at < self.k
-        self.sim[:], self.near[:] = -2, 0
+        self.sim[touched], self.near[touched] = -2, 0
         self.sim[row_all[keep], at[keep]] = sim[keep]
         self.near[row_all[keep], at[keep]] = near[keep]
 
@@ -190,24 +235,33 @@ class Block:
         order = np.argsort(uid)
         at = np.minimum(np.searchsorted(uid[order], self.near), len(uid) - 1)
         here = (uid[order][at] == self.near) & (self.sim > 0.3)
-        row, col = np.nonzero(here)
-        np.add.at(self.mean, row, np.concatenate([b.x for b in around])[order[at[row, col]]])
+        n = here.sum(1)
+        some = np.flatnonzero(n)
+        if len(some):
+            # each row itself, then its neighbours, summed in stretches
+            starts = np.concatenate([[0], np.cumsum(n[some] + 1)[:-1]])
+            which = np.empty(starts[-1] + n[some[-1]] + 1, np.int64)
+            own = np.zeros(len(which), bool)
+            own[starts] = True
+            which[own] = some + sum(len(b.uid) for b in around[: around.index(self)])
+            which[~own] = order[at[here]]
+            self.mean[some] = np.add.reduceat(np.concatenate([b.x for b in around])[which], starts, axis=0)
 
     def rows(self, turn: int) -> pa.RecordBatch:
         """The block's own rows with their neighbours, placed for pass ``turn``."""
         mine = np.flatnonzero(~self.guest)
-        have = (self.sim > -2).sum(1)
-        have = have[mine]
-        wide = self.raw.shape[1]
-        ends = np.concatenate([[0], np.cumsum(wide + 12 * have)])
-        data = np.empty(ends[-1], np.uint8)
-        data[ends[:-1, None] + np.arange(wide)] = self.raw[mine]
+        have = (self.sim[mine] > -2).sum(1)
+        bytes_ = self.word.itemsize
+        per, near, sim = self.raw.shape[1] // bytes_, 8 // bytes_, 4 // bytes_
+        ends = np.concatenate([[0], np.cumsum(per + (near + sim) * have)])
+        data = np.empty(ends[-1], self.word)
+        data[ends[:-1, None] + np.arange(per)] = self.raw[mine].view(self.word)
         row = np.repeat(np.arange(len(mine)), have)
         col = np.arange(len(row)) - np.repeat(np.cumsum(have) - have, have)
-        at = ends[row] + wide
-        data[(at + 8 * col)[:, None] + np.arange(8)] = self.near[mine[row], col].view(np.uint8).reshape(-1, 8)
-        data[(at + 8 * have[row] + 4 * col)[:, None] + np.arange(4)] = self.sim[mine[row], col].view(np.uint8).reshape(-1, 4)
-        state = pa.Array.from_buffers(pa.binary(), len(mine), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+        at = ends[row] + per
+        data[(at + near * col)[:, None] + np.arange(near)] = self.near[mine[row], col].view(self.word).reshape(-1, near)
+        data[(at + near * have[row] + sim * col)[:, None] + np.arange(sim)] = self.sim[mine[row], col].view(self.word).reshape(-1, sim)
+        state = pa.Array.from_buffers(pa.binary(), len(mine), [None, pa.py_buffer((ends * bytes_).astype(np.int32)), pa.py_buffer(data)])
         mean = self.mean[mine] / np.linalg.norm(self.mean[mine], axis=1, keepdims=True)
         return placed(self.field[mine], self.uid[mine], mean, state, turn)
 
@@ -245,17 +299,19 @@ class Ranges:
         # numbers[i] is a slot that ``repartition`` leads to a partition of its own
         self.cuts, self.low, self.high, self.numbers = cut(at), cut(at - share), cut(at + share), numbers
 
-    def route(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """The rows of a batch with their slot, and again as guests of the ranges whose border is near."""
-        key = batch.column("key").to_numpy()
+    def route(self, keys: pa.Array) -> pa.Array:
+        """For each key a list: twice the slot of its range, and again, plus one, those of the ranges it visits as a guest because their border is near."""
+        key = keys.to_numpy()
         part = np.searchsorted(self.cuts, key, side="right")
-        below = np.flatnonzero((part > 0) & (key < self.high[np.maximum(part - 1, 0)])) if len(self.cuts) else []
-        above = np.flatnonzero((part < len(self.cuts)) & (key >= self.low[np.minimum(part, len(self.cuts) - 1)])) if len(self.cuts) else []
-        for rows, move, guest in ((np.arange(len(key)), 0, False), (below, -1, True), (above, 1, True)):
-            if len(rows):
-                some = batch.take(pa.array(rows))
-                slot, mark = pa.array(self.numbers[part[rows] + move]), pa.array(np.full(len(rows), guest))
-                yield pa.RecordBatch.from_arrays([*some.columns, slot, mark], [*STATE, "slot", "guest"])
+        none = np.zeros(len(key), bool)
+        below = (part > 0) & (key < self.high[np.maximum(part - 1, 0)]) if len(self.cuts) else none
+        above = (part < len(self.cuts)) & (key >= self.low[np.minimum(part, len(self.cuts) - 1)]) if len(self.cuts) else none
+        ends = np.concatenate([[0], np.cumsum(1 + below + above)])
+        spot = np.empty(ends[-1], np.int64)
+        spot[ends[:-1]] = self.numbers[part] * 2
+        spot[ends[:-1][below] + 1] = self.numbers[part[below] - 1] * 2 + 1
+        spot[ends[1:][above] - 1] = self.numbers[part[above] + 1] * 2 + 1
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(spot))
 
 
 STATE = ["field", "uid", "key", "state"]
@@ -369,12 +425,9 @@ def search(vectors: DataFrame, size: int, k: int, least: float, passes: int = PA
             keys = at.select("key").sample(min(1.0, SAMPLED * parts / total), seed=turn).toPandas()["key"].to_numpy()
         ranges = Ranges(keys, parts, BLOCK * REACH / max(total, 1), numbers)
 
-        def route(batches: Iterator[pa.RecordBatch], ranges: Ranges = ranges) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    yield from ranges.route(batch)
-
-        rows = at.mapInArrow(route, f"{SCHEMA}, slot bigint, guest boolean").repartition(parts, "slot").sortWithinPartitions("key", "uid")
+        spots = F.explode(F.arrow_udf(ranges.route, "array<bigint>")("key")).alias("spot")  # only the key goes to Python
+        rows = at.select(*STATE, spots).repartition(parts, F.shiftright("spot", 1)).sortWithinPartitions("key", "uid")
+        rows = rows.select(*STATE, (F.col("spot").bitwiseAND(1) == 1).alias("guest"))
         new = stored(rows.mapInArrow(compare(turn), FOUND if turn == passes else SCHEMA), "curve")
         dropped(at)
         at = new

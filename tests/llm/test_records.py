@@ -101,6 +101,71 @@ def test_rotations_are_drawn_once_and_rows_come_back(monkeypatch):
         assert state == x[i].tobytes() + block.near[i, :have].tobytes() + block.sim[i, :have].tobytes()
 
 
+class Counted(np.ndarray):
+    """An array that counts the numbers in the products made of it."""
+
+    made = 0
+
+    def __array_ufunc__(self, ufunc, method, *inputs, **more):
+        out = getattr(ufunc, method)(*[np.asarray(x) for x in inputs], **more)
+        if ufunc is np.matmul:
+            Counted.made += out.size
+        return out
+
+
+@pytest.mark.parametrize(("size", "centers"), [(32, 20), (33, 20), (32, 3)])  # few near ones, an odd size, many near ones
+def test_blocks_meet_with_half_the_products(size, centers):
+    rng = np.random.default_rng(5)
+    n, k, least = 2048, 4, 0.8
+    x = rng.standard_normal((centers, size))[rng.integers(0, centers, n)] + 0.3 * rng.standard_normal((n, size))
+    x = (x * 5000).astype(np.int16)
+    unit = x.astype(np.float32) / np.linalg.norm(x.astype(np.float32), axis=1, keepdims=True)
+    uid, field, guest = rng.permutation(n) * 2, (np.arange(n) >= 700).astype(np.int32), np.arange(n) < 150
+    rows = similar_vectors.placed(field, uid, unit, [r.tobytes() for r in x], 0)
+    for turn in (1, 2):  # the second time what is known comes back with the rows
+        batch = similar_vectors.pa.RecordBatch.from_arrays([*rows.columns, similar_vectors.pa.array(guest)], [*rows.schema.names, "guest"])
+        halves = [similar_vectors.Block(batch.slice(at, 1024), size, k) for at in (0, 1024)]
+        for block in halves:
+            block.x = block.x.view(Counted)
+        Counted.made = 0
+        for mine, other in ((0, 0), (1, 1), (1, 0)):
+            halves[mine].meet(halves[other], least)
+        for block in halves:
+            block.settle()
+        assert Counted.made < 1024 * 1024 * (1 + 2 * 0.6)
+        near, sim = (np.concatenate([getattr(b, name) for b in halves]) for name in ("near", "sim"))
+        if turn == 1:
+            state = [x[i].tobytes() + near[i, : (h := (sim[i] > -2).sum())].tobytes() + sim[i, :h].tobytes() for i in range(n)]
+            rows = similar_vectors.placed(field, uid, unit, state, 0)
+    s = unit @ unit.T
+    s[field[:, None] != field[None, :]] = -2
+    np.fill_diagonal(s, -2)
+    best = np.sort(np.where(s >= least, s, -2), axis=1)[:, ::-1][:, :k]
+    best[guest] = -2
+    assert (best > -2).sum() > 1000
+    assert np.allclose(sim, best, atol=1e-5)
+    place = np.argsort(uid)
+    met = s[np.arange(n)[:, None], place[near // 2]]
+    assert np.allclose(met[sim > -2], sim[sim > -2], atol=1e-5)
+    assert all(len(set(row[have])) == have.sum() for row, have in zip(near, sim > -2, strict=True))
+
+
+def test_routing_reads_keys_alone():
+    keys = np.sort(np.random.default_rng(6).integers(0, 1 << 60, 5000))
+    numbers = np.array([50, 7, 13, 2])
+    ranges = similar_vectors.Ranges(keys, 4, 0.05, numbers)
+    spots = ranges.route(similar_vectors.pa.array(keys)).to_pylist()
+    own = np.searchsorted(ranges.cuts, keys, side="right")
+    for key, part, spot in zip(keys, own, spots, strict=True):
+        want = [2 * numbers[part]]
+        want += [2 * numbers[part - 1] + 1] if part > 0 and key < ranges.high[part - 1] else []
+        want += [2 * numbers[part + 1] + 1] if part < 3 and key >= ranges.low[part] else []
+        assert spot == want
+    guests = sum(x % 2 for spot in spots for x in spot)
+    assert 0.25 < guests / len(keys) < 0.35
+    assert similar_vectors.Ranges(keys[:0], 1, 0.05, numbers[:1]).route(similar_vectors.pa.array(keys[:3])).to_pylist() == [[100]] * 3
+
+
 def test_hilbert_curve_is_a_walk():
     side = 8
     grid = np.array([(i, j) for i in range(side) for j in range(side)])
